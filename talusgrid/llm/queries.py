@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import mixing, near, packing, quality, substrings
+from .common import SPACE
 
 #: Where the vocabularies of public tokenizers are.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +40,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix_pass", "mix_block", "mix_rank", "mix_tokens")
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return near.similar(docs).select(
+        near.real_id("_id").alias("doc_id"), near.real_id("class_id").alias("class_id"), "n_links"
+    )
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    words = F.filter(F.split(F.coalesce("rs_text", F.lit("")), SPACE), lambda w: w != "")
+    return substrings.remove_repeats(docs).select(
+        "doc_id",
+        F.col("rs_words").alias("n_words"),
+        F.col("rs_removed").alias("n_removed"),
+        F.sha2(F.concat_ws(" ", words), 256).alias("kept_sha256"),
+    )
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 OP9_SQL = rf"""
 WITH d AS (
@@ -80,7 +104,10 @@ FROM j
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op9_quality_rules": OP9_SQL,
