@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near, packing, quality, substrings
+from . import language, lattice, mixing, near, packing, quality, substrings, warc
 from .common import SPACE
 
 #: Where the vocabularies of public tokenizers are.
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +27,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    network, classes = language.fit(docs.where(~held))
+    return language.identify(docs.select("doc_id", "text", held.alias("held_out")), network, classes).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality.apply_rules(docs).select(
@@ -45,6 +55,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "mix_pass", "mix_block", "mix_rank", "mix_tokens")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder = warc.archive_folder(spark)
+    records = warc.read_packages(warc.write_packages(pages, folder, least_bytes=0), folder)
+    return records.select(
+        "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
+def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return lattice.score_documents(docs, vocabulary(PIECE_VOCABULARY))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near.similar(docs).select(
@@ -105,10 +129,29 @@ FROM j
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
+    "op4_lattice_likelihood": op4_lattice_likelihood,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
+#: Oracle for the WARC query: what the archives must say, from the pages.
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda j:
+      ((strpos('0123456789abcdef', substr(hex, ((5 * i + j) // 4 + 1)::INTEGER, 1)) - 1)
+        // power(2, 3 - (5 * i + j) % 4)::INTEGER % 2) * power(2, 4 - j)::INTEGER))::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 ORACLE_SQL = {
+    "op3_warc": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
 }
