@@ -27,7 +27,7 @@ from .common import small_batches, table
 
 #: Bytes of text that share a word list.
 CHUNK = 24_000_000
-ROUNDS = 2
+ROUNDS = 3
 #: Added to each piece's expected count.
 PRIOR = 0.1
 #: Words of more bytes are handled one by one.

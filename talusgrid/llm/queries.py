@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lattice, mixing, near, packing, quality, substrings, warc
-from .common import SPACE
+from . import chat, images, language, lattice, mixing, near, packing, quality, substrings, warc
+from .common import SPACE, table
 
 #: Where the vocabularies of public tokenizers are.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -36,6 +36,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    empty = F.lit("")
+    record = F.to_json(F.struct(F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")))
+    turns = rows.unionByName(extra).select(
+        "conv_id", "turn", F.explode(chat.canonical_turns(record)).alias("t")
+    )
+    formatted = table(
+        chat.format_turns(turns.select("conv_id", "turn", "t.role", "t.text")).select(
+            "conv_id", "turn", "segment", "loss_start", "loss_length"
+        ),
+        "chat",
+    )
+    return chat.digests(chat.parse_segments(formatted))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality.apply_rules(docs).select(
@@ -69,6 +89,11 @@ def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(docs, vocabulary(PIECE_VOCABULARY))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return images.copies(images.draw(vectors, "vec_id", "embedding"), "vec_id", "image")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near.similar(docs).select(
@@ -131,8 +156,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_lattice_likelihood": op4_lattice_likelihood,
+    "op5_media_columns": op5_media_columns,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -151,7 +178,27 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, '<|' || role || '|>' || chr(10)
+    || regexp_replace(replace(text, '\', '\\'),
+      '(<)(\||/?s>|</?SYS>>|start_of_turn>|end_of_turn>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g')
+    || '<|end|>' || chr(10) AS segment
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(segment))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 ORACLE_SQL = {
+    "op8_chat_formatting": OP8_SQL,
     "op3_warc": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
 }
