@@ -36,6 +36,11 @@ MARK = "▁".encode()
 
 _HASH = np.uint64(0x100000001B3)
 _START = np.uint64(0xCBF29CE484222325)
+#: Slots of a piece table, and a multiplier for each table that may be needed.
+_SLOT_BITS = 20
+_SLOTS = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+#: Probabilities are stretched by this for each byte, so that words don't underflow.
+_STRETCH = np.log(20.0)
 
 
 class Pieces:
@@ -60,9 +65,20 @@ class Pieces:
         self.ids = {bytes([b]): b for b in range(256)} | found
         self.longest = max(map(len, self.ids))
         hashes = np.array([self.hash(p) for p in self.ids], dtype=np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.order = hashes[order], np.fromiter(self.ids.values(), dtype=np.int64)[order]
-        assert (np.diff(self.hashes) > 0).all()
+        assert len(np.unique(hashes)) == len(hashes)
+        # a slot holds one id; what shares a slot goes to the next table
+        self.hashes, self.tables, rest = hashes, [], np.arange(len(hashes))
+        while len(rest):
+            table_ = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
+            slots = self._slots(hashes[rest], len(self.tables))
+            _, first = np.unique(slots, return_index=True)
+            table_[slots[first]] = rest[first]
+            self.tables.append(table_)
+            rest = np.delete(rest, first)
+
+    @staticmethod
+    def _slots(h: np.ndarray, k: int) -> np.ndarray:
+        return ((h * _SLOTS[k]) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -76,8 +92,13 @@ class Pieces:
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashed strings, -1 where there is no such piece."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.order[at], -1)
+        out = np.full(len(h), -1, dtype=np.int32)
+        for k, table_ in enumerate(self.tables):
+            ids = table_[self._slots(h, k)]
+            hit = np.flatnonzero(ids >= 0)
+            hit = hit[self.hashes[ids[hit]] == h[hit]]
+            out[hit] = ids[hit]
+        return out
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -98,37 +119,50 @@ def arcs(vocab: Pieces, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         for j in range(i + 1, min(size, i + vocab.longest) + 1):
             h = (h ^ chars[:, j - 1]) * _HASH
             ids = vocab.lookup(h)
-            if (ids >= 0).any():
+            if ids.max() >= 0:
                 found[i, j] = ids
     return found
 
 
-def forward(lattice: dict, size: int, n: int, logp: np.ndarray) -> tuple[np.ndarray, dict]:
+def forward(lattice: dict, size: int, n: int, logp: np.ndarray) -> np.ndarray:
     """Log sums over all ways to reach each place."""
     alpha = np.full((size + 1, n), -np.inf)
     alpha[0] = 0.0
-    scores = {}
     with np.errstate(divide="ignore"):
         for (i, j), ids in sorted(lattice.items(), key=lambda x: x[0]):
-            score = scores[i, j] = np.where(ids >= 0, logp[ids], -np.inf)
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + score)
-    return alpha, scores
+            at = np.flatnonzero(ids >= 0)
+            alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + logp[ids[at]])
+    return alpha
 
 
 def expected(vocab: Pieces, chars: np.ndarray, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in words of one length, with their counts."""
+    """Expected uses of each piece in words of one length, with their counts.
+
+    Works on stretched probabilities; words that underflow all the same are
+    done again in log space.
+    """
     n, size = chars.shape
     lattice = arcs(vocab, chars)
-    alpha, scores = forward(lattice, size, n, logp)
-    beta = np.full((size + 1, n), -np.inf)
-    beta[size] = 0.0
-    for (i, j), score in sorted(scores.items(), key=lambda x: -x[0][0]):
-        beta[i] = np.logaddexp(beta[i], score + beta[j])
     total = np.zeros(len(vocab))
-    for (i, j), ids in lattice.items():
-        use = np.exp(alpha[i] + scores[i, j] + beta[j] - alpha[size]) * counts
-        hit = ids >= 0
-        total += np.bincount(ids[hit], weights=use[hit], minlength=len(vocab))
+    # only the words that have a piece on an arc take part in it
+    held = []
+    for (i, j), ids in sorted(lattice.items(), key=lambda x: x[0]):
+        at = np.flatnonzero(ids >= 0)
+        got = ids[at]
+        held.append((i, j, at, got, np.exp(logp[got] + _STRETCH * (j - i))))
+    alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+    alpha[0] = beta[size] = 1.0
+    for i, j, at, _, p in held:
+        alpha[j, at] += alpha[i, at] * p
+    for i, j, at, _, p in reversed(held):
+        beta[i, at] += p * beta[j, at]
+    low = alpha[size] < 1e-250
+    share = np.where(low, 0.0, counts / np.where(low, 1.0, alpha[size]))
+    uses = [alpha[i, at] * p * beta[j, at] * share[at] for i, j, at, _, p in held]
+    which = np.concatenate([got for _, _, _, got, _ in held])
+    total += np.bincount(which, weights=np.concatenate(uses), minlength=len(vocab))
+    for k in np.flatnonzero(low):
+        total += long_word(vocab, chars[k].astype(np.uint8).tobytes(), logp, counts[k])
     return total
 
 
@@ -239,11 +273,24 @@ def _code(chunk_bytes: int):
     return run
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined to ``rows`` rows or more: words are handled length by length."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _expect(path: str, logp: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces(path)
         total = np.zeros(len(vocab))
-        for batch in batches:
+        for batch in gathered(batches):
             words = batch.column(0).to_pylist()
             counts = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             for at, chars in by_length(words):
@@ -260,12 +307,12 @@ def _expect(path: str, logp: np.ndarray):
 def _score(path: str, logp: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces(path)
-        for batch in batches:
+        for batch in gathered(batches):
             words = batch.column(0).to_pylist()
             out = np.zeros(len(words))
             for at, chars in by_length(words):
                 lattice = arcs(vocab, chars)
-                out[at] = forward(lattice, chars.shape[1], len(at), logp)[0][-1]
+                out[at] = forward(lattice, chars.shape[1], len(at), logp)[-1]
             for k, word in enumerate(words):
                 if len(word) + 1 > LONG:
                     out[k] = long_word(vocab, b" " + word, logp)

@@ -1,10 +1,407 @@
-"""Named queries over the test tables and the SQL that must give the same rows."""
+"""Named queries over the test tables and the SQL that must give the same rows.
+
+Orders serve as a raster: keys are dense, so ``key div 100`` and ``key % 100``
+make a complete grid of 100 columns whose height is the total price; urgent
+orders with keys divisible by 97 count as missing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talusgrid.operators import events, features, grid, model, ranking, raster, sampling
 
+WIDTH = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 97 == 0)
+    return read(spark, sf_dir, "orders").select(
+        F.expr("int(o_orderkey div 100)").alias("row"),
+        (F.col("o_orderkey") % WIDTH).cast("int").alias("col"),
+        F.when(~missing, F.col("o_totalprice")).alias("z"),
+        (F.col("o_custkey") % 5 + 1).cast("int").alias("fold"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 61 == 0)).alias("label"),
+    )
+
+
+def height(spark: SparkSession, sf_dir: str) -> int:
+    return read(spark, sf_dir, "orders").count() // WIDTH
+
+
+GRID = """g AS (SELECT (o_orderkey // 100)::INT AS "row", (o_orderkey % 100)::INT AS col,
+  CASE WHEN NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 97 = 0) THEN o_totalprice END AS z,
+  (o_custkey % 5 + 1)::INT AS fold, o_orderstatus = 'F' AND o_orderkey % 61 = 0 AS label FROM orders),
+h AS (SELECT max("row") + 1 AS height FROM g)"""
+
+
+# events and lists -----------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'P')")
+def prefix_filter(spark, sf_dir):
+    return events.with_prefix(read(spark, sf_dir, "part"), "p_type", "P").select("p_partkey", "p_type")
+
+
+_CELL = (
+    "CASE l_linenumber % 3 WHEN 0 THEN concat(' ', l_returnflag, ';', l_partkey % 7, ' ; ') "
+    "WHEN 1 THEN 'nan' ELSE concat(l_partkey % 5, ';;', l_suppkey % 3) END"
+)
+
+
+@query(
+    f"""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CELL} AS cell,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
+e AS (SELECT l_orderkey, k, unnest(string_split(cell, ';')) AS x, generate_subscripts(string_split(cell, ';'), 1) AS j
+  FROM c WHERE k <= 5 AND cell NOT IN ('', 'nan', 'None')),
+d AS (SELECT l_orderkey, trim(x) AS x, min(k * 100 + j) AS p FROM e WHERE trim(x) <> '' GROUP BY 1, 2),
+s AS (SELECT l_orderkey, string_agg(x, ',' ORDER BY p) AS events, count(*)::BIGINT AS n FROM d GROUP BY 1)
+SELECT o.l_orderkey, coalesce(events, '') AS events, coalesce(n, 0)::BIGINT AS n
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN s USING (l_orderkey)"""
+)
+def combine_event_columns(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_CELL).alias("cell"), F.row_number().over(order).alias("k"))
+    wide = rows.groupBy("l_orderkey").agg(*[F.max(F.when(F.col("k") == i, F.col("cell"))).alias(f"event_{i}") for i in range(1, 6)])
+    found = F.array_distinct(events.combine_events(*[f"event_{i}" for i in range(1, 6)]))
+    return wide.select("l_orderkey", F.array_join(found, ",").alias("events"), F.size(found).cast("long").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT o_orderkey, unnest([o_custkey, o_custkey, o_orderkey % 50]) AS c_custkey FROM orders)
+SELECT c.c_custkey, count(m.o_orderkey)::BIGINT AS n_geometries, min(m.o_orderkey) AS first_geometry
+FROM customer c LEFT JOIN m USING (c_custkey) GROUP BY 1""")
+def list_membership_join(spark, sf_dir):
+    lists = F.array("o_custkey", "o_custkey", F.col("o_orderkey") % 50)
+    geoms = read(spark, sf_dir, "orders").select("o_orderkey", lists.alias("events"))
+    people = read(spark, sf_dir, "customer").select("c_custkey")
+    return events.events_with_geometries(people, geoms, "c_custkey", "o_orderkey", "events")
+
+
+_ROW = "l_orderkey * 1000000 + l_linenumber * 10000 + l_suppkey"
+
+
+@query(f"""
+WITH e AS (SELECT l_partkey, {_ROW} AS r, [l_returnflag, l_linestatus] AS ev FROM lineitem),
+x AS (SELECT l_partkey, r, unnest(ev) AS e, generate_subscripts(ev, 1) AS j FROM e),
+d AS (SELECT l_partkey, e, min((r, e, j)) AS p FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY r, e) FROM x) GROUP BY 1, 2),
+s AS (SELECT l_partkey, count(DISTINCT list_sort(list_distinct(ev))) = 1 AS identical, count(*)::BIGINT AS n_rows FROM e GROUP BY 1)
+SELECT s.l_partkey, s.n_rows, s.identical, (SELECT string_agg(e, ',' ORDER BY e) FROM d WHERE d.l_partkey = s.l_partkey) AS events FROM s""")
+def merge_duplicates(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_partkey", F.expr(_ROW).alias("r"), F.array("l_returnflag", "l_linestatus").alias("ev"))
+    return events.merge_duplicates(rows, "l_partkey", "ev", "r").select(
+        "l_partkey", "n_rows", "identical", F.array_join(F.array_sort("ev"), ",").alias("events")
+    )
+
+
+@query("""SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid
+FROM (SELECT c_custkey, sha1(c_name) AS h FROM customer)""")
+def geometry_hash_uuid(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", events.hash_uuid(F.sha1("c_name")).alias("uuid"))
+
+
+@query("SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")
+def json_roundtrip(spark, sf_dir):
+    text = F.to_json(F.array_sort(F.collect_list("l_returnflag")))
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("j"))
+    return rows.select("l_orderkey", F.array_join(F.from_json("j", "array<string>"), ",").alias("flags"))
+
+
+@query("""SELECT o_orderstatus, count(*)::BIGINT AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM orders GROUP BY 1""")
+def value_counts_pct(spark, sf_dir):
+    got = events.value_counts(read(spark, sf_dir, "orders"), "o_orderstatus")
+    return got.withColumn("pct", F.round("pct", 6))
+
+
+# rasters --------------------------------------------------------------------
+
+
+@query(f"""WITH {GRID}, i AS (SELECT (l_orderkey // 100)::INT AS "row", (l_orderkey % 100)::INT AS col, sum(l_quantity) * 10.5 AS ice FROM lineitem GROUP BY 1, 2)
+SELECT "row", col, CASE WHEN z IS NULL THEN 65535 ELSE greatest(least(round_even(z - coalesce(ice, 0), 0), 65534), 0) END::INT AS z FROM g LEFT JOIN i USING ("row", col)""")
+def raster_subtract_quantise(spark, sf_dir):
+    ice = read(spark, sf_dir, "lineitem").groupBy(
+        F.expr("int(l_orderkey div 100)").alias("row"), (F.col("l_orderkey") % 100).cast("int").alias("col")
+    ).agg((F.sum("l_quantity") * 10.5).alias("ice"))
+    return raster.quantise(raster.subtract(lift(spark, sf_dir), ice))
+
+
+@query(f"""WITH {GRID}, s AS (SELECT "row", col, z AS v FROM g WHERE "row" < 40 AND col < 30)
+SELECT g."row", g.col, round(s.v, 6) AS v FROM g LEFT JOIN s ON s."row" = g."row" // 3 AND s.col = g.col // 3""")
+def resample_nearest(spark, sf_dir):
+    g = lift(spark, sf_dir)
+    coarse = g.where("row < 40 and col < 30").select("row", "col", F.col("z").alias("v"))
+    return raster.resample_nearest(g.select("row", "col"), coarse, 3.0, "v").withColumn("v", F.round("v", 6))
+
+
+def shapes(spark, sf_dir):
+    key = F.col("s_suppkey")
+    x, y = key * 37 % 97, key * 53 % 140
+    return read(spark, sf_dir, "supplier").select(
+        key.alias("k"), (x + 0.25).alias("x0"), (x + 2.5 + key % 9).alias("x1"), y.cast("double").alias("y0"),
+        (y + 1.75 + key % 7).alias("y1"), F.when(key % 11 != 0, (key % 5 + 1).cast("int")).alias("fold"),
+    )
+
+
+SHAPES = """s AS (SELECT s_suppkey AS k, s_suppkey * 37 % 97 + 0.25::DOUBLE AS x0, s_suppkey * 37 % 97 + 2.5::DOUBLE + s_suppkey % 9 AS x1,
+  (s_suppkey * 53 % 140)::DOUBLE AS y0, s_suppkey * 53 % 140 + 1.75::DOUBLE + s_suppkey % 7 AS y1,
+  CASE WHEN s_suppkey % 11 <> 0 THEN (s_suppkey % 5 + 1)::INT END AS fold FROM supplier)"""
+
+
+@query(f"""WITH {GRID}, {SHAPES} SELECT "row", col, round(z, 6) AS z FROM g WHERE EXISTS (SELECT 1 FROM s
+WHERE g.col + 0.5 BETWEEN x0 - 1.5 AND x1 + 1.5 AND g."row" + 0.5 BETWEEN y0 - 1.5 AND y1 + 1.5)""")
+def clip_rectangles(spark, sf_dir):
+    return raster.clip(lift(spark, sf_dir), shapes(spark, sf_dir), 1.5).select("row", "col", F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {GRID}, {SHAPES} SELECT "row", col, coalesce((SELECT max_by(fold, k) FROM s WHERE fold IS NOT NULL
+AND g.col + 1 >= x0 AND g.col <= x1 AND g."row" + 1 >= y0 AND g."row" <= y1), -1)::INT AS fold FROM g""")
+def rasterize_fold(spark, sf_dir):
+    return raster.rasterise(lift(spark, sf_dir), shapes(spark, sf_dir).where("fold is not null"), "fold", "k")
+
+
+@query(f"""WITH {GRID}, {SHAPES}, t AS (SELECT g.*, EXISTS (SELECT 1 FROM s WHERE fold IS NOT NULL AND g.col + 1 >= x0 AND g.col <= x1 AND g."row" + 1 >= y0 AND g."row" <= y1) AS f,
+EXISTS (SELECT 1 FROM s WHERE fold IS NULL AND g.col + 1 >= x0 AND g.col <= x1 AND g."row" + 1 >= y0 AND g."row" <= y1) AS r FROM g)
+SELECT "row", col, (CASE WHEN NOT f THEN -1 WHEN r THEN 1 ELSE 0 END)::INT AS label FROM t""")
+def rasterize_labels(spark, sf_dir):
+    g, s = lift(spark, sf_dir), shapes(spark, sf_dir)
+    folds = raster.rasterise(g, s.where("fold is not null"), "fold", "k")
+    release = raster.rasterise(g, s.where("fold is null").withColumn("hit", F.lit(1)), "hit", "k", fill=0)
+    label = F.when(F.col("fold") == -1, -1).otherwise(F.col("hit"))
+    return folds.join(release, ["row", "col"]).select("row", "col", label.alias("label"))
+
+
+@query(f"""WITH {GRID}, {SHAPES} SELECT "row", col, CASE
+WHEN EXISTS (SELECT 1 FROM s WHERE fold IS NULL AND col + 0.5 BETWEEN x0 AND x1 AND "row" + 0.5 BETWEEN y0 AND y1) THEN 3
+WHEN EXISTS (SELECT 1 FROM s WHERE fold IS NULL AND col + 0.5 BETWEEN x0 - 2 AND x1 + 2 AND "row" + 0.5 BETWEEN y0 - 2 AND y1 + 2) THEN 2
+WHEN z IS NOT NULL AND EXISTS (SELECT 1 FROM s WHERE fold IS NOT NULL AND col + 0.5 BETWEEN x0 AND x1 AND "row" + 0.5 BETWEEN y0 AND y1) THEN 1
+ELSE 0 END AS label FROM g""")
+def priority_labels(spark, sf_dir):
+    s = shapes(spark, sf_dir)
+    return raster.priority_labels(lift(spark, sf_dir), s.where("fold is not null"), s.where("fold is null"), 2.0)
+
+
+# terrain --------------------------------------------------------------------
+
+
+def _blur(sigma: float) -> str:
+    """CTE ``b``: the grid smoothed by joining each pixel with its mirrored neighbours."""
+    w = grid.weights(sigma)
+    r = len(w) // 2
+    rows = ", ".join(f"({k - r}, {x!r}::DOUBLE)" for k, x in enumerate(w))
+    step = lambda axis, size, src, dst: f"""{dst} AS (SELECT a."row", a.col, CASE WHEN count(n.z) = {2 * r + 1} THEN sum(n.z * w.w) END AS z
+  FROM {src} a CROSS JOIN w CROSS JOIN h JOIN {src} n ON n.{"col" if axis == '"row"' else '"row"'} = a.{"col" if axis == '"row"' else '"row"'}
+  AND n.{axis} = CASE WHEN a.{axis} + w.d < 0 THEN -1 - a.{axis} - w.d WHEN a.{axis} + w.d >= {size} THEN 2 * {size} - 1 - a.{axis} - w.d ELSE a.{axis} + w.d END
+  GROUP BY 1, 2)"""
+    return f"""w(d, w) AS (VALUES {rows}), {step('"row"', "h.height", "g", "b0")}, {step("col", "100", "b0", "b")}"""
+
+
+def _diff(value: str, axis: str, size: str) -> str:
+    other = "col" if axis == '"row"' else '"row"'
+    over = f"OVER (PARTITION BY {other} ORDER BY {axis})"
+    after, before = f"lead({value}) {over}", f"lag({value}) {over}"
+    return f"CASE WHEN {axis} = 0 THEN {after} - {value} WHEN {axis} = {size} - 1 THEN {value} - {before} ELSE ({after} - {before}) / 2 END"
+
+
+_D = f"""d1 AS (SELECT *, {_diff("z", "col", "100")} AS p, {_diff("z", '"row"', "(SELECT height FROM h)")} AS q FROM b),
+d2 AS (SELECT *, {_diff("p", "col", "100")} AS zxx, {_diff("q", '"row"', "(SELECT height FROM h)")} AS zyy,
+  {_diff("p", '"row"', "(SELECT height FROM h)")} AS zxy, p * p + q * q AS gg FROM d1),
+d3 AS (SELECT *, (zxx * (1 + q * q) - 2 * zxy * p * q + zyy * (1 + p * p)) / (2 * pow(1 + gg, 1.5)) AS hm, (zxx * zyy - zxy * zxy) / pow(1 + gg, 2) AS kk FROM d2)"""
+_EXPR = {
+    "slope": "degrees(atan(sqrt(gg)))",
+    "profile_curvature": "(zxx * p * p + 2 * zxy * p * q + zyy * q * q) / nullif(pow(gg, 1.5), 0)",
+    "planform_curvature": "(zxx * q * q - 2 * zxy * p * q + zyy * p * p) / nullif(sqrt(gg), 0)",
+    "mean_curvature": "hm",
+    "gaussian_curvature": "kk",
+    "max_curvature": "hm + sqrt(CASE WHEN hm * hm - kk < 0 THEN 0 ELSE hm * hm - kk END)",
+    "min_curvature": "hm - sqrt(CASE WHEN hm * hm - kk < 0 THEN 0 ELSE hm * hm - kk END)",
+}
+
+
+#: Curvatures of a made-up surface span many sizes; few digits hide the sums' order.
+DIGITS = 2
+
+
+def _terrain(attribute: str, sigma: float, sql: str) -> None:
+    column = f"{attribute}_sigma{sigma:g}"
+
+    def run(spark, sf_dir):
+        got = grid.terrain(lift(spark, sf_dir).select("row", "col", "z"), attribute, sigma, height(spark, sf_dir), WIDTH)
+        return got.withColumn(column, F.round(column, DIGITS) + F.lit(0.0))  # no negative zero
+
+    query(sql.format(column=column), f"{attribute}_s{sigma:g}")(run)
+
+
+_terrain("elevation", 1, f'WITH {GRID}, {_blur(1)} SELECT "row", col, round(z, 2) + 0.0 AS {{column}} FROM b')
+for _name, _expr in _EXPR.items():
+    _terrain(_name, 1, f'WITH {GRID}, {_blur(1)}, {_D} SELECT "row", col, round({_expr}, 2) + 0.0::DOUBLE AS {{column}} FROM d3')
+_terrain(
+    "slope_break_index",
+    1,
+    f"""WITH {GRID}, {_blur(1)}, {_D}, s AS (SELECT "row", col, {_EXPR["slope"]} AS s FROM d3),
+e AS (SELECT "row", col, {_diff("s", "col", "100")} AS sx, {_diff("s", '"row"', "(SELECT height FROM h)")} AS sy FROM s)
+SELECT "row", col, round(sqrt(sx * sx + sy * sy), 2) AS {{column}} FROM e""",
+)
+
+_DISC = ", ".join(f"({d}, {e})" for d, s in grid.spans(3).items() for e in range(-s, s + 1))
+_FOCAL = f"""WITH {GRID}, o(dy, dx) AS (VALUES {_DISC}), e AS (SELECT min(z) AS lo, max(z) AS hi FROM g),
+q AS (SELECT "row", col, z, trunc((z - lo) / (hi - lo) * 255)::INT AS b, lo, hi FROM g CROSS JOIN e),
+f AS (SELECT a."row", a.col, any_value(a.lo) AS lo, any_value(a.hi) AS hi, count(n.z) AS n, avg(n.z) AS m, var_pop(n.z) AS v,
+  min(n.b) AS b0, max(n.b) AS b1, sum(n.b) AS bs, quantile_disc(n.b, 0.5) AS bm
+  FROM q a CROSS JOIN o JOIN q n ON n."row" = a."row" + o.dy AND n.col = a.col + o.dx GROUP BY 1, 2)
+SELECT g."row", g.col, round(CASE WHEN n = 29 THEN {{expr}} END, {{digits}}) AS {{column}} FROM g LEFT JOIN f USING ("row", col)"""
+for _stat, _expr, _digits in (
+    ("std", "sqrt(v)", 3), ("var", "v", -1), ("min", "lo + b0 / 255.0::DOUBLE * (hi - lo)", 4),
+    ("max", "lo + b1 / 255.0::DOUBLE * (hi - lo)", 4), ("range", "(b1 - b0) / 255.0::DOUBLE * (hi - lo)", 4),
+    ("mean", "lo + floor(bs / 29.0::DOUBLE) / 255 * (hi - lo)", 4), ("median", "lo + bm / 255.0::DOUBLE * (hi - lo)", 4),
+):
+
+    def _focal(spark, sf_dir, stat=_stat, digits=_digits):
+        column = f"z_{stat}_w3"
+        return grid.focal(lift(spark, sf_dir).select("row", "col", "z"), stat, 3).withColumn(column, F.round(column, digits))
+
+    query(_FOCAL.format(expr=_expr, digits=_digits, column=f"z_{_stat}_w3"), f"focal_{_stat}_w3")(_focal)
+
+
+@query(f"""WITH {GRID}, f AS (SELECT a."row", a.col, count(n.z) AS n, var_pop(n.z) AS v FROM g a JOIN g n
+ON n."row" BETWEEN a."row" - 2 AND a."row" + 2 AND n.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2)
+SELECT "row", col, round(CASE WHEN n = 25 THEN v END, -1) AS local_variance FROM f""")
+def local_variance_5x5(spark, sf_dir):
+    got = grid.box_variance(lift(spark, sf_dir).select("row", "col", "z"))
+    return got.withColumn("local_variance", F.round("local_variance", -1))
+
+
+@query(f"""WITH {GRID} SELECT g."row", g.col, EXISTS (SELECT 1 FROM g p WHERE p.label
+AND abs(p."row" - g."row") <= 10 AND abs(p.col - g.col) <= 10) AS near FROM g""")
+def dilate_exclude_b10(spark, sf_dir):
+    return grid.dilate(lift(spark, sf_dir).select("row", "col", "label"), "label", 10).drop("label")
+
+
+@query(f"""WITH {GRID}, p AS (SELECT g.*, EXISTS (SELECT 1 FROM g p WHERE p.label AND p.fold = g.fold
+AND abs(p."row" - g."row") <= 3 AND abs(p.col - g.col) <= 3) AS near FROM g),
+r AS (SELECT *, count(*) FILTER (label) OVER (PARTITION BY fold) AS np FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY md5(concat_ws(':', 42 + fold, "row", col)), "row", col) AS i FROM r WHERE label OR NOT near)
+SELECT fold, "row", col, label::INT AS label FROM k WHERE np > 0 AND (label OR i <= floor(np * 2.0::DOUBLE * 1.2::DOUBLE))""")
+def fold_sample(spark, sf_dir):
+    return sampling.fold_sample(lift(spark, sf_dir), 2.0, 3, 42)
+
+
+@query(f"""WITH {GRID} SELECT "row", col FROM g WHERE z IS NOT NULL AND z < 400000""")
+def valid_pixels(spark, sf_dir):
+    g = lift(spark, sf_dir).withColumn("f", F.when(F.col("z") >= 400000, F.lit(float("inf"))).otherwise(F.lit(1.0)))
+    return sampling.valid(g, ["z", "f"]).select("row", "col")
+
+
+_SIZES = (5, 10, 15, 41, 46, 51, 6, 11, 16, 42, 47, 52, 1, 2, 3, 4, 5, 6, 5, 5, 5, 10, 10, 15, 20, 20, 25, 30, 30, 45)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, {n})' for k, n in enumerate(_SIZES, 1))}) AS t(set_id, n_features)")
+def feature_set_projection(spark, sf_dir):
+    every = features.standard_features()
+    rows = [(k, f.column) for k in range(1, 31) for f in features.feature_set(every, k)]
+    sets = spark.createDataFrame(rows, "set_id int, feature string")
+    return sets.groupBy("set_id").agg(F.countDistinct("feature").cast("int").alias("n_features"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity,
+round((l_discount - avg(l_discount) OVER ()) / stddev_pop(l_discount) OVER (), 6) AS l_discount FROM lineitem""")
+def standard_scale(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    got = sampling.standard_scale(rows, ["l_quantity", "l_discount"])
+    return got.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("l_quantity", "l_discount")])
+
+
+# ranking --------------------------------------------------------------------
+
+
+def scored(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").alias("label"),
+        (F.col("o_custkey") % 5 + 1).cast("int").alias("fold"),
+    )
+
+
+_ARGS = ("score", "label", "o_orderkey")
+_CURVE = """k AS (SELECT (o_custkey % 5 + 1)::INT AS fold, (o_orderstatus = 'F')::INT AS y,
+  row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_totalprice DESC, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey % 5) AS n FROM orders),
+c AS (SELECT fold, y, i, n, i / n::DOUBLE * 100 AS x, sum(y) OVER (PARTITION BY fold ORDER BY i) / sum(y) OVER (PARTITION BY fold)::DOUBLE * 100 AS v FROM k)"""
+
+
+@query(f"WITH {_CURVE} SELECT fold, i, n, round(x, 6) AS inspected_area_pct, round(v, 6) AS detected_positives_pct FROM c")
+def success_rate_curve(spark, sf_dir):
+    got = ranking.success_rate_curve(scored(spark, sf_dir), *_ARGS)
+    return got.select("fold", F.col("i").cast("long").alias("i"), "n", *[F.round(c, 6).alias(c) for c in ("inspected_area_pct", "detected_positives_pct")])
+
+
+_METRICS = f"""WITH {_CURVE}, a AS (SELECT *, (x - lag(x) OVER w) * (v + lag(v) OVER w) / 2 AS area FROM c WINDOW w AS (PARTITION BY fold ORDER BY i))
+SELECT fold, {{columns}} FROM a GROUP BY fold"""
+_TOPS = ", ".join(f"round(max(v) FILTER (i = ceil(n * {p / 100!r}::DOUBLE)), 6) AS top_{p}_pct" for p in ranking.TOP)
+
+
+@query(_METRICS.format(columns="round(sum(area) / 10000, 6) AS auc"))
+def src_auc(spark, sf_dir):
+    got = ranking.curve_metrics(ranking.success_rate_curve(scored(spark, sf_dir), *_ARGS))
+    return got.select("fold", F.round("auc", 6).alias("auc"))
+
+
+@query(_METRICS.format(columns=_TOPS))
+def top_pct_gain(spark, sf_dir):
+    got = ranking.curve_metrics(ranking.success_rate_curve(scored(spark, sf_dir), *_ARGS))
+    return got.select("fold", *[F.round(f"top_{p}_pct", 6).alias(f"top_{p}_pct") for p in ranking.TOP])
+
+
+@query(f"WITH {_CURVE} SELECT fold, round(avg((i - 1) / nullif(n - 1, 0)::DOUBLE * 100), 6) AS mean_rank_percentile FROM c WHERE y = 1 GROUP BY 1")
+def mean_rank_percentile(spark, sf_dir):
+    got = ranking.mean_rank_percentile(scored(spark, sf_dir), *_ARGS)
+    return got.select("fold", F.round("mean_rank_percentile", 6).alias("mean_rank_percentile"))
+
+
+@query(f"""WITH {_CURVE} SELECT fold, least(floor((i - 1) / n::DOUBLE * 100 / 5), 19)::INT AS bin, (least(floor((i - 1) / n::DOUBLE * 100 / 5), 19) + 0.5) * 5 AS bin_center,
+round(sum(y) / (SELECT sum(y) FROM k WHERE k.fold = c.fold)::DOUBLE * 100, 6) AS pct_positives FROM c GROUP BY 1, 2, 3""")
+def gain_bins(spark, sf_dir):
+    got = ranking.gain_bins(scored(spark, sf_dir), *_ARGS)
+    return got.select("fold", "bin", F.col("bin_center").cast("double").alias("bin_center"), F.round("pct_positives", 6).alias("pct_positives"))
+
+
+@query(f"""WITH {_CURVE}, e AS (SELECT *, lead(x) OVER w AS x2, lead(v) OVER w AS v2 FROM c WINDOW w AS (PARTITION BY fold ORDER BY i)),
+p AS (SELECT k AS kk, k * (100.0::DOUBLE / 99) AS gx FROM range(100) t(k)),
+m AS (SELECT kk, gx, fold, CASE WHEN i = 1 AND gx <= x OR x2 IS NULL THEN v ELSE v + (gx - x) * (v2 - v) / (x2 - x) END AS y
+  FROM p JOIN e ON (gx >= x - 1e-9 OR i = 1) AND (x2 IS NULL OR gx < x2 - 1e-9))
+SELECT round(gx, 6) AS inspected_area_pct, round(avg(y), 4) AS detected_positives_pct_mean, round(stddev_pop(y), 4) AS detected_positives_pct_std FROM m GROUP BY gx""")
+def curve_mean_std(spark, sf_dir):
+    got = ranking.curve_mean_std(ranking.success_rate_curve(scored(spark, sf_dir), *_ARGS))
+    return got.select(
+        F.round("inspected_area_pct", 6).alias("inspected_area_pct"),
+        *[F.round(c, 4).alias(c) for c in ("detected_positives_pct_mean", "detected_positives_pct_std")],
+    )
+
+
+@query()
+def pu_bagging_cv(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", (F.col("o_custkey") % 100).cast("double").alias("c"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0)).cast("int").alias("label"),
+        (F.col("o_custkey") % 3).cast("int").alias("fold"),
+    )
+    return model.cross_validate(rows, ["o_totalprice", "c"], estimators=2).select("o_orderkey", "fold", "label", "score")

@@ -33,7 +33,7 @@ def test_forward_sums_over_all_segmentations():
     logp = np.log(rng.dirichlet(np.ones(len(vocab) + 1)))
     for word in (b" thing", " naïve".encode(), b" a", " 猫".encode(), b" antidisestablish"):
         chars = np.frombuffer(word, dtype=np.uint8).reshape(1, -1).astype(np.uint64)
-        got = lattice.forward(lattice.arcs(vocab, chars), len(word), 1, logp)[0][-1][0]
+        got = lattice.forward(lattice.arcs(vocab, chars), len(word), 1, logp)[-1][0]
         want = math.log(probability(vocab, logp, word))
         assert got == pytest.approx(want, rel=1e-9)
         assert lattice.long_word(vocab, word, logp) == pytest.approx(want, rel=1e-9)
