@@ -159,8 +159,8 @@ def bins(df: DataFrame, value: str) -> DataFrame:
     """``df`` with ``vmin, vmax`` of the grid and the value's bin of 256."""
     ends = df.agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
     scaled = (F.col(value) - F.col("vmin")) / F.nullif(F.col("vmax") - F.col("vmin"), F.lit(0.0)) * 255
-    bin_ = F.when(F.col(value).isNotNull(), F.coalesce(scaled.cast("int"), F.lit(0)))
-    return df.crossJoin(F.broadcast(ends)).withColumn("bin", F.greatest(F.least(bin_, F.lit(255)), F.lit(0)))
+    bin_ = F.greatest(F.least(F.coalesce(scaled.cast("int"), F.lit(0)), F.lit(255)), F.lit(0))
+    return df.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(F.col(value).isNotNull(), bin_))
 
 
 def focal(df: DataFrame, stat: str, radius: int, value: str = "z") -> DataFrame:
