@@ -30,7 +30,7 @@ OPEN = 64
 #: Gaps of fewer ids than this are padded, not topped up.
 LEAST_CUT = 8
 #: Partitions whose leftovers are merged together.
-GROUP = 64
+GROUP = 16
 #: Windows are numbered within a partition below this.
 SPAN = 1 << 40
 
