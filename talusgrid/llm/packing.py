@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +58,15 @@ class WordIds:
     Texts with a special token's string go to the tokenizer whole.
     """
 
-    #: Words kept; at the limit the memory starts anew.
-    LIMIT = 400_000
-    _PLAIN = re.compile(rb"[\x21-\x7e]+\Z")
-    _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+    #: Words kept, and half as many parts; at the limit the memory starts anew.
+    LIMIT = 1_000_000
+    #: Words of printable ASCII and Latin-1 letters: composed already, and each
+    #: letter's lower case is one letter.
+    _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    _SPLIT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    #: The byte-level alphabet: printable bytes stand for themselves, the others
+    #: for the characters from 256 on.
+    _BYTES = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -80,20 +86,21 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
-            self.parts[part] = ids
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self._BYTES)
+            found = [t.id for t in self.model.tokenize(spelt)]
+            ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.words) + len(new) > self.LIMIT:
             self.words.clear()
-        if len(self.parts) > self.LIMIT:
+        if 2 * len(self.parts) > self.LIMIT:
             self.parts.clear()
         other = []
         for word in new:
-            if self._PLAIN.match(word):
-                # printable ASCII maps to itself in the byte-level alphabet
-                self.words[word] = b"".join(map(self._part, self._SPLIT.findall(word.decode().lower())))
+            text = word.decode()
+            if self._PLAIN.fullmatch(text):
+                self.words[word] = b"".join(map(self._part, self._SPLIT.findall(text.lower())))
             else:
                 other.append(word)
         for at in range(0, len(other), 4096):
