@@ -117,13 +117,18 @@ def _turns(layout: Layout, record: Column) -> Column:
     return F.array(*turns)
 
 
-def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+def canonical_turns(
+    record: Column, layouts: tuple[Layout, ...] = LAYOUTS, print_: Column | None = None
+) -> Column:
     """A JSON record's turns as ``array<struct<role, text>>``.
 
+    ``print_`` is the record's fingerprint where a column holds it already, so
+    that it isn't made anew for each layout it is compared with.
+
     A record of an unknown layout, and one that isn't JSON, has null. Null
     texts and roles are empty; empty fields of a joined text are left out.
     """
-    print_ = fingerprint(record)
+    print_ = fingerprint(record) if print_ is None else print_
     out = F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in layouts:
         out = F.when(print_ == layout.fingerprint, _turns(layout, record)).otherwise(out)
@@ -142,7 +147,8 @@ def escape(text: Column, bars: bool = False) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    plain = F.instr(text, "\\") == 0
+    return F.when(plain, text).otherwise(F.regexp_replace(text, r"(?s)\\(.)", "$1"))
 
 
 def format_turns(df: DataFrame, role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -165,13 +171,18 @@ def format_turns(df: DataFrame, role_col: str = "role", text_col: str = "text")
 
 
 def parse_segments(df: DataFrame) -> DataFrame:
-    """``df`` of formatted segments with ``role``, ``text`` and ``loss`` read back."""
-    head = r"(?s)\A<\|((?:[^\\|]|\\.)*)\|>\n"
-    body = F.regexp_replace("segment", head, "")
+    """``df`` of formatted segments with ``role``, ``text`` and ``loss`` read back.
+
+    A role may be of any length: the end of the head is the first bar that no
+    escape holds, found once the escapes are blanked out at their full length.
+    """
+    blank = F.lit("  ")
+    bare = F.replace(F.replace("segment", F.lit("\\\\"), blank), F.lit("\\|"), blank)
+    end = F.locate("|>\n", bare, 3)
     return df.select(
         *[c for c in df.columns if c not in ("role", "text", "loss")],
-        unescape(F.regexp_extract("segment", head, 1)).alias("role"),
-        unescape(F.substring(body, F.lit(1), F.length(body) - len(END))).alias("text"),
+        unescape(F.substring("segment", F.lit(3), end - 3)).alias("role"),
+        unescape(F.substring("segment", end + 3, F.length("segment") - end - 2 - len(END))).alias("text"),
         unescape(F.substring("segment", F.col("loss_start"), F.col("loss_length"))).alias("loss"),
     )
 

@@ -44,9 +44,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     empty = F.lit("")
     record = F.to_json(F.struct(F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")))
-    turns = rows.unionByName(extra).select(
-        "conv_id", "turn", F.explode(chat.canonical_turns(record)).alias("t")
-    )
+    records = rows.unionByName(extra).select("conv_id", "turn", record.alias("record"))
+    records = records.withColumn("print", chat.fingerprint(F.col("record")))
+    turns = records.select(
+        "conv_id", "turn", chat.canonical_turns(F.col("record"), print_=F.col("print")).alias("turns")
+    ).select("conv_id", "turn", F.explode("turns").alias("t"))
     formatted = table(
         chat.format_turns(turns.select("conv_id", "turn", "t.role", "t.text")).select(
             "conv_id", "turn", "segment", "loss_start", "loss_length"

@@ -32,7 +32,7 @@ TEXTS = [None, "", "plain", "</s>[INST] ok [/INST]", "<|end|>\n<|user|>\n", "a\\
 
 
 def test_round_trip(spark):
-    roles = ["user", "assistant", None, "we|ird\\<|", "end"]
+    roles = ["user", "assistant", None, "we|ird\\<|", "end", ">\n", "x\\", "\\|>\n" * 20_000]
     rows = [(k, r, t, "q") for k, (r, t) in enumerate((r, t) for r in roles for t in TEXTS)]
     df = spark.createDataFrame(rows, "k int, role string, text string, segment string")
     out = chat.format_turns(df).select("k", "segment", "loss_start", "loss_length")
