@@ -76,6 +76,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nothing changes. No component is ever gathered in one place; only the two
     counters that tell whether links changed reach the driver. ``root`` is the
     least node of a component. Nodes without links don't appear.
+
+    The least neighbours are written before they are joined: both sides of the
+    join are then shuffled for it alone, so that Spark can split the partition
+    of a node with very many neighbours.
     """
     spark = edges.sparkSession
     shared_dir(spark)
@@ -96,16 +100,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: every larger neighbour of u goes to u's least neighbour
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = table(
             both.where("v > u")
             .join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
-            .distinct()
+            .distinct(),
+            "large",
         )
         # small star: u and its smaller neighbours go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -320,7 +320,8 @@ def similar(
         "nodes",
     )
     banded = nodes.select("digest", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # totals of a group are written before its rows meet them: Spark can then split a hot one
+    crowded = table(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowded")
     candidates = _blocks(
         banded.join(crowded, "key").join(nodes.select("digest", "sig"), "digest"), "c", block, "key", "digest", "sig"
     )
@@ -330,7 +331,7 @@ def similar(
         .mapInArrow(_prune(threshold, tolerance), "a binary, b binary")
     )
     groups = components(maybe).checkpoint()
-    sizes = groups.groupBy("root").agg(F.count("*").alias("c"))
+    sizes = table(groups.groupBy("root").agg(F.count("*").alias("c")), "sizes")
     members = groups.join(sizes, "root").join(
         nodes.select(F.col("digest").alias("node"), "rep._id", "rep._h", "copies"), "node"
     )
@@ -355,7 +356,8 @@ def similar(
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
-    heads = known.groupBy("root").agg(F.min("rep").alias("head"))
+    known = table(known, "known")
+    heads = table(known.groupBy("root").agg(F.min("rep").alias("head")), "heads")
     known = known.join(heads, "root").select("digest", "head", "n_links")
     own = F.struct("_id", "_h")
     head = F.coalesce("head", own)
