@@ -353,7 +353,9 @@ def remove_repeats(
     docs = df.select(*row_key(F.col(id_col), text), text.cast("binary").alias("_text"))
 
     found = docs.mapInArrow(_find(width, m), "key long, _id long, _h long, start int, n int")
-    company = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # written first: its join with the places is then shuffled for itself alone,
+    # and Spark can split the partition of a very frequent minimiser
+    company = table(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "company")
     chosen = (
         found.join(company, "key")
         .groupBy("_id", "_h")
