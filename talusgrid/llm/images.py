@@ -1,16 +1,22 @@
 """Local image descriptors that find cropped and edited copies.
 
 Corners are found on several scales, their patches turned to the direction of
-their intensity centroid and described by binary intensity tests. Descriptors
-meet in Hamming tables, one for each 32-bit part: in a bucket, each joins the
-first earlier image it is close to, so a bucket hands on one match for each
-row at most. Two images are linked if enough matches agree on one change of
-scale, direction and place.
+their intensity centroid and described by binary intensity tests. Two images are
+linked if enough close descriptors agree on one change of scale, direction and
+place; classes are what links connect.
+
+1. Descriptors meet by 32-bit parts and each joins the first earlier image it
+   is close to. That links most copies by few rows.
+2. All close descriptors of images that aren't yet in one class are compared,
+   in buckets of the Hamming tables. Links within a class change nothing, so
+   only their pairs are left out. A bucket of more than ``block`` rows is dealt
+   out as pairs of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +30,10 @@ from .common import components, small_batches, table
 CORNERS = 40
 #: Half a patch's side; each level halves the image.
 RADIUS, LEVELS = 7, 3
-BITS, TABLES = 128, 4
+BITS = 128
+#: Bits of a part of the first tables; of the tables that compare all.
+FIRST, WIDTH = 32, 32
+BLOCK = 4096
 #: Most differing bits of a match; fewest matches that agree.
 DISTANCE, AGREE = 20, 5
 #: Pixels and degrees of a bin of places and directions.
@@ -101,7 +110,7 @@ def features(image: np.ndarray, corners: int = CORNERS) -> list[tuple[float, flo
 def _describe(corners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(
-            pa.struct([("x", pa.float64()), ("y", pa.float64()), ("level", pa.int32()), ("turn", pa.float64()), ("d", pa.binary())])
+            pa.struct([("x", pa.float64()), ("y", pa.float64()), ("level", pa.int32()), ("turn", pa.float64()), ("d0", pa.int64()), ("d1", pa.int64())])
         )
         for batch in batches:
             digests, found = [], []
@@ -111,7 +120,7 @@ def _describe(corners: int):
                 except ValueError:
                     got = []
                 digests.append(hashlib.blake2b(data, digest_size=16).digest() if data else None)
-                found.append([dict(zip(("x", "y", "level", "turn", "d"), f, strict=True)) for f in got])
+                found.append([dict(zip(("x", "y", "level", "turn", "d0", "d1"), (*f[:4], *struct.unpack("<qq", f[4])), strict=True)) for f in got])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(found, kinds)], names=["_id", "digest", "found"]
             )
@@ -119,41 +128,195 @@ def _describe(corners: int):
     return run
 
 
-_MATCH = "a binary, b binary, corner int, level int, turn double, dx double, dy double"
+FOUND = "array<struct<x:double,y:double,level:int,turn:double,d0:bigint,d1:bigint>>"
+_MATCH = "ca long, cb long"
+
+
+def _differ(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a0 ^ b0) + np.bitwise_count(a1 ^ b1)
+
+
+def _matches(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["ca", "cb"])
 
 
 def _match(distance: int):
     """Rows come sorted by bucket, then image; each joins the first close leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, leaders, codes = None, [], np.zeros((0, BITS // 8), np.uint8)
-        types = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-        names = [x.split()[0] for x in _MATCH.split(", ")]
+        bucket, leaders, codes = None, [], np.zeros((0, 2), np.uint64)
         for batch in batches:
             out = []
-            for key, image, corner, x, y, level, turn, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, image, c, d0, d1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != bucket:
                     bucket, leaders, codes = key, [], codes[:0]
-                code = np.frombuffer(d, np.uint8)
-                near = np.flatnonzero(np.bitwise_count(codes ^ code).sum(axis=1) <= distance)
+                code = np.array([d0, d1], np.int64).view(np.uint64)
+                near = np.flatnonzero(_differ(codes[:, 0], codes[:, 1], *code) <= distance)
                 if not len(near):
-                    leaders.append((image, x, y, level, turn))
+                    leaders.append((image, c))
                     codes = np.concatenate([codes, code[None]])
+                elif leaders[near[0]][0] != image:
+                    out.append((c, leaders[near[0]][1]))
+            yield _matches([x[0] for x in out], [x[1] for x in out])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups of (key, i, j), which rows come sorted by."""
+    kept, n = [], 0
+    for batch in batches:
+        kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n < rows:
+            continue
+        columns = [np.concatenate(c) for c in zip(*kept, strict=True)]
+        last = np.flatnonzero(_heads(columns))[-1]
+        kept, n = [[c[last:] for c in columns]], n - last
+        if last:
+            yield [c[:last] for c in columns]
+    if n:
+        yield [np.concatenate(c) for c in zip(*kept, strict=True)]
+
+
+def _heads(columns: list[np.ndarray]) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])
+    return new
+
+
+def _pairs(distance: int, width: int):
+    """Close descriptors of different classes, each pair in one of the buckets where it meets."""
+    parts, mask, reach = BITS // width, np.uint64(2**width - 1), 2 * _probes(distance, width)
+
+    def part(d: tuple[np.ndarray, np.ndarray], t: int) -> np.ndarray:
+        return (d[t * width // 64] >> np.uint64(t * width % 64)) & mask
+
+    def home(x: tuple, y: tuple) -> np.ndarray:
+        key = np.full(len(x[0]), -1, np.int64)
+        for t in range(parts):
+            p, q = part(x, t), part(y, t)
+            low = (p ^ q) & (~(p ^ q) + np.uint64(1))
+            here = (key < 0) & (np.bitwise_count(p ^ q) <= reach)
+            key[here] = (t << width) + np.minimum(p ^ low, q ^ low)[here].astype(np.int64)
+        return key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, i, j, own, c, cls, d0, d1 in _groups(batches):
+            d0, d1 = d0.view(np.uint64), d1.view(np.uint64)
+            bounds = [*np.flatnonzero(_heads([key, i, j])), len(key)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a < 2 or (cls[a:b] == cls[a]).all():
                     continue
-                other, ox, oy, olevel, oturn = leaders[near[0]]
-                if other == image:
-                    continue
-                # where this image's origin falls in the other, were this a copy
-                change, scale = np.radians(oturn - turn), 2.0 ** (olevel - level)
-                cx = ox - scale * (np.cos(change) * x - np.sin(change) * y)
-                cy = oy - scale * (np.sin(change) * x + np.cos(change) * y)
-                out.append((image, other, corner, olevel - level, float((oturn - turn) % 360), float(cx), float(cy)))
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                rows = np.arange(a, b)
+                one = i[a] == j[a]
+                left, right = (rows, rows) if one else (rows[own[a:b] == i[a]], rows[own[a:b] == j[a]])
+                step = max(1, (1 << 20) // max(1, len(right)))
+                for at in range(0, len(left), step):
+                    some = left[at : at + step, None]
+                    u, v = np.nonzero(_differ(d0[some], d1[some], d0[right], d1[right]) <= distance)
+                    u, v = some[u, 0], right[v]
+                    fit = (cls[u] != cls[v]) & ((u < v) | (not one))
+                    u, v = u[fit], v[fit]
+                    if len(u):
+                        fit = home((d0[u], d1[u]), (d0[v], d1[v])) == key[a]
+                        if fit.any():
+                            yield _matches(c[u[fit]], c[v[fit]])
 
     return run
 
 
+def _probes(distance: int, width: int) -> int:
+    """Bits that each of two keys may change; both together reach what one part may differ in."""
+    return 0
+
+
+def _keyed(corners: DataFrame, distance: int, width: int, *columns: str) -> DataFrame:
+    """Rows for each part and each change of ``_probes`` bits of it at most."""
+    masks = [0, *(1 << k for k in range(width))] if _probes(distance, width) else [0]
+    each = 64 // width
+    value = F.expr(f"shiftrightunsigned(if(t < {each}, d0, d1), {width} * (t % {each})) & {2**width - 1}L")
+    dealt = corners.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(BITS // width - 1))).alias("t"))
+    dealt = dealt.select(*columns, "t", value.alias("v"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m"))
+    return dealt.select(F.expr(f"shiftleft(bigint(t), {width}) + (v ^ m)").alias("key"), *columns)
+
+
+def _agreeing(matches: DataFrame, corners: DataFrame, agree: int) -> DataFrame:
+    """Links ``a, b`` of images with ``agree`` matches that have one origin."""
+    place = lambda name: corners.select(
+        F.col("c").alias(f"c{name}"), F.struct("digest", "img", "corner", "x", "y", "level", "turn").alias(f"{name}0")
+    )
+    met = matches.join(place("a"), "ca").join(place("b"), "cb")
+    met = met.select(F.greatest("a0", "b0").alias("p"), F.least("a0", "b0").alias("q"))
+    # where the one image's origin falls in the other, were it a copy
+    change, scale = F.radians(F.col("q.turn") - F.col("p.turn")), F.pow(F.lit(2.0), F.col("q.level") - F.col("p.level"))
+    met = met.select(
+        F.col("p.img").alias("a"), F.col("q.img").alias("b"), F.col("p.corner").alias("m"), F.col("q.corner").alias("n"),
+        (F.col("q.level") - F.col("p.level")).alias("level"),
+        F.pmod(F.col("q.turn") - F.col("p.turn"), F.lit(360.0)).alias("turn"),
+        (F.col("q.x") - scale * (F.cos(change) * F.col("p.x") - F.sin(change) * F.col("p.y"))).alias("dx"),
+        (F.col("q.y") - scale * (F.sin(change) * F.col("p.x") + F.cos(change) * F.col("p.y"))).alias("dy"),
+    )
+    # bins of two overlapping grids each way, so that no agreement is cut by an edge
+    grids = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
+    votes = met.select("*", grids.alias("g")).select(
+        "a", "b", "m", "n", "level", "g",
+        (F.floor((F.col("turn") + F.lit(TURN / 2) * F.col("g.k")) / F.lit(TURN)) % (360 // TURN)).alias("t"),
+        F.floor((F.col("dx") + F.lit(PLACE / 2) * F.col("g.i")) / F.lit(PLACE)).alias("u"),
+        F.floor((F.col("dy") + F.lit(PLACE / 2) * F.col("g.j")) / F.lit(PLACE)).alias("v"),
+    )
+    # a corner that resembles many of the other image's counts once, on either side
+    return (
+        votes.groupBy("a", "b", "level", "g", "t", "u", "v")
+        .agg(F.size(F.collect_set("m")).alias("m"), F.size(F.collect_set("n")).alias("n"))
+        .where(F.least("m", "n") >= agree)
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def first_links(corners: DataFrame, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
+    """Links found by one partner for each descriptor and bucket."""
+    matches = (
+        _keyed(corners, 0, FIRST, "digest", "corner", "c", "img", "d0", "d1")
+        .repartition("key")
+        .sortWithinPartitions("key", "digest", "corner")
+        .select("key", "img", "c", "d0", "d1")
+        .mapInArrow(_match(distance), _MATCH)
+        .distinct()
+    )
+    return _agreeing(matches, corners, agree)
+
+
+def close_pairs(rows: DataFrame, distance: int = DISTANCE, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """``ca, cb``: descriptors ``c`` of different ``cls`` that meet in the tables, each pair once."""
+    keyed = _keyed(rows, distance, width, "c", "cls", "d0", "d1")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = table(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "large")
+    dealt = keyed.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    dealt = dealt.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return (
+        dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "cls", "d0", "d1")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInArrow(_pairs(distance, width), _MATCH)
+    )
+
+
+def links(corners: DataFrame, distance: int = DISTANCE, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` that connect what all close descriptors of ``corners`` connect.
+
+    ``corners`` has a number ``c`` for each row, the image's number ``img`` and
+    ``digest``, and ``corner, x, y, level, turn, d0, d1``.
+    """
+    first = table(first_links(corners, distance, agree), "first")
+    known = table(components(first).select(F.col("node").alias("img"), "root"), "known")
+    rows = corners.join(known, "img", "left").select("c", F.coalesce("root", "img").alias("cls"), "d0", "d1")
+    matches = table(close_pairs(rows, distance, block=block), "close")
+    return first.unionByName(_agreeing(matches, corners, agree))
+
+
 def copies(
     df: DataFrame,
     id_col: str,
@@ -164,8 +327,8 @@ def copies(
 ) -> DataFrame:
     """``id_col``, ``class_id`` (least id of the class) and ``n_corners``.
 
-    Equal files are one image; images are linked to the first image of each
-    bucket they agree with, and classes are what links connect.
+    Equal files are one image; every two images that agree are linked, and
+    classes are what links connect.
 
     Defined cases: a null image, one that can't be read and one without corners
     are alike only to equal files (null: to none); a null id counts as the
@@ -177,49 +340,25 @@ def copies(
     rows = table(
         df.select(F.col(id_col).cast("long").alias("_id"), F.col(image_col).alias("_image")).mapInArrow(
             _describe(corners),
-            "_id long, digest binary, found array<struct<x:double,y:double,level:int,turn:double,d:binary>>",
+            f"_id long, digest binary, found {FOUND}",
         ),
         "described",
     )
     images = table(
-        rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("first"), F.first("found").alias("found")),
+        rows.where("digest is not null")
+        .groupBy("digest")
+        .agg(F.min("_id").alias("first"), F.first("found").alias("found"))
+        .withColumn("img", F.monotonically_increasing_id()),
         "images",
     )
-    width = BITS // 8 // TABLES
-    described = images.select("digest", "first", F.posexplode("found").alias("corner", "f"))
-    keyed = described.select(
-        F.explode(
-            F.array(*[F.concat(F.lit(bytes([t])), F.substring("f.d", t * width + 1, width)) for t in range(TABLES)])
-        ).alias("key"),
-        "first", "digest", "corner", "f.*",
-    )
-    matches = (
-        keyed.repartition("key")
-        .sortWithinPartitions("key", "first", "digest", "corner")
-        .select("key", "digest", "corner", "x", "y", "level", "turn", "d")
-        .mapInArrow(_match(distance), _MATCH)
-    )
-    # bins of two overlapping grids each way, so that no agreement is cut by an edge
-    half = lambda c, size, k: F.floor((F.col(c) + F.lit(size / 2 * k)) / F.lit(size))
-    grids = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
-    votes = matches.select("*", grids.alias("g")).select(
-        "a", "b", "corner", "level", "g",
-        (F.floor((F.col("turn") + F.lit(TURN / 2) * F.col("g.k")) / F.lit(TURN)) % (360 // TURN)).alias("t"),
-        F.floor((F.col("dx") + F.lit(PLACE / 2) * F.col("g.i")) / F.lit(PLACE)).alias("u"),
-        F.floor((F.col("dy") + F.lit(PLACE / 2) * F.col("g.j")) / F.lit(PLACE)).alias("v"),
-    )
-    links = (
-        votes.groupBy("a", "b", "level", "g", "t", "u", "v")
-        .agg(F.countDistinct("corner").alias("n"))
-        .where(F.col("n") >= agree)
-        .select("a", "b")
-        .distinct()
+    described = images.select("digest", "img", F.posexplode("found").alias("corner", "f")).select(
+        F.monotonically_increasing_id().alias("c"), "digest", "img", "corner", "f.*"
     )
-    classes = components(links)
-    known = images.select("digest", "first").join(
-        classes.select(F.col("node").alias("digest"), "root"), "digest", "left"
+    classes = components(links(table(described, "corners"), distance, agree))
+    known = images.select("digest", "first", "img").join(
+        classes.select(F.col("node").alias("img"), "root"), "img", "left"
     )
-    known = known.select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    known = known.select("digest", "first", F.coalesce("root", "img").alias("root"))
     heads = known.groupBy("root").agg(F.min("first").alias("class_id"))
     known = known.join(heads, "root").select("digest", "class_id")
     return rows.join(known, "digest", "left").select(

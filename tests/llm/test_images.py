@@ -44,3 +44,33 @@ def test_no_rows_null_ids_and_drawing(spark):
     rows = sorted(images.copies(drawn, "vec_id", "image").collect(), key=str)
     assert {(r.vec_id, r.class_id) for r in rows} == {(1, 1), (2, 2), (None, 1), (3, 3)}
     assert images.copies(drawn.limit(0), "vec_id", "image").count() == 0
+
+
+KINDS = "c long, img long, digest binary, corner int, x double, y double, level int, turn double, d0 long, d1 long"
+
+
+def corner_rows(found):
+    """Rows of images given as lists of (x, y, descriptor as two uint64)."""
+    rows = []
+    for img, corners in enumerate(found):
+        for k, (x, y, d) in enumerate(corners):
+            d0, d1 = (int(v) for v in np.array(d, np.uint64).view(np.int64))
+            rows.append((len(rows), img, bytes([img]), k, float(x), float(y), 0, 0.0, d0, d1))
+    return rows
+
+
+def pairs(df):
+    return {(min(r.a, r.b), max(r.a, r.b)) for r in df.collect()}
+
+
+def test_copies_meet_though_all_resemble_an_earlier_image(spark):
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 2**63, (8, 2)).astype(np.uint64)
+    at = rng.integers(0, 60, (8, 2))
+    strange = [(x * 200, y * 131, v) for (x, y), v in zip(at[::-1], d, strict=True)]
+    found = [strange] + [[(x + k, y, v) for (x, y), v in zip(at, d, strict=True)] for k in (0, 1)]
+    corners = spark.createDataFrame(corner_rows(found), KINDS)
+    assert pairs(images.first_links(corners)) == set()
+    assert pairs(images.links(corners)) == {(1, 2)}
+    # buckets dealt out as pairs of blocks
+    assert pairs(images.links(corners, block=2)) == {(1, 2)}
