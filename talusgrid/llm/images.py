@@ -8,15 +8,17 @@ place; classes are what links connect.
 1. Descriptors meet by 32-bit parts and each joins the first earlier image it
    is close to. That links most copies by few rows.
 2. All close descriptors of images that aren't yet in one class are compared,
-   in buckets of the Hamming tables. Links within a class change nothing, so
-   only their pairs are left out. A bucket of more than ``block`` rows is dealt
-   out as pairs of blocks.
+   in buckets of 16-bit parts, each with every bit changed: of 20 differing
+   bits one of the 8 parts has two at most, so every close pair meets. Links
+   within a class change nothing, so only their pairs are left out. A bucket of
+   more than ``block`` rows is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import components, small_batches, table
 
-#: Strongest corners of an image, over all scales.
-CORNERS = 40
+#: Strongest corners of each cell of an image, over all scales, and a cell's side in pixels.
+CORNERS, CELL = 40, 64
 #: Half a patch's side; each level halves the image.
 RADIUS, LEVELS = 7, 3
 BITS = 128
 #: Bits of a part of the first tables; of the tables that compare all.
-FIRST, WIDTH = 32, 32
+FIRST, WIDTH = 32, 16
 BLOCK = 4096
 #: Most differing bits of a match; fewest matches that agree.
 DISTANCE, AGREE = 20, 5
@@ -74,7 +76,7 @@ def _box(x: np.ndarray, r: int = 1) -> np.ndarray:
 
 
 def features(image: np.ndarray, corners: int = CORNERS) -> list[tuple[float, float, int, float, bytes]]:
-    """(x, y, level, direction in degrees, descriptor) of the strongest corners."""
+    """(x, y, level, direction in degrees, descriptor) of the strongest corners of each cell."""
     found, level, x = [], 0, image
     while level < LEVELS and min(x.shape) > 2 * RADIUS + 2:
         soft = _box(x)
@@ -94,8 +96,12 @@ def features(image: np.ndarray, corners: int = CORNERS) -> list[tuple[float, flo
     found.sort(key=lambda f: (-f[0], f[1:4]))
     span = np.arange(-RADIUS, RADIUS + 1)
     disc = span[:, None] ** 2 + span[None, :] ** 2 <= RADIUS**2
-    out = []
-    for _, level, i, j, soft in found[:corners]:
+    out, taken = [], Counter()
+    for _, level, i, j, soft in found:
+        cell = (i << level) // CELL, (j << level) // CELL
+        taken[cell] += 1
+        if taken[cell] > corners:
+            continue
         patch = soft[i - RADIUS : i + RADIUS + 1, j - RADIUS : j + RADIUS + 1]
         weight = np.where(disc, patch, 0)
         angle = np.arctan2((weight * span[:, None]).sum(), (weight * span[None, :]).sum())
@@ -227,8 +233,14 @@ def _pairs(distance: int, width: int):
 
 
 def _probes(distance: int, width: int) -> int:
-    """Bits that each of two keys may change; both together reach what one part may differ in."""
-    return 0
+    """Bits that each of two keys may change; both together reach what one part may differ in.
+
+    Of ``distance`` differing bits some part has no more than an even share.
+    """
+    share = distance // (BITS // width)
+    if share > 2:
+        raise ValueError(f"parts of {width} bits don't cover a distance of {distance}")
+    return (share + 1) // 2
 
 
 def _keyed(corners: DataFrame, distance: int, width: int, *columns: str) -> DataFrame:

@@ -74,3 +74,35 @@ def test_copies_meet_though_all_resemble_an_earlier_image(spark):
     assert pairs(images.links(corners)) == {(1, 2)}
     # buckets dealt out as pairs of blocks
     assert pairs(images.links(corners, block=2)) == {(1, 2)}
+
+
+def test_all_close_descriptors_meet(spark):
+    """Recall against brute force is 1, also at 20 bits spread over all parts."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (30, 16), dtype=np.uint8)
+    codes = [base]
+    for n in (3, 8, 12, 16, 20, 21):
+        bits = np.unpackbits(base, axis=1)
+        for k in range(len(bits)):
+            # as even over the parts of 16 bits as can be
+            places = [16 * (i % 8) + p for i, p in enumerate(rng.permutation(16)[np.arange(n) // 8])]
+            bits[k, places] ^= 1
+        codes.append(np.packbits(bits, axis=1))
+    d = np.concatenate(codes).view(np.uint64)
+    want = {
+        (a, b) for a in range(len(d)) for b in range(a) if np.bitwise_count(d[a] ^ d[b]).sum() <= images.DISTANCE
+    }
+    rows = [(k, k, *map(int, v)) for k, v in enumerate(d.view(np.int64))]
+    df = spark.createDataFrame(rows, "c long, cls long, d0 long, d1 long")
+    for block in (images.BLOCK, 2):
+        got = [(max(r.ca, r.cb), min(r.ca, r.cb)) for r in images.close_pairs(df, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 150
+
+
+def test_corners_grow_with_the_area():
+    strong, weak = picture(1, 192), 128 + 0.3 * (picture(2, 192) - 128)
+    whole = np.concatenate([strong, weak])
+    at = {(x, y) for x, y, *_ in images.features(whole) if y > 200}
+    crop = {(x, y + 192) for x, y, *_ in images.features(weak)}
+    assert len(at & crop) > 40
