@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -163,41 +163,45 @@ def fit(
 ) -> tuple[Network | None, list[str]]:
     """A network for the languages of the labelled rows of ``df``.
 
-    Learns from at most ``rows`` rows of each of the ``languages`` most
-    frequent languages, chosen by a hash of their text, and from ``windows``
-    windows of each row. Without a labelled row there is no network.
+    Learns from at most ``rows`` different texts of each of the ``languages``
+    most frequent languages, chosen by a hash of the text, and from ``windows``
+    windows of each. Without a labelled row there is no network.
     """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")
     )
     counts = {
-        r["_lang"]: r["n"]
-        for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(languages).collect()
+        r["_lang"]: r["texts"]
+        for r in usable.groupBy("_lang")
+        .agg(F.count("*").alias("n"), F.approx_count_distinct("_text").alias("texts"))
+        .orderBy(F.desc("n"), "_lang")
+        .limit(languages)
+        .collect()
     }
     classes = sorted(counts)
     if not classes:
         return None, []
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, 1.5 * rows / n))).otherwise(share)
+        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, 1.5 * rows / max(n, 1)))).otherwise(share)
     dealt = F.pmod(F.xxhash64(F.col("_text"), F.lit(3)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     span = WINDOW * windows
     # a stretch of the text that starts at a place given by its hash
     begin = F.pmod(F.xxhash64("_text"), F.greatest(F.length("_text") - span, F.lit(0)) + 1) + 1
-    sample = (
+    # copies collapse before they are shuffled
+    drawn = (
         usable.where(dealt < share)
-        .select("_lang", F.substring("_text", begin.cast("int"), F.lit(span)).alias("_text"))
-        .orderBy("_lang", "_text")
-        .limit(2 * rows * len(classes))
-        .collect()
+        .select("_lang", F.xxhash64("_text", F.lit(5)).alias("_h"), F.substring("_text", begin.cast("int"), F.lit(span)).alias("_text"))
+        .groupBy("_lang", "_h")
+        .agg(F.min("_text").alias("_text"))
     )
-    xs, ys, seen = [], [], dict.fromkeys(classes, 0)
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
+    sample = drawn.withColumn("_rank", rank).where(F.col("_rank") <= rows).orderBy("_lang", "_rank").collect()
+    xs, ys = [], []
     for r in sample:
-        if seen[r["_lang"]] < rows:
-            seen[r["_lang"]] += 1
-            x = windows_of(r["_text"].encode())[:windows]
-            xs.append(x)
-            ys += [classes.index(r["_lang"])] * len(x)
+        x = windows_of(r["_text"].encode())[:windows]
+        xs.append(x)
+        ys += [classes.index(r["_lang"])] * len(x)
     if not xs:
         return None, []
     x, y = np.concatenate(xs), np.array(ys)

@@ -50,3 +50,14 @@ def test_edge_cases(spark):
     assert language.identify(df.limit(0), net, classes).count() == 0
     none, _ = language.fit(train.limit(0))
     assert none is None and {r.lang_pred for r in language.identify(df, none, []).collect()} == {"und"}
+
+
+def test_copies_leave_the_sample_to_other_languages(spark, monkeypatch):
+    learnt = {}
+    monkeypatch.setattr(language.Network, "train", lambda self, x, y, steps: learnt.update(x=x, y=y) or self)
+    dealt = "pmod(xxhash64(concat('copy number ', id), 3), 1000000)"
+    first = spark.range(5000).selectExpr(f"min_by(concat('copy number ', id), {dealt}) AS t").first().t
+    rows = [(first, "a")] * 300 + [(f"{lang} text {k} of it", lang) for lang in "abc" for k in range(200)]
+    language.fit(spark.createDataFrame(rows, "text string, lang string"), rows=20)
+    for k in range(3):
+        assert len(np.unique(learnt["x"][learnt["y"] == k], axis=0)) > 10, k
