@@ -155,6 +155,13 @@ def resample_nearest(spark, sf_dir):
     return raster.resample_nearest(g.select("row", "col"), coarse, 3.0, "v").withColumn("v", F.round("v", 6))
 
 
+@query(f"""WITH {GRID} SELECT g."row", g.col, round(s.z, 6) AS v FROM g LEFT JOIN g s ON s."row" = g."row" // 3 AND s.col = g.col // 3""")
+def resample_nearest_whole(spark, sf_dir):
+    g = lift(spark, sf_dir)
+    source = g.select("row", "col", F.col("z").alias("v"))
+    return raster.resample_nearest(g.select("row", "col"), source, 3.0, "v").withColumn("v", F.round("v", 6))
+
+
 def shapes(spark, sf_dir):
     key = F.col("s_suppkey")
     x, y = key * 37 % 97, key * 53 % 140
