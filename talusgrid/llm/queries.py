@@ -48,7 +48,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records.withColumn("print", chat.fingerprint(F.col("record")))
     turns = records.select(
         "conv_id", "turn", chat.canonical_turns(F.col("record"), print_=F.col("print")).alias("turns")
-    ).select("conv_id", "turn", F.explode("turns").alias("t"))
+    )
+    # a record whose layout can't be told, such as one too long to parse, is not dropped in silence
+    lost = F.raise_error(F.format_string("conversation %s, turn %s: its layout can't be told", "conv_id", "turn"))
+    turns = turns.select("conv_id", "turn", F.explode(F.coalesce("turns", lost)).alias("t"))
     formatted = table(
         chat.format_turns(turns.select("conv_id", "turn", "t.role", "t.text")).select(
             "conv_id", "turn", "segment", "loss_start", "loss_length"

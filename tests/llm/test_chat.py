@@ -64,3 +64,14 @@ def test_query_has_the_extra_conversation(spark):
     said = "</s>[INST] ok [/INST]"
     assert rows[-1].n_turns == 2 and rows[-1].loss_chars == len(said)
     assert rows[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_a_turn_too_long_to_parse_is_not_dropped(spark, tmp_path):
+    rows = spark.range(2).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "repeat('x', int(1 + id * 20000000)) AS text")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    try:
+        got = {r.conv_id: r.n_turns for r in queries.op8_chat_formatting(spark, str(tmp_path)).collect()}
+    except Exception as e:  # noqa: BLE001
+        assert "conversation 1, turn 0" in str(e)
+    else:
+        assert got == {-1: 2, 0: 1, 1: 1}
