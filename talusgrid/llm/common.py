@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -17,27 +18,38 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop), a temporary one is set.
+    A session on one machine that names none (tests, a laptop) gets a temporary
+    one; on a cluster that is an error, as executors don't share such a folder.
     """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="talusgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+    chosen = context._jsc.sc().getCheckpointDir()
+    if not found and chosen.isDefined():
+        return chosen.get().rstrip("/")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = found or "file://" + tempfile.mkdtemp(prefix="talusgrid-")
+    if not chosen.isDefined():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths in the shared folder that this process has written.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/talusgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/talusgrid/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later reads start from the files, so a lost executor costs a read, not the
-    work that made the rows.
+    work that made the rows. ``clear`` deletes the files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -45,6 +57,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: int = 0) -> None:
+    """Delete what ``table`` and ``new_path`` wrote, but for the last ``keep`` paths.
+
+    Results are read lazily: call it once they are written elsewhere.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kept = _WRITTEN[len(_WRITTEN) - keep :]
+    for written in _WRITTEN[: len(_WRITTEN) - keep]:
+        path = jvm.org.apache.hadoop.fs.Path(written)
+        path.getFileSystem(conf).delete(path, True)
+    _WRITTEN[:] = kept
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound Arrow batches, as one text can be very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -97,7 +122,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return row["n"], row["s"]
 
     seen = mark(links)
-    while True:
+    while seen[0]:
         # large star: every larger neighbour of u goes to u's least neighbour
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
