@@ -78,9 +78,12 @@ END = "<|end|>\n"
 def shape_of(record: Column) -> Column:
     """The tree of a JSON record's field names, in order of name; null if broken.
 
-    Spark gives the record's schema; types of values are left out.
+    Spark gives the record's schema; types of values are left out. Long values
+    are shortened first, so that texts of any length leave the shape as it is.
     """
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    bare = F.replace(F.replace(record, F.lit("\\\\")), F.lit('\\"'))
+    bare = F.regexp_replace(bare, r'"[^"]{64,}"(?!\s*:)', '"_"')
+    schema = F.schema_of_variant(F.try_parse_json(bare))
     scalar = r": (?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\s*\d+\))(?=[,>])"
     names = F.regexp_replace(schema, scalar, "")
     for old, new in (("ARRAY<OBJECT<", ":[{"), ("OBJECT<", "{"), (">>(?=[,>]|$)", "}]"), (">", "}"), (": :", ":"), (", ", ",")):
@@ -100,7 +103,7 @@ def _role(value: Column, roles: dict[str, str]) -> Column:
 
 
 def _turns(layout: Layout, record: Column) -> Column:
-    got = F.from_json(record, layout.schema)
+    got = F.from_json(record, layout.schema, {"maxStringLen": str(2**31 - 1)})
     if layout.turns:
         return F.transform(
             F.coalesce(got[layout.turns], F.array()),
@@ -113,8 +116,9 @@ def _turns(layout: Layout, record: Column) -> Column:
     for role, fields in layout.parts:
         texts = [F.when(got[f] != "", got[f]) for f in fields]
         who = _role(got[role[1:]], layout.roles) if role.startswith("$") else F.lit(role)
-        turns.append(F.struct(who.alias("role"), F.concat_ws("\n\n", *texts).alias("text")))
-    return F.array(*turns)
+        said = F.lit(True) if role.startswith("$") else F.coalesce(*[got[f] for f in fields]).isNotNull()
+        turns.append(F.when(said, F.struct(who.alias("role"), F.concat_ws("\n\n", *texts).alias("text"))))
+    return F.filter(F.array(*turns), lambda t: t.isNotNull())
 
 
 def canonical_turns(
@@ -126,7 +130,9 @@ def canonical_turns(
     that it isn't made anew for each layout it is compared with.
 
     A record of an unknown layout, and one that isn't JSON, has null. Null
-    texts and roles are empty; empty fields of a joined text are left out.
+    texts and roles are empty; empty fields of a joined text are left out; a
+    part whose fields are all null, such as a completion that isn't there, is
+    no turn.
     """
     print_ = fingerprint(record) if print_ is None else print_
     out = F.lit(None).cast("array<struct<role:string,text:string>>")
@@ -135,6 +141,29 @@ def canonical_turns(
     return out
 
 
+def as_layout(name: Column, role: Column, text: Column) -> Column:
+    """One turn as a JSON record of the layout of that name (by default, "turn").
+
+    The inverse of ``canonical_turns`` for a single turn, as sources would write
+    it. Roles that a layout has no place for keep the layout "turn".
+    """
+    role, text = (F.coalesce(x, F.lit("")) for x in (role, text))
+    ask, answer = (F.when(role == who, text) for who in ("user", "assistant"))
+    both = role.isin("user", "assistant")
+    keep = {"ignoreNullFields": "false"}
+    records = {
+        "messages": (F.lit(True), F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))),
+        "conversations": (both, F.struct(F.array(F.struct(F.when(role == "user", "human").otherwise("gpt").alias("from"), text.alias("value"))).alias("conversations"))),
+        "prompt": (both, F.struct(ask.alias("prompt"), answer.alias("completion"))),
+        "instruction": (both, F.struct(ask.alias("instruction"), F.lit(None).cast("string").alias("input"), answer.alias("output"))),
+        "short instruction": (both, F.struct(ask.alias("instruction"), answer.alias("output"))),
+    }
+    out = F.to_json(F.struct(role.alias("role"), text.alias("text")))
+    for layout, (fits, record) in records.items():
+        out = F.when((name == layout) & fits, F.to_json(record, keep)).otherwise(out)
+    return out
+
+
 def escape(text: Column, bars: bool = False) -> Column:
     """Doubles backslashes and breaks control strings after their first character.
 

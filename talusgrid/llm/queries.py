@@ -42,9 +42,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
     )
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    empty = F.lit("")
-    record = F.to_json(F.struct(F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")))
-    records = rows.unionByName(extra).select("conv_id", "turn", record.alias("record"))
+    # the table has one layout; its rows are dealt out to all that sources write
+    names = F.array(*[F.lit(layout.name) for layout in chat.LAYOUTS])
+    name = F.get(names, F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(chat.LAYOUTS))).cast("int"))
+    records = rows.unionByName(extra).select("conv_id", "turn", chat.as_layout(name, F.col("role"), F.col("text")).alias("record"))
     records = records.withColumn("print", chat.fingerprint(F.col("record")))
     turns = records.select(
         "conv_id", "turn", chat.canonical_turns(F.col("record"), print_=F.col("print")).alias("turns")

@@ -66,12 +66,26 @@ def test_query_has_the_extra_conversation(spark):
     assert rows[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
-def test_a_turn_too_long_to_parse_is_not_dropped(spark, tmp_path):
-    rows = spark.range(2).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "repeat('x', int(1 + id * 20000000)) AS text")
-    rows.write.parquet(f"{tmp_path}/conversations.parquet")
-    try:
-        got = {r.conv_id: r.n_turns for r in queries.op8_chat_formatting(spark, str(tmp_path)).collect()}
-    except Exception as e:  # noqa: BLE001
-        assert "conversation 1, turn 0" in str(e)
-    else:
-        assert got == {-1: 2, 0: 1, 1: 1}
+def test_every_layout_of_a_turn_reads_back(spark):
+    texts = [*TEXTS, '"', '\\\\"' * 50, "{" * 100, '":"', "a" * 70 + '": "b"', "\\", "\x00\u2028"]
+    rows = [(k, x.name, r, t) for k, (x, r, t) in enumerate((x, r, t) for x in chat.LAYOUTS for r in ("user", "assistant", "human", "", None) for t in texts)]
+    df = spark.createDataFrame(rows, "k int, layout string, role string, text string")
+    record = chat.as_layout(F.col("layout"), F.col("role"), F.col("text"))
+    got = df.select("k", record.alias("r")).select("k", chat.fingerprint(F.col("r")).alias("p"), chat.canonical_turns(F.col("r")).alias("t")).collect()
+    names = {x.fingerprint: x.name for x in chat.LAYOUTS}
+    for g in got:
+        _, layout, role, text = rows[g.k]
+        assert [tuple(x) for x in g.t] == [(role or "", text or "")], rows[g.k]
+        assert names[g.p] == (layout if layout == "messages" or role in ("user", "assistant") else "turn")
+
+
+def test_turns_beyond_the_parsers_default_limit(spark, tmp_path):
+    """25 million characters pass the fingerprint and the mapping of every layout."""
+    rows = spark.range(6).selectExpr("id AS conv_id", "0L AS turn", "'assistant' AS role", "repeat('x', int(25000000 + id)) AS text")
+    names = F.element_at(F.array(*[F.lit(x.name) for x in chat.LAYOUTS]), (F.col("conv_id") + 1).cast("int"))
+    record = chat.as_layout(names, F.col("role"), F.col("text"))
+    turns = rows.select("conv_id", chat.canonical_turns(record).alias("t")).select("conv_id", F.explode("t").alias("t"))
+    assert {(r.conv_id, r.n) for r in turns.selectExpr("conv_id", "length(t.text) AS n").collect()} == {(k, 25_000_000 + k) for k in range(6)}
+    rows.where("conv_id = 0").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op8_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == {-1: (2, 21), 0: (1, 25_000_000)}
