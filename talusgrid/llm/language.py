@@ -23,10 +23,9 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: The training sample's bounds: rows of a language, windows of a row, languages.
+#: The training sample's bounds: rows of a language, windows of a row.
 ROWS_PER_LANGUAGE = 400
 WINDOWS_PER_ROW = 4
-LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -158,14 +157,14 @@ def fit(
     lang_col: str = "lang",
     rows: int = ROWS_PER_LANGUAGE,
     windows: int = WINDOWS_PER_ROW,
-    languages: int = LANGUAGES,
     steps: int = 600,
 ) -> tuple[Network | None, list[str]]:
     """A network for the languages of the labelled rows of ``df``.
 
-    Learns from at most ``rows`` different texts of each of the ``languages``
-    most frequent languages, chosen by a hash of the text, and from ``windows``
-    windows of each. Without a labelled row there is no network.
+    Every label is a class. Learns from at most ``rows`` different texts of
+    each, chosen by a hash of the text, and from ``windows`` windows of each;
+    copies of a text count once, so none of them crowds others out. Without a
+    labelled row there is no network.
     """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")
@@ -173,17 +172,14 @@ def fit(
     counts = {
         r["_lang"]: r["texts"]
         for r in usable.groupBy("_lang")
-        .agg(F.count("*").alias("n"), F.approx_count_distinct("_text").alias("texts"))
-        .orderBy(F.desc("n"), "_lang")
-        .limit(languages)
+        .agg(F.approx_count_distinct("_text").alias("texts"))
         .collect()
     }
     classes = sorted(counts)
     if not classes:
         return None, []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, 1.5 * rows / max(n, 1)))).otherwise(share)
+    pairs = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * rows / max(n, 1)))]
+    share = F.create_map(*pairs)[F.col("_lang")]
     dealt = F.pmod(F.xxhash64(F.col("_text"), F.lit(3)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     span = WINDOW * windows
     # a stretch of the text that starts at a place given by its hash

@@ -61,3 +61,38 @@ def test_copies_leave_the_sample_to_other_languages(spark, monkeypatch):
     language.fit(spark.createDataFrame(rows, "text string, lang string"), rows=20)
     for k in range(3):
         assert len(np.unique(learnt["x"][learnt["y"] == k], axis=0)) > 10, k
+
+
+def test_many_equal_rows_in_any_language(spark, monkeypatch):
+    learnt = {}
+    monkeypatch.setattr(language.Network, "train", lambda self, x, y, steps: learnt.update(x=x, y=y) or self)
+    for crowded in "abc":
+        rows = [(f"{lang} words number {k} " * 20, lang) for lang in "abc" for k in range(60)]
+        rows += [("the same text again and again " * 9, crowded)] * 6000
+        _, classes = language.fit(spark.createDataFrame(rows, "text string, lang string"), rows=40)
+        assert classes == ["a", "b", "c"]
+        for k in range(3):
+            assert len(np.unique(learnt["x"][learnt["y"] == k], axis=0)) > 30, (crowded, k)
+
+
+def test_rare_languages_are_classes_too(spark, monkeypatch):
+    monkeypatch.setattr(language.Network, "train", lambda self, x, y, steps: self)
+    rows = [(f"words of {k}", f"l{k:03}") for k in range(300)] + [("common words", "l000")] * 500
+    _, classes = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(classes) == 300
+
+
+def test_predictions_are_those_of_each_whole_text_alone(spark):
+    """The batched prediction against windows of one text at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    net, classes = language.fit(docs, steps=60)
+    for r in language.identify(docs.select("doc_id", "text"), net, classes).collect():
+        raw = (r.text or "").encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.lang_score) == ("und", 0.0)
+            continue
+        x = language.windows_of(raw)
+        p = language.predict(net.tables(), x)
+        weight = (x < 256).sum(axis=1)
+        share = (p * weight[:, None]).sum(axis=0) / weight.sum()
+        assert r.lang_pred == classes[share.argmax()] and abs(r.lang_score - share.max()) < 1e-6
