@@ -134,7 +134,7 @@ def _label(tables: dict[str, np.ndarray], classes: list[str], fields: list[str])
                 part = slice(at, at + 256)
                 places = start[part, None] + np.arange(WINDOW)
                 inside = places < bounds[owner[part] + 1][:, None]
-                x = np.where(inside, buf[np.minimum(places, len(buf) - 1)], 256).astype(np.int16)
+                x = np.where(inside, buf[np.minimum(places, len(buf) - 1)].astype(np.int16), np.int16(256))
                 np.add.at(total, owner[part], predict(tables, x) * inside.sum(axis=1)[:, None])
             share = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
             best = share.argmax(axis=1)

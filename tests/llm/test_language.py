@@ -95,4 +95,4 @@ def test_predictions_are_those_of_each_whole_text_alone(spark):
         p = language.predict(net.tables(), x)
         weight = (x < 256).sum(axis=1)
         share = (p * weight[:, None]).sum(axis=0) / weight.sum()
-        assert r.lang_pred == classes[share.argmax()] and abs(r.lang_score - share.max()) < 1e-6
+        assert r.lang_pred == classes[share.argmax()] and abs(r.lang_score - share.max()) < 1e-5, (r.doc_id, r.lang_score, share.max())
