@@ -5,7 +5,8 @@
    by value: after 16, 32, 48 and 64 values a pair is dropped when the posterior
    probability that its similarity reaches the threshold (uniform prior) is
    below the tolerance. What survives links nodes into candidate components.
-3. In each component all pairs are verified on the whole shingle sets.
+3. Pairs of a component that stay in play by the same steps are verified on
+   the whole shingle sets; a pair that was dropped doesn't come back.
 
 Pairs are never rows. A bucket or component hands on a spanning forest and
 sums of links; one of more than ``block`` members is dealt out as pairs of
@@ -229,7 +230,9 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verify(size: int, threshold: float):
+def _verify(size: int, threshold: float, tolerance: float):
+    steps = [(n, least_matches(n, threshold, tolerance)) for n in STEPS]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
@@ -239,16 +242,21 @@ def _verify(size: int, threshold: float):
         for group in _groups(batches, 3):
             group = list({r[4]: r for r in group}.values())  # rows repeated with one key
             cross = group[0][1] != group[0][2]
-            texts = [r[6] for r in group]
+            sig = np.frombuffer(b"".join(r[6] for r in group), dtype=np.uint16).reshape(len(group), -1)
+            i, j = surviving(sig, np.array([int(r[3] != r[1]) for r in group]), cross, steps)
+            # texts of which no pair is in play are not read
+            kept, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            if not len(kept):
+                continue
+            group, i, j = [group[k] for k in kept], at[: len(i)], at[len(i) :]
+            texts = [r[7] for r in group]
             bounds = np.cumsum([0, *map(len, texts)])
             sets = shingle_sets(np.frombuffer(b"".join(texts), dtype=np.uint8), bounds, size)
             sizes = np.array([len(s) for s in sets])
             inter = shared(sets)
-            linked = inter / (sizes[:, None] + sizes[None, :] - inter) >= threshold
-            np.fill_diagonal(linked, False)
-            if cross:
-                side = np.array([r[3] != r[1] for r in group])
-                linked &= side[:, None] != side[None, :]
+            alike = inter / (sizes[:, None] + sizes[None, :] - inter) >= threshold
+            linked = np.zeros_like(alike)
+            linked[i, j] = linked[j, i] = alike[i, j]
             copies = np.array([r[5] for r in group])
             for k, links in enumerate(linked @ copies):
                 if links:
@@ -333,14 +341,14 @@ def similar(
     groups = components(maybe).checkpoint()
     sizes = table(groups.groupBy("root").agg(F.count("*").alias("c")), "sizes")
     members = groups.join(sizes, "root").join(
-        nodes.select(F.col("digest").alias("node"), "rep._id", "rep._h", "copies"), "node"
+        nodes.select(F.col("digest").alias("node"), "rep._id", "rep._h", "copies", "sig"), "node"
     )
-    texts = members.join(docs, ["_id", "_h"]).select("root", F.col("node").alias("digest"), "copies", "c", "_text")
+    texts = members.join(docs, ["_id", "_h"]).select("root", F.col("node").alias("digest"), "copies", "c", "sig", "_text")
     verified = table(
-        _blocks(texts, "c", block, "root", "digest", "copies", "_text")
+        _blocks(texts, "c", block, "root", "digest", "copies", "sig", "_text")
         .repartition("root", "i", "j")
         .sortWithinPartitions("root", "i", "j")
-        .mapInArrow(_verify(size, threshold), "a binary, b binary, links long"),
+        .mapInArrow(_verify(size, threshold, tolerance), "a binary, b binary, links long"),
         "verified",
     )
     classes = components(verified.where("b is not null").select("a", "b"))
