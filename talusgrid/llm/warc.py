@@ -249,7 +249,8 @@ def write_packages(
         .select("sha", "first")
     )
     revisit = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    listed = rows.join(first, "sha", "left").select("page_id", "url", "html", revisit.alias("refers_to"))
+    # written before the pages meet it: Spark can then split a payload of very many pages
+    listed = rows.join(table(first, "first"), "sha", "left").select("page_id", "url", "html", revisit.alias("refers_to"))
     return table(listed.mapInArrow(_store(folder, package), "path string, records long"), "packages")
 
 
