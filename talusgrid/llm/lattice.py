@@ -1,9 +1,10 @@
 """Marginal document probability under a unigram model of subword pieces.
 
-The pieces are those of an existing vocabulary file, which is never changed.
-Its scores are merge ranks, not probabilities, so piece probabilities are
-estimated from the training documents by expectation maximisation over all
-segmentations. A document's probability sums over every way to cut it into
+The pieces and their scores are those of an existing vocabulary file, which is
+never changed. Scores that are log probabilities weight the segmentations as
+they are; merge ranks, which a file for pair encoding has, by Zipf's law. So
+weighted, they are where expectation maximisation over all segmentations of the
+training documents begins, and the prior of every round. A document's probability sums over every way to cut it into
 pieces: no piece spans white space, so the forward recursion, in log space,
 runs once for each distinct word, and a document adds up its words' results.
 
@@ -28,7 +29,7 @@ from .common import small_batches, table
 #: Bytes of text that share a word list.
 CHUNK = 24_000_000
 ROUNDS = 3
-#: Added to each piece's expected count.
+#: Counts that the vocabulary's own probabilities add to a round's, for each piece.
 PRIOR = 0.1
 #: Words of more bytes are handled one by one.
 LONG = 48
@@ -51,18 +52,25 @@ class Pieces:
     own byte is among them. Id ``len(self)`` is the end of a text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranked: bool = True):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        found = {}
+        found, scores = {}, {}
         for i in range(sp.get_piece_size()):
             if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 continue
             piece = sp.id_to_piece(i).encode().replace(MARK, b" ")
+            scores[piece] = sp.get_score(i)
             if len(piece) > 1 and b" " not in piece[1:]:
                 found[piece] = 256 + len(found)
         self.ids = {bytes([b]): b for b in range(256)} | found
+        # bytes without a piece of their own, and the end, are as rare as the rarest piece
+        rarest = min(scores.values())
+        given = np.array([*(scores.get(p, rarest) for p in self.ids), rarest])
+        weight = 1 / (1 - given) if ranked else np.exp(given - given.max())
+        #: Natural logarithms of the probabilities that the scores tell.
+        self.logp = np.log(weight / weight.sum())
         self.longest = max(map(len, self.ids))
         hashes = np.array([self.hash(p) for p in self.ids], dtype=np.uint64)
         assert len(np.unique(hashes)) == len(hashes)
@@ -101,13 +109,13 @@ class Pieces:
         return out
 
 
-_LOADED: dict[str, Pieces] = {}
+_LOADED: dict[tuple[str, bool], Pieces] = {}
 
 
-def pieces(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+def pieces(path: str, ranked: bool = True) -> Pieces:
+    if (path, ranked) not in _LOADED:
+        _LOADED[path, ranked] = Pieces(path, ranked)
+    return _LOADED[path, ranked]
 
 
 def arcs(vocab: Pieces, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -365,9 +373,13 @@ def score_documents(
     rounds: int = ROUNDS,
     prior: float = PRIOR,
     chunk_bytes: int = CHUNK,
+    ranked: bool = True,
 ) -> DataFrame:
     """Log10 probabilities of whole texts, with those of a smoothed word model.
 
+    ``ranked`` tells that the vocabulary's scores are negative ranks rather than
+    log probabilities. Without ``rounds`` the scores alone are the model.
+
     ``held_out`` is a boolean column; rows where it is true teach nothing (by
     default, rows whose id's crc32 has no remainder by 10). Returns the id,
     ``held_out``, ``n_tokens`` (words and one end), ``n_known`` (those seen in
@@ -394,12 +406,12 @@ def score_documents(
     ends = docs.where("not held_out").count()
     train_tokens, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
 
-    vocab = pieces(vocabulary_path)
-    logp = np.full(len(vocab) + 1, -np.log(len(vocab) + 1))
+    vocab = pieces(vocabulary_path, ranked)
+    logp, own = vocab.logp, np.exp(vocab.logp) * prior * (len(vocab) + 1)
     taught = words.where("n > 0")
     for _ in range(rounds):
         uses = taught.mapInArrow(_expect(vocabulary_path, logp), "piece long, uses double")
-        total = np.full(len(vocab) + 1, prior)
+        total = own.copy()
         total[-1] += ends
         for row in uses.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # pieces at most
             total[row["piece"]] += row["uses"]
@@ -409,9 +421,11 @@ def score_documents(
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    # about one chunk to a task, however many there are
+    chunks = max(1, docs.select("chunk").distinct().count())
     out = (
-        docs.groupBy("chunk")
-        .cogroup(values.groupBy("part"))
+        docs.repartition(chunks, "chunk").groupBy("chunk")
+        .cogroup(values.repartition(chunks, "part").groupBy("part"))
         .applyInArrow(_add_up(int(train_tokens), int(distinct), int(ends), float(logp[-1] / np.log(10))), schema)
     )
     return out.withColumnRenamed("doc_id", id_col)
