@@ -57,17 +57,22 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, keep: int = 0) -> None:
-    """Delete what ``table`` and ``new_path`` wrote, but for the last ``keep`` paths.
+def written() -> int:
+    """How many paths ``new_path`` has given out and ``clear`` has not deleted."""
+    return len(_WRITTEN)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what ``table`` and ``new_path`` wrote after the first ``since`` paths, but for the last ``keep``.
 
     Results are read lazily: call it once they are written elsewhere.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    kept = _WRITTEN[len(_WRITTEN) - keep :]
-    for written in _WRITTEN[: len(_WRITTEN) - keep]:
-        path = jvm.org.apache.hadoop.fs.Path(written)
+    upto = len(_WRITTEN) - keep
+    for gone in _WRITTEN[since:upto]:
+        path = jvm.org.apache.hadoop.fs.Path(gone)
         path.getFileSystem(conf).delete(path, True)
-    _WRITTEN[:] = kept
+    del _WRITTEN[since:upto]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -11,6 +11,7 @@ group. Documents are never shuffled: a partition is packed where it is read.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -53,11 +54,24 @@ _ARROW = pa.schema(
 class WordIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space, so a text's ids are those of its words
-    one after another, and each distinct word is tokenised once per worker.
-    Texts with a special token's string go to the tokenizer whole.
+    Where the vocabulary splits as ``_RULES`` say, it drops white space, so a
+    text's ids are those of its words one after another, and each distinct word
+    is tokenised once per worker. Texts with a special token's string, and all
+    texts of a vocabulary with other rules, go to the tokenizer whole.
     """
 
+    #: The normaliser and the splitting that the word by word way stands for.
+    _RULES = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    )
+
     #: Words kept, and half as many parts; at the limit the memory starts anew.
     LIMIT = 1_000_000
     #: Words of printable ASCII and Latin-1 letters: composed already, and each
@@ -73,6 +87,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_word = (rules["normalizer"], rules["pre_tokenizer"]) == self._RULES and rules["model"]["type"] == "BPE"
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -108,6 +124,8 @@ class WordIds:
             self.words.update(zip(chunk, self._whole([w.decode() for w in chunk]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return [self._whole([t.decode()])[0] for t in texts]
         whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
         split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
         out = []

@@ -8,17 +8,17 @@ from talusgrid.llm import packing, queries
 PATH = queries.vocabulary(queries.WORD_VOCABULARY)
 
 
-def reference_ids(texts):
+def reference_ids(texts, path=PATH):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(PATH)
+    tok = Tokenizer.from_file(path)
     return [
         np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for t in texts
     ]
 
 
-def check(rows, texts, length):
-    want = dict(enumerate(reference_ids(texts)))
+def check(rows, texts, length, path=PATH):
+    want = dict(enumerate(reference_ids(texts, path)))
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -92,3 +92,10 @@ def test_query(spark, sf):
         assert zlib.crc32(part) == r.ids_crc32 and r.doc_tokens * 4 == len(want[r.doc_id])
     used = sum(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) * 2048 < 1.02 * used + 2048
+
+
+def test_a_vocabulary_with_other_rules(spark):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS[:30])], "doc_id long, text string").repartition(2)
+    check(packing.pack(df, path, length=256).collect(), TEXTS[:30], 256, path)
+    assert packing.word_ids(PATH).by_word and not packing.word_ids(path).by_word
