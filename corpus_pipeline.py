@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talusgrid.llm import mixing, near, packing, quality, queries, substrings
-from talusgrid.llm.common import table
+from talusgrid.llm.common import clear, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,14 +55,19 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Near copies, repeated windows and best fit are beyond SQL; tests hold each
-#: stage against a brute-force version.
+#: Near copies, repeated windows and best fit are beyond SQL; tests/llm/test_pipeline.py
+#: holds each stage, and run, against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    What a stage wrote on its way is deleted once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = written()
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear(spark, since, keep=1)
     return packed(spark, docs, sf_dir)
