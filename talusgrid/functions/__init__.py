@@ -1 +1 @@
-
+"""Expressions over columns."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,8 +44,90 @@ def merge_duplicates(df: DataFrame, key: str, events: str, order: str) -> DataFr
     return df.groupBy(key).agg(
         F.array_distinct(F.flatten(F.transform(rows, lambda r: r["e"]))).alias(events),
         F.count("*").alias("n_rows"),
-        (F.countDistinct(whole) == 1).alias("identical"),
+        (F.min(whole) == F.max(whole)).alias("identical"),
+    )
+
+
+def checked_events(*columns: str) -> Column:
+    """``combine_events``, which raises for cells that two readings count differently.
+
+    A cell such as ' nan ' is no cell once it is stripped, but an entry before.
+    """
+    odd = [_strip(F.col(c)).isin("nan", "None") & ~F.col(c).isin("nan", "None") for c in columns]
+    bad = F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(o, F.lit(False)) for o in odd]), F.lit(False))
+    cells = F.concat_ws("|", *columns)
+    return F.when(bad, F.raise_error(F.format_string("entries of '%s' can't be counted", cells))).otherwise(combine_events(*columns))
+
+
+def canonical_line(parts: Column) -> Column:
+    """Lines in the direction whose points come first, lines in order: equal shapes are equal values."""
+    one_way = F.transform(parts, lambda line: F.least(line, F.reverse(line)))
+    return F.array_sort(one_way)
+
+
+def geometry_uuid(parts: Column) -> Column:
+    """A UUID of a line geometry's canonical points; null and empty geometries have none.
+
+    Two geometries have the same one if and only if they are the same lines,
+    whatever the order of the lines and their direction.
+    """
+    digest = F.sha1(F.to_json(canonical_line(parts)))
+    return hash_uuid(F.when(F.size(parts) > 0, digest))
+
+
+def duplicate_report(df: DataFrame, key: str, events: str) -> DataFrame:
+    """Keys of more than one row, null among them: rows, and whether their events are one set."""
+    whole = F.array_sort(F.array_distinct(F.col(events)))
+    counted = df.groupBy(key).agg(F.count("*").alias("n_rows"), (F.min(whole) == F.max(whole)).alias("identical"))
+    return counted.where("n_rows > 1")
+
+
+def preprocess_geometries(df: DataFrame, columns: list[str], parts: str, order: str) -> DataFrame:
+    """``geom_uuid, events, geometry, n_rows``: one row for each geometry, its events in order.
+
+    Raises for a null or empty geometry, for cells that can't be counted, and
+    for two different geometries of one UUID.
+    """
+    missing = F.coalesce(F.size(parts), F.lit(0)) <= 0
+    uuid = F.when(missing, F.raise_error(F.format_string("row %s has no geometry", order))).otherwise(geometry_uuid(F.col(parts)))
+    rows = df.select(uuid.alias("geom_uuid"), checked_events(*columns).alias("events"), F.col(parts).alias("_parts"), F.col(order).alias("_order"))
+    merged = merge_duplicates(rows, "geom_uuid", "events", "_order")
+    shape = canonical_line(F.col("_parts"))
+    first = rows.groupBy("geom_uuid").agg(
+        F.min_by("_parts", "_order").alias("geometry"), (F.min(shape) == F.max(shape)).alias("_one")
+    )
+    clash = F.raise_error(F.format_string("%s stands for two geometries", "geom_uuid"))
+    return merged.join(first, "geom_uuid").select(
+        "geom_uuid", "events", F.when(F.col("_one"), F.col("geometry")).otherwise(clash).alias("geometry"), "n_rows"
+    )
+
+
+def append_geometries(events: DataFrame, geoms: DataFrame, pk: str, geom_id: str, list_col: str, parts: str) -> DataFrame:
+    """Every event with the lines of all geometries whose list has its ``pk``.
+
+    ``n_geometries`` counts them, ``geometry`` holds their lines in order of
+    ``geom_id`` (null if there is none) and ``geometry_type`` says whether they
+    are one line. Lists are taken apart and lines brought together for each
+    key, never for each event, so repeated keys cost nothing.
+    """
+    member = geoms.select(F.col(geom_id).alias("_g"), F.col(parts).alias("_p"), F.explode(F.array_distinct(list_col)).alias(pk))
+    ordered = F.array_sort(F.collect_list(F.struct("_g", "_p")))
+    lines = member.groupBy(pk).agg(
+        F.count("*").alias("n_geometries"), F.flatten(F.transform(ordered, lambda r: r["_p"])).alias("geometry")
     )
+    kind = F.when(F.size("geometry") == 1, "LineString").when(F.size("geometry") > 1, "MultiLineString")
+    return events.join(lines, pk, "left").withColumns(
+        {"n_geometries": F.coalesce("n_geometries", F.lit(0)), "geometry_type": kind}
+    )
+
+
+def geometry_statistics(df: DataFrame, counts: str = "n_geometries") -> DataFrame:
+    """One row: events without, with one and with more geometries, and the most of one event."""
+    n = F.col(counts)
+    return df.agg(
+        F.count("*").alias("n_events"), F.count_if(n == 0).alias("without"), F.count_if(n == 1).alias("with_one"),
+        F.count_if(n >= 2).alias("with_more"), F.max(n).alias("most"),
+    )
 
 
 def events_with_geometries(events: DataFrame, geoms: DataFrame, pk: str, geom_id: str, list_col: str) -> DataFrame:
@@ -61,6 +145,6 @@ def events_with_geometries(events: DataFrame, geoms: DataFrame, pk: str, geom_id
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """How often each value occurs, and its percent of all rows."""
-    every = Window.partitionBy()
     n = df.groupBy(column).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(every))
+    every = n.agg(F.sum("n").alias("_every"))  # one row
+    return n.crossJoin(F.broadcast(every)).select(column, "n", (F.col("n") * 100.0 / F.col("_every")).alias("pct"))

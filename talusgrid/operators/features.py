@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 #: Terrain names in their usual order, and what sets 13 to 18 hold.
 TERRAIN = ("slope", "slope_break_index", "profile_curvature", "planform_curvature", "mean_curvature")
 NAMED = {
@@ -46,12 +48,16 @@ def standard_features() -> list[Feature]:
 
 
 def in_set(f: Feature, k: int) -> bool:
-    """Whether set ``k`` (1 to 30) holds a feature."""
+    """Whether set ``k`` (1 to 30) holds a feature.
+
+    Height counts as unsmoothed: of other sigmas it is treated as any feature
+    of its sigma. Neighbourhood features of sets 25 to 30 are those of sigma 1.
+    """
     height = f.name == "elevation"
     if k <= 12:
-        if f.zonal:
-            return k in (4, 5, 6, 10, 11, 12) and (height or f.sigma in GROWING[(k - 1) % 3])
-        return k >= 7 if height else f.sigma in GROWING[(k - 1) % 3]
+        if f.zonal and k not in (4, 5, 6, 10, 11, 12) or height and not f.zonal and k < 7:
+            return False
+        return f.sigma == 0 or f.sigma in GROWING[(k - 1) % 3]
     if k <= 18:
         return not f.zonal and f.name in NAMED[k] and f.sigma == (0 if height else 1)
     if f.name not in TERRAIN:
@@ -59,11 +65,26 @@ def in_set(f: Feature, k: int) -> bool:
     if k <= 24:
         return not f.zonal and f.sigma in MIXED[k - 19]
     stats, windows = ZONAL[k - 25]
-    return (f.stat in stats and f.window in windows) if f.zonal else f.sigma in GROWING[2]
+    return (f.stat in stats and f.window in windows and f.sigma == 1) if f.zonal else f.sigma in GROWING[2]
 
 
 def feature_set(features: list[Feature], k: int) -> list[Feature]:
-    """The features of set ``k`` in their given order; other numbers raise ValueError."""
+    """The features of set ``k`` in their given order.
+
+    Other numbers raise ValueError: they name no set, so nothing stands for them.
+    """
     if not 1 <= k <= 30:
         raise ValueError(f"no feature set {k}")
     return [f for f in features if in_set(f, k)]
+
+
+def select_set(df: DataFrame, features: list[Feature], k: int, keys: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """``keys`` and the columns of set ``k``; a scan below reads no others.
+
+    Raises ValueError that names the columns that ``df`` doesn't have.
+    """
+    columns = [f.column for f in feature_set(features, k)]
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"no such features: {', '.join(missing)}")
+    return df.select(*keys, *columns)

@@ -29,12 +29,10 @@ def weights(sigma: float) -> list[float]:
 
 def _smooth(df: DataFrame, value: str, axis: str, size: int, w: list[float]) -> DataFrame:
     radius = len(w) // 2
-    if radius > size:
-        raise ValueError(f"a grid of {size} along {axis} is too small for a radius of {radius}")
     at = F.col(axis)
-    places = F.array_compact(
-        F.array(at, F.when(at < radius, -1 - at), F.when(at >= size - radius, 2 * size - 1 - at))
-    )
+    turns = range(-(radius // (2 * size)) - 1, radius // (2 * size) + 2)  # a line may be mirrored more than once
+    reach = [F.when(x.between(-radius, size - 1 + radius), x) for k in turns for x in (at + 2 * size * k, 2 * size * k - 1 - at)]
+    places = F.array_compact(F.array(*reach))
     mirrored = df.withColumn(axis, F.explode(places))
     along = line(axis)
     total = reduce(
@@ -238,3 +236,53 @@ def dilate(df: DataFrame, flag: str, steps: int) -> DataFrame:
     rows = df.withColumn("_r", F.max(one).over(line("col").rowsBetween(-steps, steps)))
     near = F.max("_r").over(line("row").rowsBetween(-steps, steps)) == 1
     return rows.withColumn("near", near).drop("_r")
+
+
+def extract_features(df: DataFrame, wanted: dict[str, list[float]], height: int, width: int, dx: float = 1.0, dy: float = 1.0, value: str = "z") -> DataFrame:
+    """``row, col`` and a column for each attribute and sigma of ``wanted``.
+
+    Each surface is smoothed once and serves all attributes of its sigma.
+    Features are null where the pixel itself is missing. Raises ValueError for
+    an unknown attribute or one without a sigma.
+    """
+    for name, sigmas in wanted.items():
+        if name not in (*ATTRIBUTES, "elevation", "slope_break_index"):
+            raise ValueError(f"unknown attribute {name}")
+        if not sigmas:
+            raise ValueError(f"{name} has no sigma")
+    out = df.select("row", "col", F.col(value).isNotNull().alias("_ok"))
+    softness = {s for name, sigmas in wanted.items() for s in (max(s, 0.5) if name == "slope_break_index" else s for s in sigmas)}
+    for sigma in sorted(softness):
+        soft = derivatives(gaussian(df.select("row", "col", value), sigma, height, width, value), height, width, dx, dy, value)
+        steep = soft.withColumn("s", _slope())
+        broken = steep.withColumns({"sx": gradient("s", "col", width, dx), "sy": gradient("s", "row", height, dy)})
+        columns = []
+        for name, sigmas in wanted.items():
+            for s in sigmas:
+                if (max(s, 0.5) if name == "slope_break_index" else s) != sigma:
+                    continue
+                made = (
+                    F.col(value) if name == "elevation"
+                    else F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2) if name == "slope_break_index"
+                    else ATTRIBUTES[name]()
+                )
+                columns.append(made.alias(f"{name}_sigma{s:g}"))
+        out = out.join(broken.select("row", "col", *columns), ["row", "col"])
+    names = [c for c in out.columns if c not in ("row", "col", "_ok")]
+    return out.select("row", "col", *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in names])
+
+
+def zonal_features(df: DataFrame, columns: list[str], stats: list[str], radii: list[int]) -> DataFrame:
+    """``row, col`` and ``{column}_{stat}_w{radius}`` of each of ``columns``, as ``focal`` makes them.
+
+    Columns that ``df`` doesn't have are skipped; with none left, ValueError.
+    """
+    known = [c for c in columns if c in df.columns]
+    if not known:
+        raise ValueError(f"none of {', '.join(columns)} is there")
+    out = df.select("row", "col")
+    for c in known:
+        for radius in radii:
+            for stat in stats:
+                out = out.join(focal(df.select("row", "col", c), stat, radius, c), ["row", "col"])
+    return out

@@ -2,54 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shares of the inspected area at which the gain is reported, in percent.
 TOP = (2, 5, 10, 20)
+#: Slices of a fold, and of a score that very many rows share.
+SLICES = 64
+
+
+def _behind(bounds: Column, value: Column) -> Column:
+    return F.size(F.filter(F.coalesce(bounds, F.array().cast("array<double>")), lambda b: b < value))
 
 
 def ranked(df: DataFrame, score: str, label: str, tie: str, fold: str = "fold") -> DataFrame:
     """Rank ``i`` from 1 by falling score within folds, with ``n`` and positives so far.
 
-    Rows whose score is null, NaN or infinite are left out; ties go by ``tie``.
+    Rows whose score is null, NaN or infinite are left out; ties go by ``tie``,
+    a number.
+
+    No task ranks a whole fold. Approximate quantiles cut each fold into slices;
+    a score on a cut is a slice of its own, cut again by ``tie``, so that very
+    many equal scores are spread, too. Rows are numbered within their slice and
+    moved on by the totals of the slices before it. The cuts only balance the
+    work; ranks are exact. ``df`` is read several times: write scores first.
     """
     inf = F.lit(float("inf"))
     ok = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < inf)
-    order = Window.partitionBy(fold).orderBy(F.desc(score), F.asc(tie))
-    whole = Window.partitionBy(fold)
-    y = F.when(F.col(label), 1).otherwise(0)
-    return df.where(ok).select(
-        fold,
-        F.row_number().over(order).alias("i"),
-        y.alias("y"),
-        F.count("*").over(whole).alias("n"),
-        F.sum(y).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"),
-        F.sum(y).over(whole).alias("total"),
+    rows = df.where(ok).select(
+        F.col(fold).alias("_f"), (-F.col(score).cast("double") + F.lit(0.0)).alias("_s"), F.col(tie).cast("double").alias("_t"),
+        F.col(tie).alias("_tie"), F.when(F.col(label), 1).otherwise(0).alias("y"),
+    )
+
+    def cuts(parts: DataFrame, value: str, by: list[str]) -> DataFrame:
+        """The cuts of each group, by way of the driver: a few numbers of each, the same for all later reads."""
+        shares = F.array(*[F.lit(j / SLICES) for j in range(1, SLICES)])
+        made = parts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, shares)).alias("_cuts"))
+        return df.sparkSession.createDataFrame(made.collect(), made.schema).withColumnsRenamed({c: f"{c}x" for c in by})
+
+    first = cuts(rows, "_s", ["_f"])
+    on = F.when(F.array_contains("_cuts", F.col("_s")), 1).otherwise(0)
+    sliced = rows.join(first, F.col("_f").eqNullSafe(F.col("_fx"))).select(
+        "_f", "_s", "_t", "_tie", "y", (2 * _behind(F.col("_cuts"), F.col("_s")) + on).alias("_b")
+    )
+    again = cuts(sliced.where("_b % 2 = 1"), "_t", ["_f", "_b"])
+    dealt = sliced.join(again, F.col("_f").eqNullSafe(F.col("_fx")) & (F.col("_b") == F.col("_bx")), "left").select(
+        "_f", "_s", "_tie", "y", "_b", _behind(F.col("_cuts"), F.col("_t")).alias("_c")
+    )
+    before = Window.partitionBy("_f").orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_f")  # a few thousand slices at most
+    sums = dealt.groupBy("_f", "_b", "_c").agg(F.count("*").alias("_n"), F.sum("y").alias("_h")).select(
+        F.col("_f").alias("_fx"), F.col("_b").alias("_bx"), F.col("_c").alias("_cx"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h0"),
+        F.sum("_n").over(whole).alias("n"), F.sum("_h").over(whole).alias("total"),
+    )
+    own = Window.partitionBy("_f", "_b", "_c").orderBy("_s", "_tie")
+    numbered = dealt.select(
+        "_f", "_b", "_c", "y", F.row_number().over(own).alias("_i"),
+        F.sum("y").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("_hits"),
+    )
+    slice_ = F.col("_f").eqNullSafe(F.col("_fx")) & (F.col("_b") == F.col("_bx")) & (F.col("_c") == F.col("_cx"))
+    return numbered.join(sums, slice_).select(
+        F.col("_f").alias(fold), (F.col("_i") + F.col("_n0")).alias("i"), "y", "n", (F.col("_hits") + F.col("_h0")).alias("hits"), "total"
     )
 
 
 def success_rate_curve(df: DataFrame, score: str, label: str, tie: str, fold: str = "fold") -> DataFrame:
     """Share of positives found against share of the area inspected, in percent.
 
-    A fold without positives has zeros.
+    ``before_pct`` is the share found before the row. A fold without positives
+    has zeros.
     """
+    share = lambda hits: F.when(F.col("total") > 0, hits / F.nullif(F.col("total"), F.lit(0)) * 100).otherwise(F.lit(0.0))
     return ranked(df, score, label, tie, fold).select(
         fold,
         "i",
         "n",
         (F.col("i") / F.col("n") * 100).alias("inspected_area_pct"),
-        F.when(F.col("total") > 0, F.col("hits") / F.nullif(F.col("total"), F.lit(0)) * 100)
-        .otherwise(F.lit(0.0))
-        .alias("detected_positives_pct"),
+        share(F.col("hits")).alias("detected_positives_pct"),
+        share(F.col("hits") - F.col("y")).alias("before_pct"),
     )
 
 
 def curve_metrics(curve: DataFrame, fold: str = "fold") -> DataFrame:
     """Area under each fold's curve (trapezoids from its first point) and top gains."""
-    x, y = F.col("inspected_area_pct"), F.col("detected_positives_pct")
-    along = Window.partitionBy(fold).orderBy("i")
-    area = (x - F.lag(x).over(along)) * (y + F.lag(y).over(along)) / 2
+    y = F.col("detected_positives_pct")
+    area = F.when(F.col("i") > 1, 100 / F.col("n") * (y + F.col("before_pct")) / 2)
     top = [
         F.max(F.when(F.col("i") == F.ceil(F.col("n") * F.lit(p / 100)), y)).alias(f"top_{p}_pct") for p in TOP
     ]
@@ -83,28 +121,40 @@ def gain_bins(df: DataFrame, score: str, label: str, tie: str, size: int = 5, fo
     )
 
 
+def mean_std(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """Mean and population deviation of ``values`` over the rows of ``by``; null and NaN don't count."""
+    known = {v: F.when(~F.isnan(v), F.col(v)) for v in values}
+    made = [f(known[v]).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return df.groupBy(*by).agg(*made)
+
+
+def gain_bins_mean_std(bins: DataFrame, folds: int, size: int = 5) -> DataFrame:
+    """Mean and deviation of each bin over ``folds`` folds; a bin that a fold doesn't have counts as zero."""
+    v = F.col("pct_positives")
+    mean = F.sum(v) / folds
+    spread = F.sqrt(F.greatest(F.sum(v * v) / folds - mean * mean, F.lit(0.0)))
+    return bins.groupBy("bin").agg(mean.alias("pct_positives_mean"), spread.alias("pct_positives_std")).select(
+        ((F.col("bin") + 0.5) * size).alias("bin_center"), "pct_positives_mean", "pct_positives_std"
+    )
+
+
 def curve_mean_std(curve: DataFrame, points: int = 100, fold: str = "fold") -> DataFrame:
     """Folds' curves read off at ``points`` places from 0 to 100: mean and population deviation.
 
     Linear between points; before a curve's first point its first value holds.
+    Each row knows the point before it, so no window is needed: it takes the
+    places after that point up to its own.
     """
-    along = Window.partitionBy(fold).orderBy("i")
     x, y = F.col("inspected_area_pct"), F.col("detected_positives_pct")
     step = 100.0 / (points - 1)
-    pieces = curve.select(
-        fold, x.alias("x1"), y.alias("y1"), F.lead(x).over(along).alias("x2"), F.lead(y).over(along).alias("y2"),
-        F.col("i"),
-    )
-    # the grid places of a piece follow from its ends: no range join
-    low = F.when(F.col("i") == 1, 0).otherwise(F.ceil(F.col("x1") / step - 1e-9)).cast("int")
-    high = F.when(F.col("x2").isNull(), points - 1).otherwise(F.ceil(F.col("x2") / step - 1e-9) - 1).cast("int")
-    placed = pieces.select("*", low.alias("low"), high.alias("high")).where("low <= high")
-    placed = placed.select("*", F.explode(F.sequence("low", "high")).alias("k"))
+    back = (F.col("i") - 1) / F.col("n") * 100
+    low = F.when(F.col("i") == 1, 0).otherwise(F.floor(back / step + 1e-9) + 1).cast("int")
+    high = F.floor(x / step + 1e-9).cast("int")
+    placed = curve.select("i", "n", x.alias("x2"), back.alias("x1"), y.alias("y2"), F.col("before_pct").alias("y1"), low.alias("low"), high.alias("high"))
+    placed = placed.where("low <= high").select("*", F.explode(F.sequence("low", "high")).alias("k"))
     g = F.col("k") * step
-    value = (
-        F.when((g <= F.col("x1")) | F.col("x2").isNull(), F.col("y1"))
-        .otherwise(F.col("y1") + (g - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
-    )
+    part = (g - F.col("x1")) / (F.col("x2") - F.col("x1"))
+    value = F.when(F.col("i") == 1, F.col("y2")).otherwise(F.col("y1") + part * (F.col("y2") - F.col("y1")))
     return (
         placed.select("k", g.alias("inspected_area_pct"), value.alias("v"))
         .groupBy("k", "inspected_area_pct")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grid import box_variance, gaussian
+
 #: Side of the cells by which rectangles and pixels meet.
 CELL = 32
 
@@ -78,18 +80,87 @@ def rasterise(grid: DataFrame, shapes: DataFrame, value: str, order: str, fill:
     )
 
 
+def within(grid: DataFrame, shapes: DataFrame, distance: float) -> DataFrame:
+    """``row, col`` with the rectangles no further than ``distance`` from the pixel's centre."""
+    wide = shapes.select(
+        "*", F.struct("x0", "x1", "y0", "y1").alias("_box")
+    ).withColumns({"x0": F.col("x0") - distance, "x1": F.col("x1") + distance, "y0": F.col("y0") - distance, "y1": F.col("y1") + distance})
+    away = lambda at, low, high: F.greatest(F.col(low) - at, at - F.col(high), F.lit(0.0))
+    dx, dy = away(F.col("col") + 0.5, "_box.x0", "_box.x1"), away(F.col("row") + 0.5, "_box.y0", "_box.y1")
+    return inside(grid, wide).where(dx * dx + dy * dy <= distance * distance).drop("_box")
+
+
 def priority_labels(grid: DataFrame, outlines: DataFrame, zones: DataFrame, buffer: float, value: str = "z") -> DataFrame:
-    """3 in a zone, else 2 within its widened bounds, else 1 in an outline and valid, else 0."""
-    wide = zones.select(
-        (F.col("x0") - buffer).alias("x0"), (F.col("x1") + buffer).alias("x1"),
-        (F.col("y0") - buffer).alias("y0"), (F.col("y1") + buffer).alias("y1"),
-    )
+    """3 in a zone, else 2 within ``buffer`` of one, else 1 in an outline and valid, else 0."""
     pixels = grid.select("row", "col")
     marks = (
         inside(grid.where(F.col(value).isNotNull()).select("row", "col"), outlines).select("row", "col", F.lit(1).alias("m"))
-        .unionByName(inside(pixels, wide).select("row", "col", F.lit(2).alias("m")))
+        .unionByName(within(pixels, zones, buffer).select("row", "col", F.lit(2).alias("m")))
         .unionByName(inside(pixels, zones).select("row", "col", F.lit(3).alias("m")))
         .groupBy("row", "col")
         .agg(F.max("m").alias("label"))
     )
     return pixels.join(marks, ["row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def align(grid: DataFrame, source: DataFrame, value: str, target: dict[str, float], origin: dict[str, float]) -> DataFrame:
+    """``grid``'s pixels with the value of the source pixel that holds their centre, by coordinates.
+
+    ``target`` and ``origin`` are the places of the two rasters: ``x0, y0`` of
+    the upper left corner and ``dx, dy`` of a pixel; rows run down. Where the
+    source has no pixel the value is null.
+    """
+    x = target["x0"] + (F.col("col") + 0.5) * target["dx"]
+    y = target["y0"] - (F.col("row") + 0.5) * target["dy"]
+    at = {"s_row": F.floor((origin["y0"] - y) / origin["dy"]).cast("int"), "s_col": F.floor((x - origin["x0"]) / origin["dx"]).cast("int")}
+    src = source.select(F.col("row").alias("s_row"), F.col("col").alias("s_col"), value)
+    return grid.withColumns(at).join(src, ["s_row", "s_col"], "left").drop("s_row", "s_col")
+
+
+def crop(df: DataFrame) -> DataFrame:
+    """Rows and columns counted anew from the least that is left."""
+    ends = df.agg(F.min("row").alias("_r"), F.min("col").alias("_c"))  # one row
+    moved = {"row": (F.col("row") - F.col("_r")).cast("int"), "col": (F.col("col") - F.col("_c")).cast("int")}
+    return df.crossJoin(F.broadcast(ends)).withColumns(moved).drop("_r", "_c")
+
+
+def bedrock(surface: DataFrame, ice: DataFrame, outlines: DataFrame, buffer: float, target: dict, origin: dict) -> DataFrame:
+    """The ground below the ice: aligned, subtracted, clipped to the widened outlines, cropped, quantised.
+
+    ``surface`` has ``row, col, z``, ``ice`` ``row, col, ice`` on its own grid.
+    """
+    thick = align(surface.select("row", "col"), ice, "ice", target, origin)
+    return quantise(crop(clip(subtract(surface, thick), outlines, buffer)))
+
+
+def roughness_sigma(surface: DataFrame, ice: DataFrame, value: str = "z", other: str = "ice") -> DataFrame:
+    """One row ``sigma``: how much the surface has to be smoothed to be as rough as the ice.
+
+    The square root of the ratio of their mean local deviations in squares of
+    5 pixels, less one, between 0.5 and 5; 1 where no more than 1000 pixels
+    have both or a mean is not positive. A deviation is null unless its whole
+    square is valid.
+    """
+    local = lambda df, v, name: box_variance(df.select("row", "col", v), value=v).select("row", "col", F.sqrt("local_variance").alias(name))
+    both = local(surface, value, "a").join(local(ice, other, "b"), ["row", "col"]).where("a IS NOT NULL AND b IS NOT NULL")
+    means = both.agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n"))
+    sigma = F.least(F.greatest(F.sqrt(F.col("a") / F.col("b")) - 1, F.lit(0.5)), F.lit(5.0))
+    return means.select(F.when((F.col("n") > 1000) & (F.col("a") > 0) & (F.col("b") > 0), sigma).otherwise(F.lit(1.0)).alias("sigma"))
+
+
+def smooth_filled(df: DataFrame, sigma: float, height: int, width: int, value: str = "z") -> DataFrame:
+    """Smoothing that takes missing pixels for zeros and leaves them missing."""
+    filled = df.select("row", "col", F.coalesce(value, F.lit(0.0)).alias(value), F.col(value).isNull().alias("_gone"))
+    soft = gaussian(filled, sigma, height, width, value)
+    return soft.select("row", "col", F.when(~F.col("_gone"), F.col(value)).alias(value))
+
+
+def smoothed_bedrock(
+    surface: DataFrame, ice: DataFrame, outlines: DataFrame, buffer: float, target: dict, origin: dict, height: int, width: int, sigma: float | None = None
+) -> DataFrame:
+    """``bedrock`` of the smoothed surface; without ``sigma``, of ``roughness_sigma``."""
+    thick = align(surface.select("row", "col"), ice, "ice", target, origin)
+    if sigma is None:
+        sigma = roughness_sigma(surface, thick).first()["sigma"]
+    soft = smooth_filled(surface, sigma, height, width)
+    return quantise(crop(clip(subtract(soft, thick), outlines, buffer)))

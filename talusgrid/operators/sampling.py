@@ -16,21 +16,68 @@ def fold_sample(df: DataFrame, ratio: float, buffer: int, seed: int, label: str
     and pixels without a fold are never sampled; a fold without positives gives
     no rows. The grid must be dense.
     """
-    folds = [r["fold"] for r in df.where("fold > 0").select("fold").distinct().orderBy("fold").collect()]
-    near = F.lit(False)
-    for f in folds:  # folds are few; each has its own flag along the two passes
-        flag = F.when((F.col("fold") == f) & F.col(label), 1).otherwise(0)
-        df = df.withColumn(f"_r{f}", F.max(flag).over(line("col").rowsBetween(-buffer, buffer)))
-        df = df.withColumn(f"_n{f}", F.max(f"_r{f}").over(line("row").rowsBetween(-buffer, buffer)))
-        near = near | ((F.col("fold") == f) & (F.col(f"_n{f}") == 1))
-    pool = df.where(F.col("fold") > 0).withColumn("_open", ~near & ~F.col(label)).where(F.col(label) | F.col("_open"))
+    seen = F.collect_set(F.when(F.col(label), F.col("fold"))).over(line("col").rowsBetween(-buffer, buffer))
+    around = F.flatten(F.collect_list("_seen").over(line("row").rowsBetween(-buffer, buffer)))
+    marked = df.withColumn("_seen", seen).withColumn("_near", F.array_contains(around, F.col("fold")))
+    pool = marked.where((F.col("fold") > 0) & (F.col(label) | ~F.col("_near")))
     key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("fold")).cast("string"), F.col("row").cast("string"), F.col("col").cast("string")))
-    order = Window.partitionBy("fold", label).orderBy(key, "row", "col")
-    n_pos = F.sum(F.when(F.col(label), 1).otherwise(0)).over(Window.partitionBy("fold"))
-    picked = pool.withColumns({"_i": F.row_number().over(order), "_p": n_pos})
-    target = F.floor(F.col("_p") * F.lit(ratio) * F.lit(1.2))
-    return picked.where((F.col("_p") > 0) & (F.col(label) | (F.col("_i") <= target))).select(
-        "fold", "row", "col", F.col(label).cast("int").alias("label")
+    wanted = pool.where(F.col(label)).groupBy("fold").agg(F.floor(F.count("*") * F.lit(ratio) * F.lit(1.2)).alias("_k"))
+    drawn = _first(pool.where(~F.col(label)).select("fold", "row", "col", key.alias("_key")), wanted)
+    return (
+        pool.where(F.col(label)).select("fold", "row", "col", F.lit(1).alias("label"))
+        .unionByName(drawn.select("fold", "row", "col", F.lit(0).alias("label")))
+    )
+
+
+def _first(pool: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first ``_k`` rows of each fold of ``pool``, or all, by ``_key`` (hexadecimal), row and col.
+
+    Counts by the key's first digits tell where a fold's last row lies, so only
+    the rows of that one part of 65536 are put in order.
+    """
+    parted = pool.withColumn("_part", F.substring("_key", 1, 4)).join(wanted, "fold")
+    along = Window.partitionBy("fold").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parted.groupBy("fold", "_part").agg(F.count("*").alias("_n"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).join(wanted, "fold").where("_before < _k")
+    taken = parted.drop("_k").join(sums, ["fold", "_part"])
+    whole = taken.where("_before + _n <= _k")
+    order = Window.partitionBy("fold", "_part").orderBy("_key", "row", "col")
+    border = taken.where("_before + _n > _k").withColumn("_i", F.row_number().over(order)).where("_before + _i <= _k")
+    return whole.select(*pool.columns).unionByName(border.select(*pool.columns))
+
+
+def gather(samples: DataFrame, pixels: DataFrame, features: list[str]) -> DataFrame:
+    """``fold, row, col, label`` of the samples with their features; only those columns are read."""
+    return samples.join(pixels.select("row", "col", *features), ["row", "col"]).select("fold", "row", "col", "label", *features)
+
+
+def trim(samples: DataFrame, features: list[str], ratio: float, seed: int) -> DataFrame:
+    """Samples whose features are all finite: all positives, and ``int(positives * ratio)`` others of a fold.
+
+    The others are the first by an md5 of seed, fold and place, all if there
+    are fewer; a fold without valid positives gives no rows.
+    """
+    good = valid(samples, features)
+    key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("fold")).cast("string"), F.col("row").cast("string"), F.col("col").cast("string")))
+    wanted = good.where("label = 1").groupBy("fold").agg(F.floor(F.count("*") * F.lit(ratio)).alias("_k"))
+    drawn = _first(good.where("label = 0").withColumn("_key", key), wanted).drop("_key")
+    return good.where("label = 1").unionByName(drawn)
+
+
+def training_table(samples: DataFrame, pixels: DataFrame, features: list[str], ratio: float, seed: int) -> DataFrame:
+    """``gather`` and ``trim``; raises ValueError if nothing is left."""
+    made = trim(gather(samples, pixels, features), features, ratio, seed)
+    if made.isEmpty():
+        raise ValueError("no samples are left")
+    return made
+
+
+def fold_statistics(samples: DataFrame) -> DataFrame:
+    """Positives, others, their ratio and their number for each fold, and for all under a null fold."""
+    count = F.count("*")
+    positives, others = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    return samples.rollup("fold").agg(
+        positives.alias("positives"), others.alias("unlabeled"), (others / F.nullif(positives, F.lit(0))).alias("ratio"), count.alias("n_samples")
     )
 
 

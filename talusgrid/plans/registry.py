@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talusgrid.functions import projection
 from talusgrid.operators import events, features, grid, model, ranking, raster, sampling
 
 WIDTH = 100
@@ -103,19 +104,98 @@ def list_membership_join(spark, sf_dir):
 _ROW = "l_orderkey * 1000000 + l_linenumber * 10000 + l_suppkey"
 
 
+_EVENTS = "l_returnflag || (l_suppkey % 7), l_linestatus || (l_linenumber % 3), l_returnflag || (l_suppkey % 2)"
+
+
 @query(f"""
-WITH e AS (SELECT l_partkey, {_ROW} AS r, [l_returnflag, l_linestatus] AS ev FROM lineitem),
-x AS (SELECT l_partkey, r, unnest(ev) AS e, generate_subscripts(ev, 1) AS j FROM e),
-d AS (SELECT l_partkey, e, min((r, e, j)) AS p FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY r, e) FROM x) GROUP BY 1, 2),
+WITH e AS (SELECT l_partkey, ev, row_number() OVER (PARTITION BY l_partkey ORDER BY {_ROW}, ev) AS k FROM (SELECT *, [{_EVENTS}] AS ev FROM lineitem)),
+x AS (SELECT l_partkey, k, unnest(ev) AS e, generate_subscripts(ev, 1) AS j FROM e),
+d AS (SELECT l_partkey, e, min(k * 10 + j) AS p FROM x GROUP BY 1, 2),
+o AS (SELECT l_partkey, string_agg(e, ',' ORDER BY p) AS events FROM d GROUP BY 1),
 s AS (SELECT l_partkey, count(DISTINCT list_sort(list_distinct(ev))) = 1 AS identical, count(*)::BIGINT AS n_rows FROM e GROUP BY 1)
-SELECT s.l_partkey, s.n_rows, s.identical, (SELECT string_agg(e, ',' ORDER BY e) FROM d WHERE d.l_partkey = s.l_partkey) AS events FROM s""")
+SELECT l_partkey, n_rows, identical, events FROM s JOIN o USING (l_partkey)""")
 def merge_duplicates(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select("l_partkey", F.expr(_ROW).alias("r"), F.array("l_returnflag", "l_linestatus").alias("ev"))
+    rows = read(spark, sf_dir, "lineitem").select("l_partkey", F.expr(_ROW).alias("r"), F.expr(f"array({_EVENTS})").alias("ev"))
     return events.merge_duplicates(rows, "l_partkey", "ev", "r").select(
-        "l_partkey", "n_rows", "identical", F.array_join(F.array_sort("ev"), ",").alias("events")
+        "l_partkey", "n_rows", "identical", F.array_join("ev", ",").alias("events")
     )
 
 
+@query("""WITH e AS (SELECT o_custkey // 3 AS k, list_sort([o_orderstatus, substr(o_orderpriority, 1, 1)]) AS ev FROM orders)
+SELECT k, count(*)::BIGINT AS n_rows, count(DISTINCT list_distinct(ev)) = 1 AS identical FROM e GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_report(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.expr("o_custkey div 3").alias("k"), F.expr("array(o_orderstatus, substr(o_orderpriority, 1, 1))").alias("ev"))
+    return events.duplicate_report(rows, "k", "ev")
+
+
+#: Lines of orders: the same ones again and again, drawn either way and in either order.
+_P = "o_custkey % 40"
+_LINES = (
+    "[[{'x': P + 0.5, 'y': P % 7 + 0.25}, {'x': P % 5 + 20.5, 'y': P + 1.5}], [{'x': P % 3 + 0.5, 'y': 2.5}, {'x': P + 9.5, 'y': 0.5}, {'x': 1.5, 'y': P + 3.5}]]"
+).replace("P", f"({_P})")
+_GEOMS = f"""l AS (SELECT *, {_LINES} AS pair FROM orders),
+t AS (SELECT *, CASE WHEN {_P} % 4 = 0 THEN pair[1:1] WHEN o_orderkey % 2 = 0 THEN [pair[2], list_reverse(pair[1])] ELSE pair END AS parts FROM l)"""
+
+
+def lines(spark, sf_dir):
+    point = lambda x, y: f"struct(double({x}) AS x, double({y}) AS y)"
+    one = f"array({point(f'{_P} + 0.5', f'{_P} % 7 + 0.25')}, {point(f'{_P} % 5 + 20.5', f'{_P} + 1.5')})"
+    two = f"array({point(f'{_P} % 3 + 0.5', 2.5)}, {point(f'{_P} + 9.5', 0.5)}, {point(1.5, f'{_P} + 3.5')})"
+    parts = f"CASE WHEN {_P} % 4 = 0 THEN array({one}) WHEN o_orderkey % 2 = 0 THEN array({two}, reverse({one})) ELSE array({one}, {two}) END"
+    return read(spark, sf_dir, "orders").withColumn("parts", F.expr(parts))
+
+
+_CANON = "list_sort(list_transform(parts, lambda p: CASE WHEN p <= list_reverse(p) THEN p ELSE list_reverse(p) END))"
+
+
+@query(f"""WITH {_GEOMS} SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY {_CANON}) AS first_alike FROM t""")
+def geometry_uuid_lines(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("o_orderkey", events.geometry_uuid(F.col("parts")).alias("u"))
+    heads = rows.groupBy("u").agg(F.min("o_orderkey").alias("first_alike"))
+    return rows.join(heads, "u").select("o_orderkey", "first_alike")
+
+
+@query(f"""WITH {_GEOMS},
+e AS (SELECT o_orderkey, parts, {_CANON} AS g, list_filter([o_orderstatus, trim(substr(o_orderpriority, 3)), 'c' || (o_custkey % 3)], lambda x: x <> '') AS ev FROM t),
+x AS (SELECT g, o_orderkey, unnest(ev) AS e, generate_subscripts(ev, 1) AS j FROM e),
+d AS (SELECT g, e, min(o_orderkey * 10 + j) AS p FROM x GROUP BY 1, 2),
+o AS (SELECT g, string_agg(e, ',' ORDER BY p) AS events FROM d GROUP BY 1),
+s AS (SELECT g, count(*)::BIGINT AS n_rows, min_by(parts, o_orderkey) AS geometry FROM e GROUP BY 1)
+SELECT events, n_rows, len(geometry)::INT AS n_lines, geometry[1][1].x AS x FROM s JOIN o USING (g)""")
+def preprocess_geometries(spark, sf_dir):
+    rows = lines(spark, sf_dir).select(
+        "o_orderkey", "parts", F.concat("o_orderstatus", F.lit(" ;; "), F.substring("o_orderpriority", 3, 99)).alias("event_1"),
+        F.lit("nan").alias("event_2"), F.concat(F.lit(" c"), F.col("o_custkey") % 3).alias("event_3"),
+    )
+    got = events.preprocess_geometries(rows, ["event_1", "event_2", "event_3"], "parts", "o_orderkey")
+    return got.select(F.array_join("events", ",").alias("events"), "n_rows", F.size("geometry").alias("n_lines"), F.col("geometry")[0][0]["x"].alias("x"))
+
+
+_LISTS = "o_custkey, o_custkey, o_orderkey % 50"
+_APPENDED = f"""{_GEOMS}, m AS (SELECT DISTINCT o_orderkey, parts, unnest([{_LISTS}]) AS c_custkey FROM t),
+n AS (SELECT c_custkey, count(*)::BIGINT AS n, sum(len(parts))::INT AS n_lines, sum(list_sum(list_transform(parts, lambda p: len(p))))::INT AS n_points,
+  min_by(parts, o_orderkey)[1][1].x AS x FROM m GROUP BY 1),
+a AS (SELECT c.c_custkey, coalesce(n, 0)::BIGINT AS n_geometries, CASE WHEN n_lines = 1 THEN 'LineString' WHEN n_lines > 1 THEN 'MultiLineString' END AS geometry_type, n_points, x
+  FROM customer c LEFT JOIN n USING (c_custkey))"""
+
+
+def _appended(spark, sf_dir):
+    geoms = lines(spark, sf_dir).select("o_orderkey", "parts", F.expr(f"array({_LISTS})").alias("events"))
+    return events.append_geometries(read(spark, sf_dir, "customer").select("c_custkey"), geoms, "c_custkey", "o_orderkey", "events", "parts")
+
+
+@query(f"WITH {_APPENDED} SELECT * FROM a")
+def append_geometries(spark, sf_dir):
+    points = F.aggregate("geometry", F.lit(0), lambda n, line: n + F.size(line))
+    return _appended(spark, sf_dir).select("c_custkey", "n_geometries", "geometry_type", points.alias("n_points"), F.col("geometry")[0][0]["x"].alias("x"))
+
+
+@query(f"""WITH {_APPENDED} SELECT count(*)::BIGINT AS n_events, count(*) FILTER (n_geometries = 0)::BIGINT AS without, count(*) FILTER (n_geometries = 1)::BIGINT AS with_one,
+count(*) FILTER (n_geometries >= 2)::BIGINT AS with_more, max(n_geometries)::BIGINT AS most FROM a""")
+def geometry_statistics(spark, sf_dir):
+    return events.geometry_statistics(_appended(spark, sf_dir))
+
+
 @query("""SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid
 FROM (SELECT c_custkey, sha1(c_name) AS h FROM customer)""")
 def geometry_hash_uuid(spark, sf_dir):
@@ -201,7 +281,7 @@ def rasterize_labels(spark, sf_dir):
 
 @query(f"""WITH {GRID}, {SHAPES} SELECT "row", col, CASE
 WHEN EXISTS (SELECT 1 FROM s WHERE fold IS NULL AND col + 0.5 BETWEEN x0 AND x1 AND "row" + 0.5 BETWEEN y0 AND y1) THEN 3
-WHEN EXISTS (SELECT 1 FROM s WHERE fold IS NULL AND col + 0.5 BETWEEN x0 - 2 AND x1 + 2 AND "row" + 0.5 BETWEEN y0 - 2 AND y1 + 2) THEN 2
+WHEN EXISTS (SELECT 1 FROM s WHERE fold IS NULL AND pow(greatest(x0 - col - 0.5, col + 0.5 - x1, 0), 2) + pow(greatest(y0 - "row" - 0.5, "row" + 0.5 - y1, 0), 2) <= 4) THEN 2
 WHEN z IS NOT NULL AND EXISTS (SELECT 1 FROM s WHERE fold IS NOT NULL AND col + 0.5 BETWEEN x0 AND x1 AND "row" + 0.5 BETWEEN y0 AND y1) THEN 1
 ELSE 0 END AS label FROM g""")
 def priority_labels(spark, sf_dir):
@@ -209,19 +289,57 @@ def priority_labels(spark, sf_dir):
     return raster.priority_labels(lift(spark, sf_dir), s.where("fold is not null"), s.where("fold is null"), 2.0)
 
 
+#: Where two rasters lie: corner and pixel size.
+_HERE = {"x0": 1000.0, "y0": 5000.0, "dx": 10.0, "dy": 10.0}
+_THERE = {"x0": 985.0, "y0": 5020.0, "dx": 25.0, "dy": 20.0}
+_SOURCE = """CAST(floor((5020 - (5000 - ("row" + 0.5) * 10)) / 20) AS INT) AS sr, CAST(floor((1000 + (col + 0.5) * 10 - 985) / 25) AS INT) AS sc"""
+_ICE = """i AS (SELECT (o_orderkey // 100)::INT AS "row", (o_orderkey % 100)::INT AS col, o_custkey % 701 * 11.5::DOUBLE AS ice FROM orders WHERE o_orderkey % 13 <> 0)"""
+
+
+def ice(spark, sf_dir):
+    return read(spark, sf_dir, "orders").where("o_orderkey % 13 <> 0").select(
+        F.expr("int(o_orderkey div 100)").alias("row"), (F.col("o_orderkey") % 100).cast("int").alias("col"), (F.col("o_custkey") % 701 * 11.5).alias("ice")
+    )
+
+
+@query(f"""WITH {GRID}, {_ICE}, p AS (SELECT "row", col, {_SOURCE} FROM g)
+SELECT p."row", p.col, i.ice FROM p LEFT JOIN i ON i."row" = sr AND i.col = sc""")
+def align_coordinates(spark, sf_dir):
+    return raster.align(lift(spark, sf_dir).select("row", "col"), ice(spark, sf_dir), "ice", _HERE, _THERE)
+
+
+_CHAIN = """c AS (SELECT p."row", p.col, z - coalesce(i.ice, 0) AS z FROM p LEFT JOIN i ON i."row" = sr AND i.col = sc
+  WHERE EXISTS (SELECT 1 FROM s WHERE p.col + 0.5 BETWEEN x0 - 1.5 AND x1 + 1.5 AND p."row" + 0.5 BETWEEN y0 - 1.5 AND y1 + 1.5))
+SELECT ("row" - min("row") OVER ())::INT AS "row", (col - min(col) OVER ())::INT AS col,
+  CASE WHEN z IS NULL THEN 65535 ELSE greatest(least(round_even(z, 0), 65534), 0) END::INT AS z FROM c"""
+
+
+@query(f"""WITH {GRID}, {SHAPES}, {_ICE}, p AS (SELECT "row", col, z, {_SOURCE} FROM g), {_CHAIN}""")
+def bedrock(spark, sf_dir):
+    return raster.bedrock(lift(spark, sf_dir).select("row", "col", "z"), ice(spark, sf_dir), shapes(spark, sf_dir), 1.5, _HERE, _THERE)
+
+
 # terrain --------------------------------------------------------------------
 
 
-def _blur(sigma: float) -> str:
+#: A surface of gentler slopes than prices make.
+RELIEF = GRID.replace("o_totalprice END AS z", "o_totalprice / 100000 END AS z")
+
+
+def relief(spark, sf_dir):
+    return lift(spark, sf_dir).select("row", "col", (F.col("z") / 100000).alias("z"))
+
+
+def _blur(sigma: float, source: str = "g") -> str:
     """CTE ``b``: the grid smoothed by joining each pixel with its mirrored neighbours."""
     w = grid.weights(sigma)
     r = len(w) // 2
     rows = ", ".join(f"({k - r}, {x!r}::DOUBLE)" for k, x in enumerate(w))
     step = lambda axis, size, src, dst: f"""{dst} AS (SELECT a."row", a.col, CASE WHEN count(n.z) = {2 * r + 1} THEN sum(n.z * w.w) END AS z
   FROM {src} a CROSS JOIN w CROSS JOIN h JOIN {src} n ON n.{"col" if axis == '"row"' else '"row"'} = a.{"col" if axis == '"row"' else '"row"'}
-  AND n.{axis} = CASE WHEN a.{axis} + w.d < 0 THEN -1 - a.{axis} - w.d WHEN a.{axis} + w.d >= {size} THEN 2 * {size} - 1 - a.{axis} - w.d ELSE a.{axis} + w.d END
+  AND n.{axis} = least((a.{axis} + w.d + 40 * {size}) % (2 * {size}), 2 * {size} - 1 - (a.{axis} + w.d + 40 * {size}) % (2 * {size}))
   GROUP BY 1, 2)"""
-    return f"""w(d, w) AS (VALUES {rows}), {step('"row"', "h.height", "g", "b0")}, {step("col", "100", "b0", "b")}"""
+    return f"""w(d, w) AS (VALUES {rows}), {step('"row"', "h.height", source, "b0")}, {step("col", "100", "b0", "b")}"""
 
 
 def _diff(value: str, axis: str, size: str) -> str:
@@ -246,49 +364,108 @@ _EXPR = {
 }
 
 
-#: Curvatures of a made-up surface span many sizes; few digits hide the sums' order.
-DIGITS = 2
+DIGITS = 6
 
 
 def _terrain(attribute: str, sigma: float, sql: str) -> None:
     column = f"{attribute}_sigma{sigma:g}"
 
     def run(spark, sf_dir):
-        got = grid.terrain(lift(spark, sf_dir).select("row", "col", "z"), attribute, sigma, height(spark, sf_dir), WIDTH)
+        got = grid.terrain(relief(spark, sf_dir), attribute, sigma, height(spark, sf_dir), WIDTH)
         return got.withColumn(column, F.round(column, DIGITS) + F.lit(0.0))  # no negative zero
 
     query(sql.format(column=column), f"{attribute}_s{sigma:g}")(run)
 
 
-_terrain("elevation", 1, f'WITH {GRID}, {_blur(1)} SELECT "row", col, round(z, 2) + 0.0 AS {{column}} FROM b')
-for _name, _expr in _EXPR.items():
-    _terrain(_name, 1, f'WITH {GRID}, {_blur(1)}, {_D} SELECT "row", col, round({_expr}, 2) + 0.0::DOUBLE AS {{column}} FROM d3')
-_terrain(
-    "slope_break_index",
-    1,
-    f"""WITH {GRID}, {_blur(1)}, {_D}, s AS (SELECT "row", col, {_EXPR["slope"]} AS s FROM d3),
+def _attribute_sql(attribute: str, sigma: float) -> str:
+    if attribute == "elevation":
+        return f'WITH {RELIEF}, {_blur(sigma)} SELECT "row", col, round(z, {DIGITS}) + 0.0::DOUBLE AS {{column}} FROM b'
+    if attribute == "slope_break_index":
+        return f"""WITH {RELIEF}, {_blur(sigma)}, {_D}, s AS (SELECT "row", col, {_EXPR["slope"]} AS s FROM d3),
 e AS (SELECT "row", col, {_diff("s", "col", "100")} AS sx, {_diff("s", '"row"', "(SELECT height FROM h)")} AS sy FROM s)
-SELECT "row", col, round(sqrt(sx * sx + sy * sy), 2) AS {{column}} FROM e""",
-)
+SELECT "row", col, round(sqrt(sx * sx + sy * sy), {DIGITS}) + 0.0::DOUBLE AS {{column}} FROM e"""
+    return f'WITH {RELIEF}, {_blur(sigma)}, {_D} SELECT "row", col, round({_EXPR[attribute]}, {DIGITS}) + 0.0::DOUBLE AS {{column}} FROM d3'
+
+
+for _name in ("elevation", "slope_break_index", *_EXPR):
+    _terrain(_name, 1, _attribute_sql(_name, 1))
+for _name, _sigma in (("elevation", 3), ("elevation", 5), ("slope", 3), ("mean_curvature", 3), ("profile_curvature", 5)):
+    _terrain(_name, _sigma, _attribute_sql(_name, _sigma))
+
+_WANTED = {"slope": [1, 3], "slope_break_index": [1], "planform_curvature": [3]}
+_WANTED_COLUMNS = [(a, s) for a, sigmas in _WANTED.items() for s in sigmas]
+
+
+@query("SELECT * FROM " + " JOIN ".join(f"({_attribute_sql(a, s).format(column=f'{a}_sigma{s:g}')}) t{k}" + (' USING ("row", col)' if k else "") for k, (a, s) in enumerate(_WANTED_COLUMNS)))
+def extract_features(spark, sf_dir):
+    got = grid.extract_features(relief(spark, sf_dir), _WANTED, height(spark, sf_dir), WIDTH)
+    names = [f"{a}_sigma{s:g}" for a, s in _WANTED_COLUMNS]
+    return got.select("row", "col", *[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c in names])
+
+
+_FILLED = """gf AS (SELECT "row", col, coalesce(z, 0) AS z FROM g)"""
+
+
+@query(f"""WITH {GRID}, {_FILLED}, {_blur(1, "gf")} SELECT b."row", b.col, round(CASE WHEN g.z IS NOT NULL THEN b.z END, 4) AS z FROM b JOIN g USING ("row", col)""")
+def smooth_filled(spark, sf_dir):
+    got = raster.smooth_filled(lift(spark, sf_dir).select("row", "col", "z"), 1, height(spark, sf_dir), WIDTH)
+    return got.withColumn("z", F.round("z", 4))
+
 
-_DISC = ", ".join(f"({d}, {e})" for d, s in grid.spans(3).items() for e in range(-s, s + 1))
-_FOCAL = f"""WITH {GRID}, o(dy, dx) AS (VALUES {_DISC}), e AS (SELECT min(z) AS lo, max(z) AS hi FROM g),
+@query(f"""WITH {GRID}, {SHAPES}, {_ICE}, {_FILLED}, {_blur(1, "gf")}, p AS (SELECT "row", col, CASE WHEN g.z IS NOT NULL THEN b.z END AS z, {_SOURCE} FROM b JOIN g USING ("row", col)), {_CHAIN}""")
+def smoothed_bedrock(spark, sf_dir):
+    surface = lift(spark, sf_dir).select("row", "col", "z")
+    return raster.smoothed_bedrock(surface, ice(spark, sf_dir), shapes(spark, sf_dir), 1.5, _HERE, _THERE, height(spark, sf_dir), WIDTH, sigma=1)
+
+
+_LOCAL = """(SELECT a."row", a.col, count(n.{v}) AS n, stddev_pop(n.{v}) AS d FROM {t} a JOIN {t} n
+  ON n."row" BETWEEN a."row" - 2 AND a."row" + 2 AND n.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {GRID}, j AS (SELECT "row", col, z * 0.25 + fold * 9000 AS ice FROM g),
+m AS (SELECT avg(x.d) AS a, avg(y.d) AS b, count(*) AS n FROM {_LOCAL.format(t="g", v="z")} x JOIN {_LOCAL.format(t="j", v="ice")} y USING ("row", col) WHERE x.n = 25 AND y.n = 25)
+SELECT round(CASE WHEN n > 1000 AND a > 0 AND b > 0 THEN least(greatest(sqrt(a / b) - 1, 0.5), 5) ELSE 1 END, 6) AS sigma FROM m""")
+def roughness_sigma(spark, sf_dir):
+    g = lift(spark, sf_dir)
+    other = g.select("row", "col", (F.col("z") * 0.25 + F.col("fold") * 9000).alias("ice"))
+    return raster.roughness_sigma(g.select("row", "col", "z"), other).select(F.round("sigma", 6).alias("sigma"))
+
+
+_FOCAL = """WITH {relief}, o(dy, dx) AS (VALUES {disc}), e AS (SELECT min(z) AS lo, max(z) AS hi FROM g),
 q AS (SELECT "row", col, z, trunc((z - lo) / (hi - lo) * 255)::INT AS b, lo, hi FROM g CROSS JOIN e),
 f AS (SELECT a."row", a.col, any_value(a.lo) AS lo, any_value(a.hi) AS hi, count(n.z) AS n, avg(n.z) AS m, var_pop(n.z) AS v,
   min(n.b) AS b0, max(n.b) AS b1, sum(n.b) AS bs, quantile_disc(n.b, 0.5) AS bm
   FROM q a CROSS JOIN o JOIN q n ON n."row" = a."row" + o.dy AND n.col = a.col + o.dx GROUP BY 1, 2)
-SELECT g."row", g.col, round(CASE WHEN n = 29 THEN {{expr}} END, {{digits}}) AS {{column}} FROM g LEFT JOIN f USING ("row", col)"""
-for _stat, _expr, _digits in (
-    ("std", "sqrt(v)", 3), ("var", "v", -1), ("min", "lo + b0 / 255.0::DOUBLE * (hi - lo)", 4),
-    ("max", "lo + b1 / 255.0::DOUBLE * (hi - lo)", 4), ("range", "(b1 - b0) / 255.0::DOUBLE * (hi - lo)", 4),
-    ("mean", "lo + floor(bs / 29.0::DOUBLE) / 255 * (hi - lo)", 4), ("median", "lo + bm / 255.0::DOUBLE * (hi - lo)", 4),
-):
+SELECT g."row", g.col, round(CASE WHEN n = {size} THEN {expr} END, {digits}) AS {column} FROM g LEFT JOIN f USING ("row", col)"""
+_STATS = {
+    "std": "sqrt(v)", "var": "v", "min": "lo + b0 / 255.0::DOUBLE * (hi - lo)", "max": "lo + b1 / 255.0::DOUBLE * (hi - lo)",
+    "range": "(b1 - b0) / 255.0::DOUBLE * (hi - lo)", "mean": "lo + floor(bs / {size}::DOUBLE) / 255 * (hi - lo)", "median": "lo + bm / 255.0::DOUBLE * (hi - lo)",
+}
+
+
+def _focal_sql(stat: str, radius: int) -> str:
+    cells = [(d, e) for d, s in grid.spans(radius).items() for e in range(-s, s + 1)]
+    disc = ", ".join(f"({d}, {e})" for d, e in cells)
+    return _FOCAL.format(
+        relief=RELIEF, disc=disc, size=len(cells), expr=_STATS[stat].format(size=len(cells)), digits=DIGITS, column=f"z_{stat}_w{radius}"
+    )
+
+
+for _stat, _radius in [(s, 3) for s in _STATS] + [("std", 5), ("range", 5), ("std", 7), ("range", 7), ("median", 5)]:
+
+    def _focal(spark, sf_dir, stat=_stat, radius=_radius):
+        column = f"z_{stat}_w{radius}"
+        return grid.focal(relief(spark, sf_dir), stat, radius).withColumn(column, F.round(column, DIGITS))
+
+    query(_focal_sql(_stat, _radius), f"focal_{_stat}_w{_radius}")(_focal)
 
-    def _focal(spark, sf_dir, stat=_stat, digits=_digits):
-        column = f"z_{stat}_w3"
-        return grid.focal(lift(spark, sf_dir).select("row", "col", "z"), stat, 3).withColumn(column, F.round(column, digits))
+_ZONES = [(s, r) for r in (3, 5) for s in ("std", "range")]
 
-    query(_FOCAL.format(expr=_expr, digits=_digits, column=f"z_{_stat}_w3"), f"focal_{_stat}_w3")(_focal)
+
+@query("SELECT * FROM " + " JOIN ".join(f"({_focal_sql(s, r)}) t{k}" + (' USING ("row", col)' if k else "") for k, (s, r) in enumerate(_ZONES)))
+def zonal_features(spark, sf_dir):
+    got = grid.zonal_features(relief(spark, sf_dir), ["z", "not there"], ["std", "range"], [3, 5])
+    return got.select("row", "col", *[F.round(f"z_{s}_w{r}", DIGITS).alias(f"z_{s}_w{r}") for s, r in _ZONES])
 
 
 @query(f"""WITH {GRID}, f AS (SELECT a."row", a.col, count(n.z) AS n, var_pop(n.z) AS v FROM g a JOIN g n
@@ -314,21 +491,68 @@ def fold_sample(spark, sf_dir):
     return sampling.fold_sample(lift(spark, sf_dir), 2.0, 3, 42)
 
 
+_SAMPLED = f"""{GRID}, p AS (SELECT g.*, EXISTS (SELECT 1 FROM g p WHERE p.label AND p.fold = g.fold
+AND abs(p."row" - g."row") <= 3 AND abs(p.col - g.col) <= 3) AS near FROM g),
+r AS (SELECT *, count(*) FILTER (label) OVER (PARTITION BY fold) AS np FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY md5(concat_ws(':', 42 + fold, "row", col)), "row", col) AS i FROM r WHERE label OR NOT near),
+sampled AS (SELECT fold, "row", col, label::INT AS label, z, CASE WHEN z < 250000 THEN z / 2 ELSE 'inf'::DOUBLE END AS half FROM k
+  WHERE np > 0 AND (label OR i <= floor(np * 2.0::DOUBLE * 1.2::DOUBLE)))"""
+
+
+def _pixels(spark, sf_dir):
+    half = F.when(F.col("z") < 250000, F.col("z") / 2).otherwise(F.lit(float("inf")))
+    return lift(spark, sf_dir).select("row", "col", "z", half.alias("half"))
+
+
+@query(f"""WITH {_SAMPLED} SELECT fold, "row", col, label, z, CASE WHEN isinf(half) THEN -1 ELSE half END AS half FROM sampled""")
+def gather_samples(spark, sf_dir):
+    got = sampling.gather(sampling.fold_sample(lift(spark, sf_dir), 2.0, 3, 42), _pixels(spark, sf_dir), ["z", "half"])
+    return got.withColumn("half", F.when(F.col("half") == float("inf"), -1.0).otherwise(F.col("half")))
+
+
+@query(f"""WITH {_SAMPLED}, v AS (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY fold) AS nv,
+  row_number() OVER (PARTITION BY fold, label ORDER BY md5(concat_ws(':', 42 + fold, "row", col)), "row", col) AS j FROM sampled WHERE z IS NOT NULL AND isfinite(half))
+SELECT fold, "row", col, label, z, half FROM v WHERE nv > 0 AND (label = 1 OR j <= floor(nv * 1.5::DOUBLE))""")
+def training_table(spark, sf_dir):
+    return sampling.training_table(sampling.fold_sample(lift(spark, sf_dir), 2.0, 3, 42), _pixels(spark, sf_dir), ["z", "half"], 1.5, 42)
+
+
+@query(f"""WITH {_SAMPLED} SELECT fold, count(*) FILTER (label = 1)::BIGINT AS positives, count(*) FILTER (label = 0)::BIGINT AS unlabeled,
+round(count(*) FILTER (label = 0) / nullif(count(*) FILTER (label = 1), 0)::DOUBLE, 6) AS ratio, count(*)::BIGINT AS n_samples FROM sampled GROUP BY ROLLUP (fold)""")
+def fold_statistics(spark, sf_dir):
+    got = sampling.fold_statistics(sampling.fold_sample(lift(spark, sf_dir), 2.0, 3, 42))
+    return got.withColumn("ratio", F.round("ratio", 6))
+
+
 @query(f"""WITH {GRID} SELECT "row", col FROM g WHERE z IS NOT NULL AND z < 400000""")
 def valid_pixels(spark, sf_dir):
     g = lift(spark, sf_dir).withColumn("f", F.when(F.col("z") >= 400000, F.lit(float("inf"))).otherwise(F.lit(1.0)))
     return sampling.valid(g, ["z", "f"]).select("row", "col")
 
 
-_SIZES = (5, 10, 15, 41, 46, 51, 6, 11, 16, 42, 47, 52, 1, 2, 3, 4, 5, 6, 5, 5, 5, 10, 10, 15, 20, 20, 25, 30, 30, 45)
+_F = """f AS (SELECT *, name || '_sigma' || sigma || coalesce('_' || stat || '_w' || w, '') AS feature FROM (
+  SELECT 'elevation' AS name, 0 AS sigma, NULL AS stat, NULL AS w
+  UNION ALL SELECT name, sigma, NULL, NULL FROM (SELECT unnest(['slope', 'slope_break_index', 'profile_curvature', 'planform_curvature', 'mean_curvature']) AS name), (SELECT unnest([1, 3, 5]) AS sigma)
+  UNION ALL SELECT name, CASE name WHEN 'elevation' THEN 0 ELSE 1 END, stat, w FROM
+    (SELECT unnest(['elevation', 'slope', 'slope_break_index', 'profile_curvature', 'planform_curvature', 'mean_curvature']) AS name),
+    (SELECT unnest([3, 5, 7]) AS w), (SELECT unnest(['std', 'range']) AS stat)))"""
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, {n})' for k, n in enumerate(_SIZES, 1))}) AS t(set_id, n_features)")
+@query(f"""WITH {_F}, c AS (SELECT k::INT AS set_id, feature, name = 'elevation' AS height, name, sigma, stat, w, (k - 1) % 3 AS t FROM f, range(1, 31) r(k))
+SELECT set_id, feature FROM c WHERE CASE
+  WHEN set_id <= 12 THEN (height OR sigma <= 1 + 2 * t) AND (stat IS NULL AND (NOT height OR set_id >= 7) OR stat IS NOT NULL AND (set_id BETWEEN 4 AND 6 OR set_id >= 10))
+  WHEN set_id <= 18 THEN stat IS NULL AND sigma <= 1 AND list_contains(CASE set_id WHEN 13 THEN ['slope'] WHEN 14 THEN ['slope', 'slope_break_index']
+    WHEN 15 THEN ['profile_curvature', 'planform_curvature', 'mean_curvature'] WHEN 16 THEN ['slope', 'profile_curvature', 'planform_curvature', 'mean_curvature']
+    WHEN 17 THEN ['slope', 'slope_break_index', 'profile_curvature', 'planform_curvature', 'mean_curvature']
+    ELSE ['elevation', 'slope', 'slope_break_index', 'profile_curvature', 'planform_curvature', 'mean_curvature'] END, name)
+  WHEN set_id <= 24 THEN stat IS NULL AND NOT height AND list_contains(CASE set_id WHEN 19 THEN [1] WHEN 20 THEN [3] WHEN 21 THEN [5] WHEN 22 THEN [1, 3] WHEN 23 THEN [3, 5] ELSE [1, 3, 5] END, sigma)
+  ELSE NOT height AND (stat IS NULL OR (w = 3 OR set_id >= 28) AND (set_id IN (27, 30) OR stat = CASE WHEN set_id IN (25, 28) THEN 'std' ELSE 'range' END)) END""")
 def feature_set_projection(spark, sf_dir):
+    """The columns that each set selects from a table of all features."""
     every = features.standard_features()
-    rows = [(k, f.column) for k in range(1, 31) for f in features.feature_set(every, k)]
-    sets = spark.createDataFrame(rows, "set_id int, feature string")
-    return sets.groupBy("set_id").agg(F.countDistinct("feature").cast("int").alias("n_features"))
+    wide = spark.range(0).select(F.lit(0).alias("row"), F.lit(0).alias("col"), *[F.lit(0.0).alias(f.column) for f in every])
+    rows = [(k, c) for k in range(1, 31) for c in features.select_set(wide, every, k).columns[2:]]
+    return spark.createDataFrame(rows, "set_id int, feature string")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity,
@@ -404,6 +628,81 @@ def curve_mean_std(spark, sf_dir):
     )
 
 
+@query(f"""WITH {_CURVE}, f AS (SELECT count(DISTINCT fold) AS nf FROM c), b AS (SELECT fold, least(floor((i - 1) / n::DOUBLE * 100 / 5), 19)::INT AS bin,
+  sum(y) / (SELECT sum(y) FROM k WHERE k.fold = c.fold)::DOUBLE * 100 AS p FROM c GROUP BY 1, 2)
+SELECT (bin + 0.5) * 5 AS bin_center, round(sum(p) / any_value(nf), 6) AS pct_positives_mean, round(sqrt(greatest(sum(p * p) / any_value(nf) - pow(sum(p) / any_value(nf), 2), 0)), 6) AS pct_positives_std FROM b, f GROUP BY bin""")
+def gain_bins_mean_std(spark, sf_dir):
+    got = ranking.gain_bins_mean_std(ranking.gain_bins(scored(spark, sf_dir), *_ARGS), 5)
+    return got.select(F.col("bin_center").cast("double").alias("bin_center"), *[F.round(c, 6).alias(c) for c in ("pct_positives_mean", "pct_positives_std")])
+
+
+_CV = f"""{_CURVE}, a AS (SELECT *, (x - lag(x) OVER w) * (v + lag(v) OVER w) / 2 AS area FROM c WINDOW w AS (PARTITION BY fold ORDER BY i)),
+m AS (SELECT fold, sum(area) / 10000 AS auc, {_TOPS}, avg((i - 1) / nullif(n - 1, 0)::DOUBLE * 100) FILTER (y = 1) AS mean_rank_percentile FROM a GROUP BY 1)"""
+
+
+@query(f"WITH {_CV} SELECT * REPLACE (round(auc, 6) AS auc, round(mean_rank_percentile, 6) AS mean_rank_percentile) FROM m")
+def cv_metrics(spark, sf_dir):
+    got = model.cv_metrics(scored(spark, sf_dir), "o_orderkey")
+    return got.select("fold", *[F.round(c, 6).alias(c) for c in got.columns if c != "fold"])
+
+
+@query(f"""WITH {_CV} SELECT round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std,
+round(avg(mean_rank_percentile), 6) AS mean_rank_percentile_mean, round(stddev_pop(mean_rank_percentile), 6) AS mean_rank_percentile_std FROM m""")
+def cv_summary(spark, sf_dir):
+    got = model.cv_summary(model.cv_metrics(scored(spark, sf_dir), "o_orderkey"))
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
+_WEIGHTS = "SELECT p_brand AS feature, p_retailprice / 1000 AS importance FROM part"
+
+
+@query(f"SELECT feature, round(avg(importance), 6) AS importance_mean, round(stddev_pop(importance), 6) AS importance_std FROM ({_WEIGHTS}) GROUP BY 1")
+def importance_summary(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("feature"), (F.col("p_retailprice") / 1000).alias("importance"))
+    got = model.importance_summary(rows)
+    return got.select("feature", *[F.round(c, 6).alias(c) for c in ("importance_mean", "importance_std")])
+
+
+@query(f"SELECT feature, round(avg(importance), 6) AS importance_mean FROM ({_WEIGHTS}) GROUP BY 1 ORDER BY avg(importance) DESC, feature LIMIT 10")
+def top_importances(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("feature"), (F.col("p_retailprice") / 1000).alias("importance"))
+    return model.importance_summary(rows).limit(10).select("feature", F.round("importance_mean", 6).alias("importance_mean"))
+
+
+@query(f"""WITH {GRID}, r AS (SELECT CASE WHEN label THEN NULL ELSE z / 600000 END AS risk FROM g)
+SELECT count(*)::BIGINT AS n_pixels, count(risk)::BIGINT AS n_scored, round(min(risk), 9) AS risk_min, round(max(risk), 9) AS risk_max, round(avg(risk), 9) AS risk_mean FROM r""")
+def risk_summary(spark, sf_dir):
+    got = model.risk_summary(lift(spark, sf_dir).select("row", "col", F.when(~F.col("label"), F.col("z") / 600000).alias("risk")))
+    return got.select("n_pixels", "n_scored", *[F.round(c, 9).alias(c) for c in ("risk_min", "risk_max", "risk_mean")])
+
+
+@query(f"""WITH {GRID}, {SHAPES} SELECT "row", col, coalesce(isfinite(z) AND z < 250000 AND EXISTS (SELECT 1 FROM s WHERE fold IS NOT NULL
+AND g.col + 1 >= x0 AND g.col <= x1 AND g."row" + 1 >= y0 AND g."row" <= y1), false) AS scored FROM g""")
+def risk_map(spark, sf_dir):
+    """Which pixels a model scores; its scores are within 0 and 1."""
+    pixels = _pixels(spark, sf_dir)
+    train = pixels.join(lift(spark, sf_dir).select("row", "col", F.col("label").cast("int").alias("label")), ["row", "col"])
+    fitted = model.fit(train, ["z", "half"], model.Config(method="plain", trees=5, depth=4))
+    got = model.risk_map(pixels, shapes(spark, sf_dir).where("fold is not null"), fitted)
+    return got.select("row", "col", F.coalesce(F.col("risk").between(0, 1), F.lit(False)).alias("scored"))
+
+
+_PLACES = "SELECT s_suppkey, 2480000 + s_suppkey * 7919 % 350000 + 0.5::DOUBLE AS e, 1075000 + s_suppkey * 104729 % 220000 + 0.25::DOUBLE AS n FROM supplier"
+
+
+@query(f"""WITH p AS ({_PLACES}), t AS (SELECT *, (e - 2600000) / 1000000 AS y, (n - 1200000) / 1000000 AS x FROM p)
+SELECT s_suppkey, round((2.6779094 + 4.728982 * y + 0.791484 * y * x + 0.1306 * y * pow(x, 2) - 0.0436 * pow(y, 3)) * 100 / 36, 7) AS lon,
+round((16.9023892 + 3.238272 * x - 0.270978 * pow(y, 2) - 0.002528 * pow(x, 2) - 0.0447 * pow(y, 2) * x - 0.0140 * pow(x, 3)) * 100 / 36, 7) AS lat,
+e - 2000000 AS e03, n - 1000000 AS n03 FROM t""")
+def reproject(spark, sf_dir):
+    places = read(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey", "2480000 + s_suppkey * 7919 % 350000 + double(0.5) AS e", "1075000 + s_suppkey * 104729 % 220000 + double(0.25) AS n"
+    )
+    lon, lat = projection.reproject(F.col("e"), F.col("n"), projection.LV95, projection.WGS84)
+    e, n = projection.reproject(F.col("e"), F.col("n"), projection.LV95, projection.LV03)
+    return places.select("s_suppkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"), e.alias("e03"), n.alias("n03"))
+
+
 @query()
 def pu_bagging_cv(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(
@@ -411,4 +710,5 @@ def pu_bagging_cv(spark, sf_dir):
         ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0)).cast("int").alias("label"),
         (F.col("o_custkey") % 3).cast("int").alias("fold"),
     )
-    return model.cross_validate(rows, ["o_totalprice", "c"], estimators=2).select("o_orderkey", "fold", "label", "score")
+    got, _ = model.cross_validate(rows, ["o_totalprice", "c"])
+    return got.select("o_orderkey", "fold", "label", "score")
