@@ -117,7 +117,7 @@ class _Reader(DataSourceReader):
         with _database(self.path) as db:
             table, _, _, key = _layer(db, self.layer)
             low, high = db.execute(f"SELECT min({_quoted(key)}), max({_quoted(key)}) FROM {_quoted(table)}").fetchone()
-        return [] if low is None else [_Range(k, min(k + EACH, high + 1)) for k in range(low, high + 1, EACH)]
+        return [_Range(0, 0)] if low is None else [_Range(k, min(k + EACH, high + 1)) for k in range(low, high + 1, EACH)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         with _database(self.path) as db:

@@ -87,7 +87,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         n = _fields(self.base + ".dbf")[0]
-        return [_Records(at, min(at + EACH, n)) for at in range(0, n, EACH)]
+        return [_Records(at, min(at + EACH, n)) for at in range(0, n, EACH)] or [_Records(0, 0)]
 
     def read(self, partition: _Records) -> Iterator[tuple]:
         count = partition.last - partition.first
