@@ -1,8 +1,9 @@
 """Neighbourhood operators on dense grids of ``(row, col, value)`` rows.
 
 Every pixel of the grid exists as a row; a missing value is null. Each
-operator works along rows, then along columns, with window functions, so a
-task holds one line of the grid at a time.
+operator shuffles the grid once, into square tiles with a margin of their
+neighbours' pixels, and then works along the rows and the columns of each tile
+with window functions: both kinds of line lie within the tile's partition.
 """
 
 from __future__ import annotations
@@ -14,10 +15,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Pixels along the side of a tile. A wide margin wants larger ones: the rows
+#: grow by ``(1 + 2 * margin / TILE) ** 2``.
+TILE = 128
+
+
+def tiles(df: DataFrame, margin: int, side: int = TILE) -> DataFrame:
+    """``df`` with ``_tr, _tc``: each pixel in its own tile and in those whose margin it lies in."""
+    reach = lambda axis: F.sequence(
+        F.greatest(F.floor((F.col(axis) - margin) / side), F.lit(0)), F.floor((F.col(axis) + margin) / side)
+    )
+    return df.withColumn("_tr", F.explode(reach("row"))).withColumn("_tc", F.explode(reach("col"))).repartition("_tr", "_tc")
+
+
+def core(df: DataFrame, side: int = TILE) -> DataFrame:
+    """The pixels of ``tiles`` without the margins."""
+    own = (F.floor(F.col("row") / side) == F.col("_tr")) & (F.floor(F.col("col") / side) == F.col("_tc"))
+    return df.where(own).drop("_tr", "_tc")
+
+
 def line(axis: str):
-    """The window along an axis: 'col' walks along a row, 'row' down a column."""
+    """The window along an axis of a tile: 'col' walks along a row, 'row' down a column."""
     other = "row" if axis == "col" else "col"
-    return Window.partitionBy(other).orderBy(axis)
+    return Window.partitionBy("_tr", "_tc", other).orderBy(axis)
 
 
 def weights(sigma: float) -> list[float]:
@@ -41,12 +61,23 @@ def _smooth(df: DataFrame, value: str, axis: str, size: int, w: list[float]) ->
     return mirrored.withColumn(value, total).where((at >= 0) & (at < size))
 
 
+def _soft(cut: DataFrame, sigma: float, height: int, width: int, value: str) -> DataFrame:
+    if sigma <= 0:
+        return cut
+    w = weights(sigma)
+    return _smooth(_smooth(cut, value, "row", height, w), value, "col", width, w)
+
+
+def _margin(sigma: float) -> int:
+    """Pixels that a smoothed value takes from around it, and three differences of it."""
+    return (len(weights(sigma)) // 2 if sigma > 0 else 0) + 3
+
+
 def gaussian(df: DataFrame, sigma: float, height: int, width: int, value: str = "z") -> DataFrame:
     """Separable smoothing, mirrored at the edges; null wherever the stencil meets null."""
     if sigma <= 0:
         return df
-    w = weights(sigma)
-    return _smooth(_smooth(df, value, "row", height, w), value, "col", width, w)
+    return core(_soft(tiles(df, _margin(sigma)), sigma, height, width, value))
 
 
 def gradient(value: str, axis: str, size: int, step: float = 1.0) -> Column:
@@ -61,7 +92,7 @@ def gradient(value: str, axis: str, size: int, step: float = 1.0) -> Column:
 
 
 def derivatives(df: DataFrame, height: int, width: int, dx: float = 1.0, dy: float = 1.0, value: str = "z") -> DataFrame:
-    """``p, q`` and the second differences ``zxx, zyy, zxy`` of a surface."""
+    """``p, q`` and the second differences ``zxx, zyy, zxy`` of a surface in ``tiles``."""
     first = df.withColumns({"p": gradient(value, "col", width, dx), "q": gradient(value, "row", height, dy)})
     return first.withColumns(
         {
@@ -138,14 +169,15 @@ def terrain(
     if attribute == "elevation":
         return gaussian(df, sigma, height, width, value).select("row", "col", F.col(value).alias(name))
     if attribute == "slope_break_index":
-        soft = gaussian(df, max(sigma, 0.5), height, width, value)
-        steep = derivatives(soft, height, width, dx, dy, value).select("row", "col", _slope().alias("s"))
+        sigma = max(sigma, 0.5)
+        soft = _soft(tiles(df.select("row", "col", value), _margin(sigma)), sigma, height, width, value)
+        steep = derivatives(soft, height, width, dx, dy, value).withColumn("s", _slope())
         both = steep.withColumns({"sx": gradient("s", "col", width, dx), "sy": gradient("s", "row", height, dy)})
-        return both.select("row", "col", F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2).alias(name))
+        return core(both).select("row", "col", F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2).alias(name))
     if attribute not in ATTRIBUTES:
         raise ValueError(f"unknown attribute {attribute}")
-    soft = gaussian(df, sigma, height, width, value)
-    return derivatives(soft, height, width, dx, dy, value).select("row", "col", ATTRIBUTES[attribute]().alias(name))
+    soft = _soft(tiles(df.select("row", "col", value), _margin(sigma)), sigma, height, width, value)
+    return core(derivatives(soft, height, width, dx, dy, value)).select("row", "col", ATTRIBUTES[attribute]().alias(name))
 
 
 def spans(radius: int) -> dict[int, int]:
@@ -176,7 +208,7 @@ def focal(df: DataFrame, stat: str, radius: int, value: str = "z") -> DataFrame:
     binned = stat not in ("std", "var")
     src = bins(df, value) if binned else df
     x = F.col("bin").cast("double") if binned else F.col(value).cast("double")
-    src = src.withColumn("x", x)
+    src = tiles(src.withColumn("x", x).select("row", "col", "x", *(["vmin", "vmax"] if binned else [])), radius)
     cut, along, down = spans(radius), line("col"), line("row")
     widths = sorted(set(cut.values()))
     made = {}
@@ -211,13 +243,14 @@ def focal(df: DataFrame, stat: str, radius: int, value: str = "z") -> DataFrame:
         low = F.least(*at("l")) if stat != "max" else None
         high = F.greatest(*at("h")) if stat != "min" else None
         out = back(low) if stat == "min" else back(high) if stat == "max" else back(high) - back(low)
-    return wide.select("row", "col", F.when(full, out).alias(f"{value}_{stat}_w{radius}"))
+    name = f"{value}_{stat}_w{radius}"
+    return core(wide.withColumn(name, F.when(full, out))).select("row", "col", name)
 
 
 def box_variance(df: DataFrame, half: int = 2, value: str = "z") -> DataFrame:
     """Local variance in a square, null unless all of it is valid."""
     along, down = line("col").rowsBetween(-half, half), line("row").rowsBetween(-half, half)
-    lines = df.withColumns(
+    lines = tiles(df.select("row", "col", value), half).withColumns(
         {
             "n": F.count(value).over(along),
             "s": F.sum(value).over(along),
@@ -227,15 +260,15 @@ def box_variance(df: DataFrame, half: int = 2, value: str = "z") -> DataFrame:
     size = (2 * half + 1) ** 2
     mean = F.sum("s").over(down) / size
     var = F.greatest(F.sum("q").over(down) / size - mean * mean, F.lit(0.0))
-    return lines.select("row", "col", F.when(F.sum("n").over(down) == size, var).alias("local_variance"))
+    return core(lines.withColumn("local_variance", F.when(F.sum("n").over(down) == size, var))).select("row", "col", "local_variance")
 
 
 def dilate(df: DataFrame, flag: str, steps: int) -> DataFrame:
     """``df`` with ``near``: whether a flagged pixel lies within ``steps``, diagonals included."""
     one = F.when(F.col(flag), 1).otherwise(0)
-    rows = df.withColumn("_r", F.max(one).over(line("col").rowsBetween(-steps, steps)))
+    rows = tiles(df, steps).withColumn("_r", F.max(one).over(line("col").rowsBetween(-steps, steps)))
     near = F.max("_r").over(line("row").rowsBetween(-steps, steps)) == 1
-    return rows.withColumn("near", near).drop("_r")
+    return core(rows.withColumn("near", near).drop("_r"))
 
 
 def extract_features(df: DataFrame, wanted: dict[str, list[float]], height: int, width: int, dx: float = 1.0, dy: float = 1.0, value: str = "z") -> DataFrame:
@@ -253,7 +286,8 @@ def extract_features(df: DataFrame, wanted: dict[str, list[float]], height: int,
     out = df.select("row", "col", F.col(value).isNotNull().alias("_ok"))
     softness = {s for name, sigmas in wanted.items() for s in (max(s, 0.5) if name == "slope_break_index" else s for s in sigmas)}
     for sigma in sorted(softness):
-        soft = derivatives(gaussian(df.select("row", "col", value), sigma, height, width, value), height, width, dx, dy, value)
+        cut = tiles(df.select("row", "col", value), _margin(sigma))
+        soft = derivatives(_soft(cut, sigma, height, width, value), height, width, dx, dy, value)
         steep = soft.withColumn("s", _slope())
         broken = steep.withColumns({"sx": gradient("s", "col", width, dx), "sy": gradient("s", "row", height, dy)})
         columns = []
@@ -267,7 +301,7 @@ def extract_features(df: DataFrame, wanted: dict[str, list[float]], height: int,
                     else ATTRIBUTES[name]()
                 )
                 columns.append(made.alias(f"{name}_sigma{s:g}"))
-        out = out.join(broken.select("row", "col", *columns), ["row", "col"])
+        out = out.join(core(broken).select("row", "col", *columns), ["row", "col"])
     names = [c for c in out.columns if c not in ("row", "col", "_ok")]
     return out.select("row", "col", *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in names])
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import line
+from .grid import core, line, tiles
+
 
 def fold_sample(df: DataFrame, ratio: float, buffer: int, seed: int, label: str = "label") -> DataFrame:
     """All positives of each fold and a sample of its unlabeled pixels.
@@ -18,7 +19,8 @@ def fold_sample(df: DataFrame, ratio: float, buffer: int, seed: int, label: str
     """
     seen = F.collect_set(F.when(F.col(label), F.col("fold"))).over(line("col").rowsBetween(-buffer, buffer))
     around = F.flatten(F.collect_list("_seen").over(line("row").rowsBetween(-buffer, buffer)))
-    marked = df.withColumn("_seen", seen).withColumn("_near", F.array_contains(around, F.col("fold")))
+    cut = tiles(df.select("row", "col", "fold", label), buffer).withColumn("_seen", seen)
+    marked = core(cut.withColumn("_near", F.array_contains(around, F.col("fold"))))
     pool = marked.where((F.col("fold") > 0) & (F.col(label) | ~F.col("_near")))
     key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("fold")).cast("string"), F.col("row").cast("string"), F.col("col").cast("string")))
     wanted = pool.where(F.col(label)).groupBy("fold").agg(F.floor(F.count("*") * F.lit(ratio) * F.lit(1.2)).alias("_k"))

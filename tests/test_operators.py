@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,31 @@ def test_scaler_learns_from_its_own_rows(table):
     row = table.where("id < 900").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
     assert statistics["x"] == pytest.approx((row.m, row.s))
     assert model.scaler_statistics(table.select(F.lit(4.0).alias("k")), ["k"]) == {"k": (4.0, 1.0)}
+
+
+def test_tiles_meet_at_their_borders(spark):
+    height, width = grid.TILE + 12, grid.TILE + 7
+    z = np.random.default_rng(3).integers(0, 100, (height, width)).astype(float)
+    flags = np.zeros((height, width), bool)
+    flags[[0, grid.TILE - 2, grid.TILE + 9], [grid.TILE, 5, grid.TILE - 1]] = True
+    cells = [(r, c, float(z[r, c]), bool(flags[r, c])) for r in range(height) for c in range(width)]
+    df = spark.createDataFrame(cells, "row int, col int, z double, flag boolean")
+
+    w = np.array(grid.weights(1.0))
+    soft = np.apply_along_axis(np.convolve, 0, np.pad(z, ((4, 4), (0, 0)), "symmetric"), w, "valid")
+    soft = np.apply_along_axis(np.convolve, 1, np.pad(soft, ((0, 0), (4, 4)), "symmetric"), w, "valid")
+    q, p = np.gradient(soft)
+    slope = np.degrees(np.arctan(np.hypot(p, q)))
+    broken = np.hypot(*np.gradient(slope))
+    for name, want in (("slope", slope), ("slope_break_index", broken)):
+        made = grid.terrain(df, name, 1.0, height, width)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        got = np.full((height, width), np.nan)
+        for r, c, v in made.collect():
+            got[r, c] = v
+        np.testing.assert_allclose(got, want, atol=1e-8)
+
+    at = np.argwhere(flags)
+    near = {(r, c) for r in range(height) for c in range(width) if (np.abs(at - (r, c)).max(axis=1) <= 4).any()}
+    rows = grid.dilate(df, "flag", 4).collect()
+    assert len(rows) == height * width and {(r["row"], r["col"]) for r in rows if r["near"]} == near
