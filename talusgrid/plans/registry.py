@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from talusgrid.functions import projection
 from talusgrid.operators import events, features, grid, model, ranking, raster, sampling
+from talusgrid.sources import geotiff, tables
 
 WIDTH = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -703,6 +704,51 @@ def reproject(spark, sf_dir):
     return places.select("s_suppkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"), e.alias("e03"), n.alias("n03"))
 
 
+# sources and sinks -------------------------------------------------------------
+
+
+def _written_tiles(spark, sf_dir):
+    path = tables.shared_path(spark, "tiles")
+    place = geotiff.Meta(height(spark, sf_dir), WIDTH, 2600000.0, 1200000.0, 10.0, 10.0, -9999.0, 2056)
+    return path, geotiff.write_tiles(lift(spark, sf_dir).select("row", "col", "z"), path, place, "z", "f8", -9999.0, 64)
+
+
+@query(f"""WITH {GRID} SELECT "row", col, z AS value FROM g""")
+def geotiff_tiles(spark, sf_dir):
+    """The raster written as georeferenced tiles and read back whole."""
+    path, _ = _written_tiles(spark, sf_dir)
+    return geotiff.read_tiles(spark, path, 64)
+
+
+@query(f"""WITH {GRID} SELECT "row" // 64 AS tile_row, col // 64 AS tile_col, 'tile_' || ("row" // 64) || '_' || (col // 64) || '.tif' AS file,
+count(z)::BIGINT AS n_valid FROM g GROUP BY 1, 2""")
+def geotiff_manifest(spark, sf_dir):
+    return _written_tiles(spark, sf_dir)[1]
+
+
+_PARTS = "SELECT '00' || p_partkey AS pk, p_name, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || ', \"' || p_type || '\"' END AS kind, p_size, p_retailprice FROM part"
+
+
+def _parts(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 7 != 0, F.concat("p_brand", F.lit(', "'), "p_type", F.lit('"')))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("00"), "p_partkey").alias("pk"), "p_name", kind.alias("kind"), "p_size", "p_retailprice")
+
+
+@query(_PARTS)
+def csv_table(spark, sf_dir):
+    """Keys keep their leading zeros, nulls and quotes survive."""
+    path = tables.shared_path(spark, "csv")
+    tables.write_csv(_parts(spark, sf_dir), path)
+    return tables.read_csv(spark, path)
+
+
+@query(_PARTS)
+def json_table(spark, sf_dir):
+    path, rows = tables.shared_path(spark, "json"), _parts(spark, sf_dir)
+    tables.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query()
 def pu_bagging_cv(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(

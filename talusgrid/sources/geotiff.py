@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d
 SAMPLE = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 #: Lines that a partition reads at least.
 LINES = 256
+#: Tiles that a task of ``read_tiles`` reads on average.
+TILES = 4
 
 
 @dataclass(frozen=True)
@@ -280,3 +283,25 @@ def write_tiles(
     done = tiles.groupBy("tile_row", "tile_col").applyInArrow(save, "tile_row long, tile_col long, file string, n_valid long")
     done.write.mode("overwrite").parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def read_tiles(spark: SparkSession, path: str, size: int = 512) -> DataFrame:
+    """``row, col, value`` of all tiles that ``write_tiles`` left below ``path``, numbered in the whole raster.
+
+    ``size`` is the one they were written with. Tasks read a few tiles each,
+    one after the other; a tile without a value was never written, so its
+    pixels are absent.
+    """
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in (t for batch in batches for t in batch.to_pylist()):
+            reader = _Reader({"path": f"{path}/{tile['file']}"})
+            for part in reader.partitions():
+                for found in reader.read(part):
+                    row = pc.add(found["row"], pa.scalar(tile["tile_row"] * size, pa.int32()))
+                    col = pc.add(found["col"], pa.scalar(tile["tile_col"] * size, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([row, col, found["value"]], names=["row", "col", "value"])
+
+    manifest = spark.read.parquet(f"{path}/manifest")
+    tasks = -(-manifest.count() // TILES) or 1
+    return manifest.repartition(tasks, "file").mapInArrow(load, "row int, col int, value double")

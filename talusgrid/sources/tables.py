@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Without that setting a ``local`` session gets a temporary folder; on a
+    cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="talusgrid-")
+    return f"{folder.rstrip('/')}/talusgrid/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, text: tuple[str, ...] = ("pk",)) -> DataFrame:
     """A CSV file with a header; types are inferred but for the columns of ``text``, which stay strings.
 
