@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: ASCII white space, as in ``[^\x20\x09-\x0D]+`` for words; ``bytes.split()``
 #: splits on the same six characters.
@@ -155,3 +156,35 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = now
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], column: str, few: bool = False) -> DataFrame:
+    """Rows with their place in their group, gapless from 0, ordered by ``order``, nulls first.
+
+    One sort by range over all tasks: a group that holds a third of the rows is
+    spread like any other, and rows that are equal in all keys are spread by
+    where they were read. A row's place is its place in its partition, moved by
+    the rows that its group has in partitions before. The sorted rows are
+    written, so partitions stay as they are when executors are lost. The moves
+    have at most a row for each partition and group; ``few`` says that groups
+    are few, and only then are they broadcast. Group columns must not be null.
+    """
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in [*group, *order]] + [F.col("_numbered_read")]
+    read = df.withColumn("_numbered_read", F.monotonically_increasing_id())
+    sorted_ = read.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_numbered_read")
+    rows = table(
+        sorted_.withColumn("_numbered_part", F.spark_partition_id()).withColumn(
+            "_numbered_at", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+        ),
+        "numbered",
+    )
+    before = Window.partitionBy(*group).orderBy("_numbered_part").rowsBetween(Window.unboundedPreceding, -1)
+    moves = (
+        rows.groupBy("_numbered_part", *group)
+        .agg(F.min("_numbered_at").alias("_numbered_first"), F.count("*").alias("_numbered_n"))
+        .select(
+            "_numbered_part", *group, (F.coalesce(F.sum("_numbered_n").over(before), F.lit(0)) - F.col("_numbered_first")).alias("_numbered_move")
+        )
+    )
+    joined = rows.join(F.broadcast(moves) if few else moves, ["_numbered_part", *group])
+    return joined.select(*df.columns, (F.col("_numbered_at") + F.col("_numbered_move")).alias(column))

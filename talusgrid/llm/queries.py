@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, images, language, lattice, mixing, near, packing, quality, substrings, warc
+from . import chat, fim, images, language, lattice, mixing, near, packing, quality, sharding, substrings, trie, warc
 from .common import SPACE, table
 
 #: Where the vocabularies of public tokenizers are.
@@ -118,6 +118,66 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fim.transform(docs).select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_start").alias("prefix_chars"),
+        (F.col("fim_stop") - F.col("fim_start")).alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("fim_text"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
+
+
+def rebuilt(turns: DataFrame, every: int = 5, most: int = 9) -> tuple[DataFrame, DataFrame]:
+    """Conversations whose first turns are another's, as ``trie.build`` takes them, and all their ids.
+
+    A conversation's first h turns, h drawn by its id and below ``most``, are
+    those of the conversation at the multiple of ``every`` before it. At most
+    ``most`` turns of a conversation are copied, to at most 2 ``every`` others.
+    A null id takes no other's turns.
+    """
+    own = F.col("_c")
+    drawn = F.crc32(trie.real_id("_c").cast("string").cast("binary")) % most
+    convs = turns.select(own).distinct().select(
+        own, F.coalesce(drawn, F.lit(0)).alias("_h"), (own - own % every).alias("_base")
+    )
+    first = turns.where(F.col("_at") < most).withColumnRenamed("_c", "_base")
+    heads = (
+        convs.where(own != trie.NO_ID)
+        .join(first, "_base")
+        .where("_at < _h")
+        .select("_c", (F.col("_at") + 1).alias("depth"), "_key", "_bytes")
+    )
+    taken = heads.groupBy("_c").agg(F.count("*").alias("_taken"))
+    moved = convs.join(taken, "_c", "left").select(
+        "_c", "_h", (F.coalesce("_taken", F.lit(0)) - F.col("_h") + 1).alias("_move")
+    )
+    tails = turns.join(moved, "_c").where("_at >= _h").select(
+        "_c", (F.col("_at") + F.col("_move")).alias("depth"), "_key", "_bytes"
+    )
+    return heads.unionByName(tails), convs.select("_c")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = table(trie.in_order(trie.turn_keys(rows)), "turns")
+    return trie.build(*rebuilt(turns))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    docs = docs.select(
+        "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32")
+    )
+    placed = sharding.place(docs.withColumn("law", F.lit("key")), sharding.layout())
+    grown = sharding.place(placed, sharding.layout(sharding.BASE_SHARDS + 1), column="grown_shard")
+    return sharding.slots(grown, ["doc_id", "text_crc32", "size"])
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 OP9_SQL = rf"""
 WITH d AS (
@@ -168,6 +228,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_sharding": op13_sharding,
 }
 #: Oracle for the WARC query: what the archives must say, from the pages.
 OP3_SQL = """
@@ -203,7 +266,114 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+#: The CRC-32 of a text's UTF-8 in SQL: its table by recursion, then a fold over the bytes.
+CRC_TABLE = """
+bit(n, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bit WHERE k < 8
+), steps AS (SELECT list(v ORDER BY n) AS t FROM bit WHERE k = 8)
+"""
+
+
+def _crc(text: str) -> str:
+    digits = f"list_filter(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1,', 'g'), ','), lambda x: x <> '')"
+    return (
+        f"xor(list_reduce(list_transform({digits}, lambda x: ('0x' || x)::BIGINT),"
+        " lambda a, b: xor(a // 256, t[1 + xor(a % 256, b)]), 4294967295), 4294967295)::BIGINT"
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS hex,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), h AS (
+  SELECT *, len(units)::BIGINT AS n,
+    list_transform(range(4), lambda k: ('0x' || substr(hex, (8 * k + 1)::INTEGER, 8))::BIGINT) AS draw FROM d
+), c AS (
+  SELECT *, least(draw[1] % (n + 1), draw[2] % (n + 1)) AS low, greatest(draw[1] % (n + 1), draw[2] % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draw[3] % 100 >= 50
+      THEN 'plain' WHEN draw[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle,
+    array_to_string(units[high + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+#: Descendants by brute force: each node's ancestors lie on the path of its least member.
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations
+), h AS (
+  SELECT c, c - c % 5 AS base, {_crc("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM o), steps
+), k AS (
+  SELECT h.c, base, h, count(o.c) AS held FROM h LEFT JOIN o ON o.c = base GROUP BY ALL
+), r AS (
+  SELECT k.c, place + 1 AS d, role, text FROM k JOIN o ON o.c = base AND place < h
+  UNION ALL SELECT k.c, least(h, held) + place - h + 1, role, text FROM k JOIN o ON o.c = k.c AND place >= h
+), p AS (
+  SELECT c, d, text, list({{'role': role, 'text': text}}) OVER (PARTITION BY c ORDER BY d) AS path FROM r
+  UNION ALL SELECT c, 0, '', [] FROM k
+), n AS (
+  SELECT path, d, min(c) AS c, count(*) AS n_convs, any_value(strlen(text)) AS bytes FROM p GROUP BY path, d
+), q AS (
+  SELECT path[:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), s AS (
+  SELECT above.path, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (q.path IS NULL) AS n_leaves
+  FROM n LEFT JOIN q ON q.path = n.path JOIN p AS above ON above.c = n.c AND above.d <= n.d GROUP BY ALL
+), e AS (
+  SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends
+  FROM (SELECT c, arg_max(path, d) AS path FROM p GROUP BY c) GROUP BY path
+)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, up.c AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN q ON q.path = n.path LEFT JOIN e ON e.path = n.path
+LEFT JOIN n AS up ON n.d > 0 AND up.path = n.path[:n.d - 1]
+"""
+
+
+def _op13_sql() -> str:
+    def drawn(name: str) -> str:
+        return f"-ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || {name}), 1, 13))::BIGINT + 0.5) / 4503599627370496) / w"
+
+    def chosen(as_: str, tree: list[sharding.Shard]) -> str:
+        leaves = ", ".join(f"('{s.region}', '{s.rack}', {s.shard}, {s.weight})" for s in tree)
+        return f"""{as_} AS (SELECT * FROM (VALUES {leaves}) AS v(region, rack, shard, w)),
+{as_}1 AS (SELECT r, doc_id, arg_min(region, {drawn("region")}) AS region
+  FROM d, (SELECT region, sum(w) AS w FROM {as_} GROUP BY ALL) GROUP BY ALL),
+{as_}2 AS (SELECT r, doc_id, region, arg_min(rack, {drawn("region || '/' || rack")}) AS rack
+  FROM {as_}1 JOIN (SELECT region, rack, sum(w) AS w FROM {as_} GROUP BY ALL) USING (region) GROUP BY ALL),
+{as_}3 AS (SELECT r, arg_min(shard, {drawn("region || '/' || rack || '/' || shard")}) AS shard
+  FROM {as_}2 JOIN {as_} USING (region, rack) GROUP BY ALL)"""
+
+    return f"""
+WITH RECURSIVE {CRC_TABLE}, d AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size,
+    {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, steps
+), {chosen("now", sharding.layout())}, {chosen("later", sharding.layout(sharding.BASE_SHARDS + 1))}
+SELECT doc_id, size, text_crc32, 'key' AS law, now3.shard AS shard, later3.shard AS grown_shard,
+  row_number() OVER (PARTITION BY now3.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+FROM d JOIN now3 USING (r) JOIN later3 USING (r)
+"""
+
+
 ORACLE_SQL = {
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_sharding": _op13_sql(),
     "op8_chat_formatting": OP8_SQL,
     "op3_warc": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
