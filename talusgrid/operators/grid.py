@@ -201,10 +201,15 @@ def focal(df: DataFrame, stat: str, radius: int, value: str = "z") -> DataFrame:
     back; the mean's bin is cut to a whole one. Unknown ones raise ValueError.
 
     A disc is cut into row spans: one window for each distinct width along
-    rows, then the spans are put together down columns.
+    rows, then the spans are put together down columns. The median has no such
+    parts: its bins are counted by ``neighbourhood.zonal``.
     """
     if stat not in ("std", "var", "min", "max", "range", "mean", "median"):
         raise ValueError(f"unknown statistic {stat}")
+    if stat == "median":
+        from .neighbourhood import zonal
+
+        return zonal(df, [value], [stat], [radius])
     binned = stat not in ("std", "var")
     src = bins(df, value) if binned else df
     x = F.col("bin").cast("double") if binned else F.col(value).cast("double")
@@ -223,8 +228,6 @@ def focal(df: DataFrame, stat: str, radius: int, value: str = "z") -> DataFrame:
             made[f"l{s}"] = F.min("x").over(over)
         if stat in ("max", "range"):
             made[f"h{s}"] = F.max("x").over(over)
-        if stat == "median":
-            made[f"a{s}"] = F.collect_list("x").over(over)
     wide = src.withColumns(made)
     at = lambda kind: [F.lag(f"{kind}{s}", -d).over(down) for d, s in cut.items()]
     plus = lambda columns: reduce(lambda a, b: a + b, columns)
@@ -237,8 +240,6 @@ def focal(df: DataFrame, stat: str, radius: int, value: str = "z") -> DataFrame:
         out = F.sqrt(out) if stat == "std" else out
     elif stat == "mean":
         out = back(F.floor(plus(at("s")) / size))
-    elif stat == "median":
-        out = back(F.get(F.array_sort(F.concat(*at("a"))), F.lit(size // 2)))
     else:
         low = F.least(*at("l")) if stat != "max" else None
         high = F.greatest(*at("h")) if stat != "min" else None
@@ -272,51 +273,14 @@ def dilate(df: DataFrame, flag: str, steps: int) -> DataFrame:
 
 
 def extract_features(df: DataFrame, wanted: dict[str, list[float]], height: int, width: int, dx: float = 1.0, dy: float = 1.0, value: str = "z") -> DataFrame:
-    """``row, col`` and a column for each attribute and sigma of ``wanted``.
+    """Attributes of all sigmas at once: ``neighbourhood.attributes``."""
+    from .neighbourhood import attributes
 
-    Each surface is smoothed once and serves all attributes of its sigma.
-    Features are null where the pixel itself is missing. Raises ValueError for
-    an unknown attribute or one without a sigma.
-    """
-    for name, sigmas in wanted.items():
-        if name not in (*ATTRIBUTES, "elevation", "slope_break_index"):
-            raise ValueError(f"unknown attribute {name}")
-        if not sigmas:
-            raise ValueError(f"{name} has no sigma")
-    out = df.select("row", "col", F.col(value).isNotNull().alias("_ok"))
-    softness = {s for name, sigmas in wanted.items() for s in (max(s, 0.5) if name == "slope_break_index" else s for s in sigmas)}
-    for sigma in sorted(softness):
-        cut = tiles(df.select("row", "col", value), _margin(sigma))
-        soft = derivatives(_soft(cut, sigma, height, width, value), height, width, dx, dy, value)
-        steep = soft.withColumn("s", _slope())
-        broken = steep.withColumns({"sx": gradient("s", "col", width, dx), "sy": gradient("s", "row", height, dy)})
-        columns = []
-        for name, sigmas in wanted.items():
-            for s in sigmas:
-                if (max(s, 0.5) if name == "slope_break_index" else s) != sigma:
-                    continue
-                made = (
-                    F.col(value) if name == "elevation"
-                    else F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2) if name == "slope_break_index"
-                    else ATTRIBUTES[name]()
-                )
-                columns.append(made.alias(f"{name}_sigma{s:g}"))
-        out = out.join(core(broken).select("row", "col", *columns), ["row", "col"])
-    names = [c for c in out.columns if c not in ("row", "col", "_ok")]
-    return out.select("row", "col", *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in names])
+    return attributes(df, wanted, height, width, dx, dy, value)
 
 
 def zonal_features(df: DataFrame, columns: list[str], stats: list[str], radii: list[int]) -> DataFrame:
-    """``row, col`` and ``{column}_{stat}_w{radius}`` of each of ``columns``, as ``focal`` makes them.
+    """Disc statistics of all columns and radii at once: ``neighbourhood.zonal``."""
+    from .neighbourhood import zonal
 
-    Columns that ``df`` doesn't have are skipped; with none left, ValueError.
-    """
-    known = [c for c in columns if c in df.columns]
-    if not known:
-        raise ValueError(f"none of {', '.join(columns)} is there")
-    out = df.select("row", "col")
-    for c in known:
-        for radius in radii:
-            for stat in stats:
-                out = out.join(focal(df.select("row", "col", c), stat, radius, c), ["row", "col"])
-    return out
+    return zonal(df, columns, stats, radii)

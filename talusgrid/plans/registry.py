@@ -8,13 +8,14 @@ orders with keys divisible by 97 count as missing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talusgrid.functions import projection
-from talusgrid.operators import events, features, grid, model, ranking, raster, sampling
-from talusgrid.sources import geotiff, tables
+from talusgrid.operators import events, features, grid, model, neighbourhood, ranking, raster, sampling
+from talusgrid.sources import cube, geotiff, tables
 
 WIDTH = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,9 +75,10 @@ _CELL = (
     f"""
 WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CELL} AS cell,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
-e AS (SELECT l_orderkey, k, unnest(string_split(cell, ';')) AS x, generate_subscripts(string_split(cell, ';'), 1) AS j
-  FROM c WHERE k <= 5 AND cell NOT IN ('', 'nan', 'None')),
-d AS (SELECT l_orderkey, trim(x) AS x, min(k * 100 + j) AS p FROM e WHERE trim(x) <> '' GROUP BY 1, 2),
+w AS (SELECT l_orderkey, (k - 1) % 5 AS i, string_agg(cell, ';' ORDER BY k) AS cell FROM c GROUP BY 1, 2),
+e AS (SELECT l_orderkey, i, unnest(string_split(cell, ';')) AS x, generate_subscripts(string_split(cell, ';'), 1) AS j
+  FROM w WHERE cell NOT IN ('', 'nan', 'None')),
+d AS (SELECT l_orderkey, trim(x) AS x, min(i * 1000000000 + j) AS p FROM e WHERE trim(x) <> '' GROUP BY 1, 2),
 s AS (SELECT l_orderkey, string_agg(x, ',' ORDER BY p) AS events, count(*)::BIGINT AS n FROM d GROUP BY 1)
 SELECT o.l_orderkey, coalesce(events, '') AS events, coalesce(n, 0)::BIGINT AS n
 FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN s USING (l_orderkey)"""
@@ -86,7 +88,9 @@ def combine_event_columns(spark, sf_dir):
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_CELL).alias("cell"), F.row_number().over(order).alias("k"))
-    wide = rows.groupBy("l_orderkey").agg(*[F.max(F.when(F.col("k") == i, F.col("cell"))).alias(f"event_{i}") for i in range(1, 6)])
+    held = lambda i: F.collect_list(F.when((F.col("k") - 1) % 5 == i, F.struct("k", "cell")))
+    cell = lambda i: F.array_join(F.transform(F.array_sort(held(i)), lambda x: x["cell"]), ";")
+    wide = rows.groupBy("l_orderkey").agg(*[cell(i).alias(f"event_{i + 1}") for i in range(5)])
     found = F.array_distinct(events.combine_events(*[f"event_{i}" for i in range(1, 6)]))
     return wide.select("l_orderkey", F.array_join(found, ",").alias("events"), F.size(found).cast("long").alias("n"))
 
@@ -228,11 +232,11 @@ def raster_subtract_quantise(spark, sf_dir):
     return raster.quantise(raster.subtract(lift(spark, sf_dir), ice))
 
 
-@query(f"""WITH {GRID}, s AS (SELECT "row", col, z AS v FROM g WHERE "row" < 40 AND col < 30)
+@query(f"""WITH {GRID}, s AS (SELECT "row" // 3 AS "row", col // 3 AS col, max(z) AS v FROM g GROUP BY 1, 2)
 SELECT g."row", g.col, round(s.v, 6) AS v FROM g LEFT JOIN s ON s."row" = g."row" // 3 AND s.col = g.col // 3""")
 def resample_nearest(spark, sf_dir):
     g = lift(spark, sf_dir)
-    coarse = g.where("row < 40 and col < 30").select("row", "col", F.col("z").alias("v"))
+    coarse = g.groupBy(F.expr("int(row div 3)").alias("row"), F.expr("int(col div 3)").alias("col")).agg(F.max("z").alias("v"))
     return raster.resample_nearest(g.select("row", "col"), coarse, 3.0, "v").withColumn("v", F.round("v", 6))
 
 
@@ -399,7 +403,7 @@ _WANTED_COLUMNS = [(a, s) for a, sigmas in _WANTED.items() for s in sigmas]
 
 @query("SELECT * FROM " + " JOIN ".join(f"({_attribute_sql(a, s).format(column=f'{a}_sigma{s:g}')}) t{k}" + (' USING ("row", col)' if k else "") for k, (a, s) in enumerate(_WANTED_COLUMNS)))
 def extract_features(spark, sf_dir):
-    got = grid.extract_features(relief(spark, sf_dir), _WANTED, height(spark, sf_dir), WIDTH)
+    got = neighbourhood.attributes(relief(spark, sf_dir), _WANTED, height(spark, sf_dir), WIDTH)
     names = [f"{a}_sigma{s:g}" for a, s in _WANTED_COLUMNS]
     return got.select("row", "col", *[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c in names])
 
@@ -465,10 +469,64 @@ _ZONES = [(s, r) for r in (3, 5) for s in ("std", "range")]
 
 @query("SELECT * FROM " + " JOIN ".join(f"({_focal_sql(s, r)}) t{k}" + (' USING ("row", col)' if k else "") for k, (s, r) in enumerate(_ZONES)))
 def zonal_features(spark, sf_dir):
-    got = grid.zonal_features(relief(spark, sf_dir), ["z", "not there"], ["std", "range"], [3, 5])
+    got = neighbourhood.zonal(relief(spark, sf_dir), ["z", "not there"], ["std", "range"], [3, 5])
     return got.select("row", "col", *[F.round(f"z_{s}_w{r}", DIGITS).alias(f"z_{s}_w{r}") for s, r in _ZONES])
 
 
+def _base_sql() -> str:
+    """CTEs of all base features; the last one is ``base``."""
+    parts, columns = [], {}
+    for sigma in (1, 3, 5):
+        body = ", ".join(
+            f"{_EXPR[a]} AS {a}_sigma{sigma}" for a in ("slope", "profile_curvature", "planform_curvature", "mean_curvature")
+        )
+        parts.append(
+            f"""x{sigma} AS MATERIALIZED (WITH {_blur(sigma)}, {_D}, s AS (SELECT *, {_EXPR["slope"]} AS s FROM d3),
+e AS (SELECT *, {_diff("s", "col", "100")} AS sx, {_diff("s", '"row"', "(SELECT height FROM h)")} AS sy FROM s)
+SELECT "row", col, {body}, sqrt(sx * sx + sy * sy) AS slope_break_index_sigma{sigma} FROM e)"""
+        )
+        columns[sigma] = [f"{a}_sigma{sigma}" for a in features.TERRAIN]
+    every = ", ".join(f"CASE WHEN g.z IS NOT NULL THEN {c} END AS {c}" for cs in columns.values() for c in cs)
+    joined = " ".join(f'JOIN x{sigma} USING ("row", col)' for sigma in columns)
+    parts.append(f'base AS MATERIALIZED (SELECT "row", col, g.z AS elevation_sigma0, {every} FROM g {joined})')
+    return ", ".join(parts)
+
+
+def _standard_sql() -> str:
+    every = features.standard_features()
+    zones = [f for f in every if f.zonal]
+    sources = list(dict.fromkeys(features.Feature(f.name, f.sigma).column for f in zones))
+    tall = " UNION ALL ".join(f"""SELECT "row", col, {k} AS k, '{c}' AS f, {c} AS v FROM base""" for k, c in enumerate(sources))
+    discs, pivots = [], []
+    for r in (3, 5, 7):
+        cells = [(d, e) for d, s in grid.spans(r).items() for e in range(-s, s + 1)]
+        discs.append(
+            f"""disc{r} AS (SELECT a."row", a.col, a.f, CASE WHEN count(n.v) = {len(cells)} THEN sqrt(var_pop(n.v)) END AS std,
+CASE WHEN count(n.v) = {len(cells)} THEN (max(n.b) - min(n.b)) / 255.0::DOUBLE * any_value(n.hi - n.lo) END AS "range"
+FROM binned a CROSS JOIN (VALUES {", ".join(map(str, cells))}) o(dy, dx) JOIN binned n ON n.place = a.place + dy * 1000 + dx GROUP BY 1, 2, 3)"""
+        )
+        columns = ", ".join(f"""max("{s}") FILTER (f = '{c}') AS {c}_{s}_w{r}""" for c in sources for s in ("std", "range"))
+        pivots.append(f'wide{r} AS (SELECT "row", col, {columns} FROM disc{r} GROUP BY 1, 2)')
+    out = ", ".join(f"round({f.column}, {DIGITS}) + 0.0::DOUBLE AS {f.column}" for f in every[1:])
+    return f"""WITH {RELIEF}, {_base_sql()}, tall AS MATERIALIZED ({tall}), ends AS (SELECT f, min(v) AS lo, max(v) AS hi FROM tall GROUP BY 1),
+binned AS MATERIALIZED (SELECT tall.*, k::BIGINT * 1000000000 + "row" * 1000 + col AS place, lo, hi, trunc((v - lo) / (hi - lo) * 255)::INT AS b FROM tall JOIN ends USING (f)), {", ".join(discs)}, {", ".join(pivots)}
+SELECT "row", col, elevation_sigma0, {out} FROM base LEFT JOIN wide3 USING ("row", col) LEFT JOIN wide5 USING ("row", col) LEFT JOIN wide7 USING ("row", col)"""
+
+
+def _feature_table(spark, sf_dir):
+    every, surface = features.standard_features(), relief(spark, sf_dir)
+    made = neighbourhood.attributes(surface, neighbourhood.wanted_of(every), height(spark, sf_dir), WIDTH)
+    return neighbourhood.feature_table(tables.kept(made, "base-features"), every)
+
+
+@query(_standard_sql())
+def standard_features(spark, sf_dir):
+    """All 52 features of the standard run: base features written once, then their disc statistics."""
+    every, got = features.standard_features(), _feature_table(spark, sf_dir)
+    rounded = [(F.round(f.column, DIGITS) + F.lit(0.0)).alias(f.column) for f in every[1:]]
+    return got.select("row", "col", "elevation_sigma0", *rounded)
+
+
 @query(f"""WITH {GRID}, f AS (SELECT a."row", a.col, count(n.z) AS n, var_pop(n.z) AS v FROM g a JOIN g n
 ON n."row" BETWEEN a."row" - 2 AND a."row" + 2 AND n.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2)
 SELECT "row", col, round(CASE WHEN n = 25 THEN v END, -1) AS local_variance FROM f""")
@@ -539,21 +597,32 @@ _F = """f AS (SELECT *, name || '_sigma' || sigma || coalesce('_' || stat || '_w
     (SELECT unnest([3, 5, 7]) AS w), (SELECT unnest(['std', 'range']) AS stat)))"""
 
 
-@query(f"""WITH {_F}, c AS (SELECT k::INT AS set_id, feature, name = 'elevation' AS height, name, sigma, stat, w, (k - 1) % 3 AS t FROM f, range(1, 31) r(k))
-SELECT set_id, feature FROM c WHERE CASE
+@query(f"""WITH {_F}, every AS ({_standard_sql()}), c AS (SELECT k::INT AS set_id, feature, name = 'elevation' AS height, name, sigma, stat, w, (k - 1) % 3 AS t FROM f, range(1, 31) r(k)),
+m AS (SELECT set_id, feature FROM c WHERE CASE
   WHEN set_id <= 12 THEN (height OR sigma <= 1 + 2 * t) AND (stat IS NULL AND (NOT height OR set_id >= 7) OR stat IS NOT NULL AND (set_id BETWEEN 4 AND 6 OR set_id >= 10))
   WHEN set_id <= 18 THEN stat IS NULL AND sigma <= 1 AND list_contains(CASE set_id WHEN 13 THEN ['slope'] WHEN 14 THEN ['slope', 'slope_break_index']
     WHEN 15 THEN ['profile_curvature', 'planform_curvature', 'mean_curvature'] WHEN 16 THEN ['slope', 'profile_curvature', 'planform_curvature', 'mean_curvature']
     WHEN 17 THEN ['slope', 'slope_break_index', 'profile_curvature', 'planform_curvature', 'mean_curvature']
     ELSE ['elevation', 'slope', 'slope_break_index', 'profile_curvature', 'planform_curvature', 'mean_curvature'] END, name)
   WHEN set_id <= 24 THEN stat IS NULL AND NOT height AND list_contains(CASE set_id WHEN 19 THEN [1] WHEN 20 THEN [3] WHEN 21 THEN [5] WHEN 22 THEN [1, 3] WHEN 23 THEN [3, 5] ELSE [1, 3, 5] END, sigma)
-  ELSE NOT height AND (stat IS NULL OR (w = 3 OR set_id >= 28) AND (set_id IN (27, 30) OR stat = CASE WHEN set_id IN (25, 28) THEN 'std' ELSE 'range' END)) END""")
+  ELSE NOT height AND (stat IS NULL OR (w = 3 OR set_id >= 28) AND (set_id IN (27, 30) OR stat = CASE WHEN set_id IN (25, 28) THEN 'std' ELSE 'range' END)) END),
+tall AS (UNPIVOT every ON COLUMNS(* EXCLUDE ("row", col)) INTO NAME feature VALUE v),
+q AS (SELECT *, count(*) OVER (PARTITION BY set_id) AS size FROM m),
+whole AS (SELECT set_id, "row", col FROM q JOIN tall USING (feature) GROUP BY set_id, "row", col HAVING count(*) = any_value(size)),
+n AS (SELECT set_id, count(*)::BIGINT AS n_valid FROM whole GROUP BY 1)
+SELECT set_id, feature, coalesce(n_valid, 0)::BIGINT AS n_valid FROM m LEFT JOIN n USING (set_id)""")
 def feature_set_projection(spark, sf_dir):
-    """The columns that each set selects from a table of all features."""
+    """Each set's features and the pixels at which all of them have values, in one pass over the feature table."""
     every = features.standard_features()
-    wide = spark.range(0).select(F.lit(0).alias("row"), F.lit(0).alias("col"), *[F.lit(0.0).alias(f.column) for f in every])
-    rows = [(k, c) for k in range(1, 31) for c in features.select_set(wide, every, k).columns[2:]]
-    return spark.createDataFrame(rows, "set_id int, feature string")
+    wide = _feature_table(spark, sf_dir)
+    sets = {k: features.select_set(wide, every, k).columns[2:] for k in range(1, 31)}
+    rows = [F.struct(F.lit(k).alias("set_id"), F.array(*map(F.lit, c)).alias("fs"), F.count_if(_all_there(c)).alias("n_valid")) for k, c in sets.items()]
+    counted = wide.agg(F.array(*rows).alias("s")).select(F.inline("s"))
+    return counted.select("set_id", F.explode("fs").alias("feature"), "n_valid")
+
+
+def _all_there(columns: list[str]):
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity,
@@ -726,6 +795,51 @@ def geotiff_manifest(spark, sf_dir):
     return _written_tiles(spark, sf_dir)[1]
 
 
+#: Values, the type that holds them, its missing value, packing and side of tiles, for whole files.
+_FILES = {
+    "u2": ("bround(z / 10, 0)", "round_even(z / 10, 0)", 65535, "deflate", 64),
+    "i2": ("CASE WHEN z IS NOT NULL THEN fold END", "CASE WHEN z IS NOT NULL THEN fold END", -1, "deflate", 32),
+    "f4": ("CAST(z / 4 AS FLOAT)", "(z / 4)::FLOAT", -3.4028234663852886e38, "lzw", 64),
+}
+
+
+def _written_file(spark, sf_dir, kind):
+    values, _, nodata, packing, side = _FILES[kind]
+    path = tables.shared_path(spark, f"raster-{kind}")
+    place = geotiff.Meta(height(spark, sf_dir), WIDTH, 2600000.0, 1200000.0, 10.0, 10.0, nodata, 2056)
+    rows = lift(spark, sf_dir).select("row", "col", F.expr(values).cast("double").alias("v"))
+    geotiff.write_raster(rows, path, place, "v", kind, nodata, side, packing, "a band")
+    return path
+
+
+for _kind, (_, _sql, *_) in _FILES.items():
+
+    def _whole_file(spark, sf_dir, kind=_kind):
+        path = _written_file(spark, sf_dir, kind)
+        geotiff.register(spark)
+        return spark.read.format("geotiff").load(path)
+
+    query(f'WITH {GRID} SELECT "row", col, ({_sql})::DOUBLE AS value FROM g', f"geotiff_file_{_kind}")(_whole_file)
+
+
+def _cube_paths(spark, sf_dir):
+    return {f"band_{kind}": _written_file(spark, sf_dir, kind) for kind in _FILES}
+
+
+_BANDS = ", ".join(f"({sql})::DOUBLE AS band_{kind}" for kind, (_, sql, *_) in _FILES.items())
+
+
+@query(f"""WITH {GRID} SELECT "row", col, {_BANDS} FROM g""")
+def feature_cube(spark, sf_dir):
+    """Three rasters of their own types, tiles and packings, read together."""
+    return cube.feature_cube(spark, _cube_paths(spark, sf_dir))
+
+
+@query(f"""WITH {GRID} SELECT "row", col, z IS NOT NULL AS valid FROM g""")
+def feature_cube_mask(spark, sf_dir):
+    return cube.valid_mask(spark, _cube_paths(spark, sf_dir))
+
+
 _PARTS = "SELECT '00' || p_partkey AS pk, p_name, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || ', \"' || p_type || '\"' END AS kind, p_size, p_retailprice FROM part"
 
 

@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/talusgrid/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later reads start from the files."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, text: tuple[str, ...] = ("pk",)) -> DataFrame:
     """A CSV file with a header; types are inferred but for the columns of ``text``, which stay strings.
 
