@@ -1,4 +1,4 @@
-"""Rasterising of general polygons by scan lines, with DataFrame functions only.
+"""Rasterising of general polygons and what lies near them, with DataFrame functions only.
 
 A shape is an id and its rings, ``rings ARRAY<ARRAY<STRUCT<x, y>>>`` in pixel
 units (pixel ``(row, col)`` spans ``[col, col + 1) x [row, row + 1)``). Rings may
@@ -12,12 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .raster import clip as clip_boxes
 
-def edges(shapes: DataFrame, key: str, rings: str = "rings") -> DataFrame:
-    """``key, x1, y1, x2, y2``: one row for each edge, rings closed."""
+#: Edges are cut to this length, in pixels, before the pixels near them are listed.
+PIECE = 32
+
+
+def edges(shapes: DataFrame, key: str, rings: str = "rings", closed: bool = True) -> DataFrame:
+    """``key, x1, y1, x2, y2``: one row for each edge; rings are closed, lines with ``closed=False`` are not."""
     ring = shapes.select(key, F.explode(rings).alias("_ring")).where(F.size("_ring") >= 2)
-    after = F.concat(F.slice("_ring", F.lit(2), F.size("_ring") - 1), F.slice("_ring", 1, 1))
-    pair = ring.select(key, F.explode(F.arrays_zip(F.col("_ring").alias("a"), after.alias("b"))).alias("e"))
+    after = F.slice("_ring", F.lit(2), F.size("_ring") - 1)
+    after = F.concat(after, F.slice("_ring", 1, 1)) if closed else after
+    before = F.col("_ring") if closed else F.slice("_ring", F.lit(1), F.size("_ring") - 1)
+    pair = ring.select(key, F.explode(F.arrays_zip(before.alias("a"), after.alias("b"))).alias("e"))
     return pair.select(
         key,
         F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"),
@@ -81,3 +88,65 @@ def burn(
     named = shapes.select(F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("_s"), F.col(rings).alias("_r"))
     last = cover(named, "_s", height, width, touched, "_r").groupBy("row", "col").agg(F.max("_s")["v"].alias(value))
     return grid.select("row", "col").join(last, ["row", "col"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
+
+
+def near(shapes: DataFrame, key: str, height: int, width: int, distance: float, rings: str = "rings", closed: bool = True) -> DataFrame:
+    """``key, row, col``: the pixels of a grid whose centre is no further than ``distance`` from an edge, once each.
+
+    Long edges are cut into pieces, and each piece lists the few pixels around
+    it, so the work grows with the outlines' length and no task meets a whole
+    raster. Distances are of the whole edge, exact.
+    """
+    sides = edges(shapes, key, rings, closed)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    n = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / PIECE), F.lit(1)).cast("int")
+    parts = sides.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    at = lambda low, d, k: F.col(low) + d * (F.col("_k") + k) / F.col("_n")
+    parts = parts.withColumns({"_ax": at("x1", dx, 0), "_bx": at("x1", dx, 1), "_ay": at("y1", dy, 0), "_by": at("y1", dy, 1)})
+    span = lambda a, b, size: _steps(F.floor(F.least(a, b) - distance - 0.5), F.ceil(F.greatest(a, b) + distance - 0.5), 0, size)
+    pixels = parts.select("*", span("_ay", "_by", height).alias("row")).select("*", span("_ax", "_bx", width).alias("col"))
+    x, y = F.col("col") + 0.5, F.col("row") + 0.5
+    t = ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / (dx * dx + dy * dy)
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    away_x, away_y = x - (F.col("x1") + t * dx), y - (F.col("y1") + t * dy)
+    return pixels.where(away_x * away_x + away_y * away_y <= distance * distance).select(key, "row", "col").distinct()
+
+
+def within(shapes: DataFrame, key: str, height: int, width: int, distance: float, rings: str = "rings") -> DataFrame:
+    """``key, row, col``: the pixels whose centre is in a shape or no further than ``distance`` from it: its round buffer."""
+    return cover(shapes, key, height, width, rings=rings).unionByName(near(shapes, key, height, width, distance, rings)).distinct()
+
+
+def boxes(shapes: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """``key, x0, x1, y0, y1``: the bounds of each shape that has points."""
+    points = F.flatten(rings)
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return shapes.where(F.size(points) > 0).select(
+        key, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")
+    )
+
+
+def clip(grid: DataFrame, shapes: DataFrame, key: str, buffer: float, rings: str = "rings") -> DataFrame:
+    """Pixels with their centre in the bounds, widened by ``buffer``, of any shape.
+
+    The bounds of a shape's round buffer are its own, widened; shapes that
+    overlap count once.
+    """
+    return clip_boxes(grid, boxes(shapes, key, rings), buffer)
+
+
+def priority_labels(
+    grid: DataFrame, outlines: DataFrame, zones: DataFrame, key: str, buffer: float, height: int, width: int, value: str = "z", rings: str = "rings"
+) -> DataFrame:
+    """3 in a zone, else 2 within ``buffer`` of one, else 1 in an outline and valid, else 0."""
+    marked = lambda df, m: df.select("row", "col", F.lit(m).alias("m"))
+    held = marked(cover(outlines, key, height, width, rings=rings), 1)
+    valid = grid.where(F.col(value).isNotNull()).select("row", "col")
+    marks = (
+        held.distinct().join(valid, ["row", "col"])
+        .unionByName(marked(near(zones, key, height, width, buffer, rings), 2))
+        .unionByName(marked(cover(zones, key, height, width, rings=rings), 3))
+        .groupBy("row", "col")
+        .agg(F.max("m").alias("label"))
+    )
+    return grid.select("row", "col").join(marks, ["row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(0)))

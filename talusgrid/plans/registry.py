@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talusgrid.functions import projection
-from talusgrid.operators import events, features, grid, model, neighbourhood, ranking, raster, sampling
+from talusgrid.operators import events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling
 from talusgrid.sources import cube, geotiff, tables
 
 WIDTH = 100
@@ -294,6 +294,72 @@ def priority_labels(spark, sf_dir):
     return raster.priority_labels(lift(spark, sf_dir), s.where("fold is not null"), s.where("fold is null"), 2.0)
 
 
+#: Outlines with a bay each and, for some, a hole; some overlap, and each edge is drawn once.
+_AT = "s_suppkey * 37 % 97", "s_suppkey * 53 % 140", "s_suppkey % 9 + 3", "s_suppkey % 7 + 4"
+_OUTER = ((0.3, 0.1, 0, 0), (0.7, 1.4, 1, 0), (0.2, 0.4, 0.5, 0.5), (1.9, 0.6, 1, 1), (-0.9, 0.2, 0, 0.75))
+_HOLE = ((0.45, 0.2, 0.25, 0.55), (0.45, 1.3, 0.25, 0.55), (1.15, 0.9, 0.25, 0.55))
+
+
+def _ring(points, struct: str) -> str:
+    x, y, a, b = _AT
+    return ", ".join(struct.format(f"{x} + {p} + ({a}) * {r}", f"{y} + {q} + ({b}) * {s}") for p, q, r, s in points)
+
+
+def outlines(spark, sf_dir):
+    point = "named_struct('x', double({}), 'y', double({}))"
+    outer, hole = f"array({_ring(_OUTER, point)})", f"array({_ring(_HOLE, point)})"
+    return read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 11 != 0, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("fold"),
+        F.expr(f"CASE WHEN s_suppkey % 3 = 0 THEN array({outer}, {hole}) ELSE array({outer}) END").alias("rings"),
+    )
+
+
+_POINT = "{{'x': ({})::DOUBLE, 'y': ({})::DOUBLE}}"
+OUTLINES = f"""s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 <> 0 THEN (s_suppkey % 5 + 1)::INT END AS fold,
+  CASE WHEN s_suppkey % 3 = 0 THEN [[{_ring(_OUTER, _POINT)}], [{_ring(_HOLE, _POINT)}]] ELSE [[{_ring(_OUTER, _POINT)}]] END AS rings FROM supplier),
+r AS (SELECT k, fold, unnest(rings) AS ring FROM s), p AS (SELECT k, fold, ring, unnest(range(1, len(ring) + 1)) AS i FROM r),
+e AS (SELECT k, fold, ring[i].x AS x1, ring[i].y AS y1, ring[i % len(ring) + 1].x AS x2, ring[i % len(ring) + 1].y AS y2 FROM p),
+inside AS (SELECT g."row", g.col, k, e.fold FROM g JOIN e ON (y1 <= g."row" + 0.5) <> (y2 <= g."row" + 0.5)
+  AND x1 + (g."row" + 0.5 - y1) * (x2 - x1) / (y2 - y1) <= g.col + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1),
+t AS (SELECT g."row", g.col, e.*, least(greatest(((g.col + 0.5 - x1) * (x2 - x1) + (g."row" + 0.5 - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t
+  FROM g JOIN e ON g.col BETWEEN least(x1, x2) - 4 AND greatest(x1, x2) + 4 AND g."row" BETWEEN least(y1, y2) - 4 AND greatest(y1, y2) + 4),
+near AS (SELECT DISTINCT "row", col, k, fold FROM t WHERE pow(col + 0.5 - (x1 + t * (x2 - x1)), 2) + pow("row" + 0.5 - (y1 + t * (y2 - y1)), 2) <= 4)"""
+
+
+@query(f"""WITH {GRID}, {OUTLINES}, b AS (SELECT k, min(least(x1, x2)) AS x0, max(greatest(x1, x2)) AS x1, min(least(y1, y2)) AS y0, max(greatest(y1, y2)) AS y1 FROM e GROUP BY 1)
+SELECT "row", col, round(z, 6) AS z FROM g WHERE EXISTS (SELECT 1 FROM b WHERE g.col + 0.5 BETWEEN x0 - 1.5 AND x1 + 1.5 AND g."row" + 0.5 BETWEEN y0 - 1.5 AND y1 + 1.5)""")
+def clip_outlines(spark, sf_dir):
+    return polygons.clip(lift(spark, sf_dir), outlines(spark, sf_dir), "k", 1.5).select("row", "col", F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {GRID}, {OUTLINES} SELECT k, "row", col FROM inside""")
+def cover_outlines(spark, sf_dir):
+    return polygons.cover(outlines(spark, sf_dir), "k", height(spark, sf_dir), WIDTH)
+
+
+@query(f"""WITH {GRID}, {OUTLINES} SELECT k, "row", col FROM inside UNION SELECT k, "row", col FROM near""")
+def buffer_outlines(spark, sf_dir):
+    return polygons.within(outlines(spark, sf_dir), "k", height(spark, sf_dir), WIDTH, 2.0)
+
+
+@query(f"""WITH {GRID}, {OUTLINES}, last AS (SELECT "row", col, max_by(fold, k) AS fold FROM inside WHERE fold IS NOT NULL GROUP BY 1, 2)
+SELECT g."row", g.col, coalesce(last.fold, -1)::INT AS fold FROM g LEFT JOIN last USING ("row", col)""")
+def burn_outlines(spark, sf_dir):
+    held = outlines(spark, sf_dir).where("fold is not null")
+    return polygons.burn(lift(spark, sf_dir), held, "k", "fold", "k", height(spark, sf_dir), WIDTH, touched=False)
+
+
+@query(f"""WITH {GRID}, {OUTLINES}, m AS (
+  SELECT "row", col, 3 AS m FROM inside WHERE fold IS NULL UNION ALL SELECT "row", col, 2 FROM near WHERE fold IS NULL
+  UNION ALL SELECT "row", col, 1 FROM inside JOIN g USING ("row", col) WHERE inside.fold IS NOT NULL AND z IS NOT NULL)
+SELECT g."row", g.col, coalesce(max(m), 0)::INT AS label FROM g LEFT JOIN m USING ("row", col) GROUP BY 1, 2""")
+def priority_labels_outlines(spark, sf_dir):
+    s = outlines(spark, sf_dir)
+    return polygons.priority_labels(
+        lift(spark, sf_dir), s.where("fold is not null"), s.where("fold is null"), "k", 2.0, height(spark, sf_dir), WIDTH
+    )
+
+
 #: Where two rasters lie: corner and pixel size.
 _HERE = {"x0": 1000.0, "y0": 5000.0, "dx": 10.0, "dy": 10.0}
 _THERE = {"x0": 985.0, "y0": 5020.0, "dx": 25.0, "dy": 20.0}
