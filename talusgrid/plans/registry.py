@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from talusgrid.functions import projection
 from talusgrid.operators import events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling
+from talusgrid.operators import outlines as areas
 from talusgrid.sources import cube, geotiff, tables
 
 WIDTH = 100
@@ -360,6 +361,36 @@ def priority_labels_outlines(spark, sf_dir):
     )
 
 
+@query(f"""WITH {GRID}, {OUTLINES} SELECT k, "row", col FROM inside""")
+def valid_outlines(spark, sf_dir):
+    """The pixels of outlines made valid are those of the outlines as drawn."""
+    valid = areas.make_valid(outlines(spark, sf_dir), "k")
+    return polygons.cover(valid, "k", height(spark, sf_dir), WIDTH)
+
+
+@query(f"""WITH {GRID}, {OUTLINES} SELECT DISTINCT fold, "row", col FROM inside""")
+def dissolve_outlines(spark, sf_dir):
+    """The pixels of each fold's union, the outlines without a fold among them."""
+    union = areas.dissolve(outlines(spark, sf_dir), "fold", "k")
+    covered = polygons.cover(union.select(F.struct("fold").alias("_f"), "rings"), "_f", height(spark, sf_dir), WIDTH)
+    return covered.select("_f.fold", "row", "col")
+
+
+@query("SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey % 40) AS first_alike, ((o_custkey % 40) + 3) * 4.0::DOUBLE - 1 AS area FROM orders")
+def polygon_uuid_outlines(spark, sf_dir):
+    """Forty rectangles with a hole, drawn in many ways: either way round, from any corner, with points between."""
+    w = "(o_custkey % 40 + 3)"
+    point = lambda x, y: f"named_struct('x', double({x}), 'y', double({y}))"
+    outer = f"array({point(0, 0)}, {point(f'{w} / 2', 0)}, {point(w, 0)}, {point(w, 4)}, {point(0, 4)})"
+    hole = f"array({point(1, 1)}, {point(2, 1)}, {point(2, 2)}, {point(1, 2)})"
+    turned = lambda ring, n: f"concat(slice({ring}, o_orderkey % {n} + 1, {n}), slice({ring}, 1, o_orderkey % {n}))"
+    rings = f"array({turned(outer, 5)}, IF(o_orderkey % 2 = 0, reverse({turned(hole, 4)}), {turned(hole, 4)}))"
+    drawn = read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"IF(o_orderkey % 3 = 0, reverse({rings}), {rings}) AS rings")
+    found = areas.make_valid(drawn, "o_orderkey").select("o_orderkey", areas.polygon_uuid().alias("u"), areas.area().alias("area"))
+    heads = found.groupBy("u").agg(F.min("o_orderkey").alias("first_alike"))
+    return found.join(heads, "u").select("o_orderkey", "first_alike", "area")
+
+
 #: Where two rasters lie: corner and pixel size.
 _HERE = {"x0": 1000.0, "y0": 5000.0, "dx": 10.0, "dy": 10.0}
 _THERE = {"x0": 985.0, "y0": 5020.0, "dx": 25.0, "dy": 20.0}
