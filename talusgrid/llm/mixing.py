@@ -22,9 +22,11 @@ from .common import SPACE
 
 #: Tokens of a block, about.
 BLOCK_TOKENS = 200_000
+#: Rows of a block, about: rows without words, and rows repeated with one id and text, are split by it.
+BLOCK_ROWS = 100_000
 #: No source is repeated more often.
 REPETITION_LIMIT = 2.0
-#: Sources up to which their weights are broadcast; beyond, they are joined.
+#: Sources, and keys of very many rows, up to which they are broadcast; beyond, they are joined.
 BROADCAST_SOURCES = 10_000
 #: Halvings of the exponent's range [0, 1].
 HALVINGS = 40
@@ -78,6 +80,12 @@ def find_exponent(
     return high
 
 
+def source_sums(df: DataFrame, source_col: str, tokens: Column) -> DataFrame:
+    """``_source, _tokens, _rows`` of every source, kept in the shared folder."""
+    rows = df.select(F.col(source_col).alias("_source"), tokens.alias("_n"))
+    return rows.groupBy("_source").agg(F.sum("_n").alias("_tokens"), F.count("*").alias("_rows")).checkpoint()
+
+
 def weights(
     df: DataFrame,
     source_col: str = "source",
@@ -87,20 +95,17 @@ def weights(
     repetition: float | None = REPETITION_LIMIT,
     budget: int | None = None,
     halvings: int = HALVINGS,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """``_source, _tokens, _weight, _times`` for each source that has tokens.
 
     ``_times`` is how often the budget lets a source be used. Without a budget
-    it is the least at which every source is used whole once.
+    it is the least at which every source is used whole once. ``sums`` are
+    ``source_sums`` where they are made already.
     """
     tokens = token_count(F.col(text_col)) if tokens is None else tokens
-    sums = (
-        df.select(F.col(source_col).alias("_source"), tokens.alias("_n"))
-        .groupBy("_source")
-        .agg(F.sum("_n").alias("_tokens"))
-        .where("_tokens > 0")
-    )
-    sums = sums.checkpoint()
+    sums = source_sums(df, source_col, tokens) if sums is None else sums
+    sums = sums.where("_tokens > 0").drop("_rows")
     total = sums.agg(F.sum("_tokens").alias("t")).first()["t"] or 0
     shares = sums.select("*", (F.col("_tokens") / F.lit(max(total, 1))).alias("p"))
     a = find_exponent(shares, entropy, repetition, halvings)
@@ -116,6 +121,26 @@ def weights(
     )
 
 
+def _key(id_col: Column, text: Column) -> Column:
+    return F.concat_ws(":", id_col.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _crowded(df: DataFrame, id_col: str, text_col: str, block_rows: int) -> DataFrame | None:
+    """``_key, _hot`` of ids and texts with more rows than a block has; None where there are none.
+
+    There are at most as many as the table has blocks. They are found by an
+    aggregate that is put together where rows are read, and written.
+    """
+    from .common import table
+
+    counted = df.groupBy(_key(F.col(id_col), F.col(text_col)).alias("_key")).count()
+    hot = table(counted.where(F.col("count") > block_rows).select("_key", F.lit(True).alias("_hot")), "crowded-keys")
+    n = hot.count()
+    if not n:
+        return None
+    return F.broadcast(hot) if n <= BROADCAST_SOURCES else hot
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -127,6 +152,7 @@ def mix(
     block_tokens: int = BLOCK_TOKENS,
     seed: int = 7,
     halvings: int = HALVINGS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``df``'s rows as often as their source's weight asks, with ``mix_`` columns.
 
@@ -139,34 +165,44 @@ def mix(
     Defined cases: a null source is a source of its own; rows without tokens
     (null and empty texts) cost nothing and come once; a source of such rows
     alone does too; repeated rows and null ids are rows like others, ordered by
-    id, then text; columns of ``df`` named ``mix_...`` are replaced; an empty
+    id, then text. A source has a block for each ``block_rows`` of its rows at
+    least, so rows without tokens are split, too, and rows of one id and text
+    are dealt over all its blocks when there are more of them than that. Columns of ``df`` named ``mix_...`` are replaced; an empty
     table gives no rows.
     """
     from .common import shared_dir
 
     shared_dir(df.sparkSession)
     columns = [c for c in df.columns if c not in ("mix_pass", "mix_block", "mix_rank", "mix_tokens")]
-    plan = weights(df, source_col, None, text_col, entropy, repetition, budget, halvings)
-    plan = plan.select(
-        "_source", "_times", F.ceil(F.col("_tokens") / F.lit(block_tokens)).cast("long").alias("_blocks")
+    sums = source_sums(df, source_col, token_count(F.col(text_col)))
+    plan = weights(df, source_col, None, text_col, entropy, repetition, budget, halvings, sums)
+    blocks = F.greatest(F.ceil(F.col("_tokens") / F.lit(block_tokens)), F.ceil(F.col("_rows") / F.lit(block_rows)))
+    every = sums.select(F.col("_source").alias("_known"), blocks.cast("long").alias("_blocks"))
+    plan = every.join(plan, F.col("_known").eqNullSafe(F.col("_source")), "left").select(
+        F.col("_known").alias("_source"), "_times", "_blocks"
     )
-    if plan.count() <= BROADCAST_SOURCES:
+    if sums.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     picked = F.col("_row").getField
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), token_count(F.col(text_col)).alias("_n")
     )
     rows = rows.join(plan, picked(source_col).eqNullSafe(F.col("_source")), "left")
-    key = F.concat_ws(":", picked(id_col).cast("string"), F.md5(F.coalesce(picked(text_col), F.lit("")).cast("binary")))
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), key))
+    key = _key(picked(id_col), picked(text_col))
+    rows = rows.withColumn("_key", key)
+    hot = _crowded(df, id_col, text_col, block_rows)
+    if hot is None:
+        dealt = F.lit(0)
+    else:
+        rows = rows.join(hot, "_key", "left")
+        dealt = F.when(F.col("_hot"), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), "_key"))
     rows = rows.select(
         "_row",
         "_n",
-        key.alias("_key"),
+        "_key",
         F.coalesce("_times", F.lit(1.0)).alias("_times"),
-        F.pmod(F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long"), F.coalesce("_blocks", F.lit(1))).alias(
-            "mix_block"
-        ),
+        F.pmod(F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long") + dealt, F.greatest("_blocks", F.lit(1))).alias("mix_block"),
     )
     free = F.col("_n") == 0
     passes = F.when(free, F.lit(1)).otherwise(F.greatest(F.ceil("_times").cast("int"), F.lit(1)))

@@ -240,7 +240,6 @@ def _verify(size: int, threshold: float, tolerance: float):
             return _pairs(out, ["a", "b", "links"], (pa.binary(), pa.binary(), pa.int64()))
 
         for group in _groups(batches, 3):
-            group = list({r[4]: r for r in group}.values())  # rows repeated with one key
             cross = group[0][1] != group[0][2]
             sig = np.frombuffer(b"".join(r[6] for r in group), dtype=np.uint16).reshape(len(group), -1)
             i, j = surviving(sig, np.array([int(r[3] != r[1]) for r in group]), cross, steps)
@@ -343,7 +342,9 @@ def similar(
     members = groups.join(sizes, "root").join(
         nodes.select(F.col("digest").alias("node"), "rep._id", "rep._h", "copies", "sig"), "node"
     )
-    texts = members.join(docs, ["_id", "_h"]).select("root", F.col("node").alias("digest"), "copies", "c", "sig", "_text")
+    # one text for each key: rows repeated with one id and text meet as one, put together where they are read
+    once = docs.groupBy("_id", "_h").agg(F.first("_text").alias("_text"))
+    texts = members.join(once, ["_id", "_h"]).select("root", F.col("node").alias("digest"), "copies", "c", "sig", "_text")
     verified = table(
         _blocks(texts, "c", block, "root", "digest", "copies", "sig", "_text")
         .repartition("root", "i", "j")
@@ -388,16 +389,12 @@ def real_id(column: str):
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near copies: one row of each class stays."""
-    from pyspark.sql import Window
+    """The rows of ``df`` without near copies: one row of each class stays.
 
+    Of rows repeated with one id and text one stays, put together where they are
+    read, so that very many of them never meet in one task.
+    """
     kept = similar(df, id_col, text_col, **options).where("first").select("_id", "_h").distinct()
     kid, kh = row_key(F.col(id_col), F.col(text_col))
-    once = Window.partitionBy("_id", "_h").orderBy("_id")
-    return (
-        df.select(kid, kh, F.struct("*").alias("_row"))
-        .join(kept, ["_id", "_h"])
-        .withColumn("_n", F.row_number().over(once))
-        .where("_n = 1")
-        .select("_row.*")
-    )
+    once = df.select(kid, kh, F.struct("*").alias("_row")).groupBy("_id", "_h").agg(F.first("_row").alias("_row"))
+    return once.join(kept, ["_id", "_h"]).select("_row.*")

@@ -98,3 +98,20 @@ def test_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "a", "s")], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 3
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_words_and_repeated_rows_are_split(spark):
+    """A source of nothing but empty texts, and one of one row many times: no block has them all."""
+    from collections import Counter
+
+    rows = [(k, "", "empty") for k in range(5000)] + [(None, "same words", "one")] * 5000 + [(k, "a b c", "rest") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix(df, block_rows=500).collect()
+    blocks, passes = Counter(), Counter()
+    for r in out:
+        blocks[r.source, r.mix_pass, r.mix_block] += 1
+        passes[r.source, r.mix_pass] += 1
+    assert passes["empty", 0] == 5000 and passes["one", 0] == 5000 and passes["rest", 0] == 300
+    assert max(n for (s, p, _), n in blocks.items() if s == "empty") < 800
+    assert max(n for (s, p, _), n in blocks.items() if s == "one" and p == 0) < 800
+    assert len({(r.source, r.mix_pass, r.mix_block, r.mix_rank) for r in out}) == len(out)

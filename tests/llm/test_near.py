@@ -87,3 +87,16 @@ def test_null_and_repeated_ids(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near.similar(df).count() == 0
+
+
+def test_many_repeated_rows_and_null_ids(spark):
+    """Rows repeated with one id and text are copies of each other; one of them stays."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(None, text, "a")] * 3000 + [(7, text + " more", "b")] * 2 + [(8, "quite another text of seven words", "c"), (None, None, "d"), (None, None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = near.similar(df).collect()
+    assert len(found) == len(rows)
+    assert sorted({r.n_links for r in found}) == [0, 3001]
+    kept = near.keep_first(df)
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(None, text, "a"), (8, rows[-3][1], "c"), (None, None, "d")]))
