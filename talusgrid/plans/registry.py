@@ -233,11 +233,13 @@ def raster_subtract_quantise(spark, sf_dir):
     return raster.quantise(raster.subtract(lift(spark, sf_dir), ice))
 
 
-@query(f"""WITH {GRID}, s AS (SELECT "row" // 3 AS "row", col // 3 AS col, max(z) AS v FROM g GROUP BY 1, 2)
+@query(f"""WITH {GRID}, s AS (SELECT "row" // 3 AS "row", col // 3 AS col, CASE WHEN count(z) = count(*) THEN max(z) END AS v FROM g GROUP BY 1, 2)
 SELECT g."row", g.col, round(s.v, 6) AS v FROM g LEFT JOIN s ON s."row" = g."row" // 3 AND s.col = g.col // 3""")
 def resample_nearest(spark, sf_dir):
     g = lift(spark, sf_dir)
-    coarse = g.groupBy(F.expr("int(row div 3)").alias("row"), F.expr("int(col div 3)").alias("col")).agg(F.max("z").alias("v"))
+    coarse = g.groupBy(F.expr("int(row div 3)").alias("row"), F.expr("int(col div 3)").alias("col")).agg(
+        F.when(F.count("z") == F.count("*"), F.max("z")).alias("v")  # missing where any of its pixels is
+    )
     return raster.resample_nearest(g.select("row", "col"), coarse, 3.0, "v").withColumn("v", F.round("v", 6))
 
 
