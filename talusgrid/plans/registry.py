@@ -85,13 +85,14 @@ SELECT o.l_orderkey, coalesce(events, '') AS events, coalesce(n, 0)::BIGINT AS n
 FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN s USING (l_orderkey)"""
 )
 def combine_event_columns(spark, sf_dir):
-    from pyspark.sql import Window
+    """An order's rows, in order, dealt over five cells."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order, F.expr(_CELL).alias("cell")))).alias("c"))
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_CELL).alias("cell"), F.row_number().over(order).alias("k"))
-    held = lambda i: F.collect_list(F.when((F.col("k") - 1) % 5 == i, F.struct("k", "cell")))
-    cell = lambda i: F.array_join(F.transform(F.array_sort(held(i)), lambda x: x["cell"]), ";")
-    wide = rows.groupBy("l_orderkey").agg(*[cell(i).alias(f"event_{i + 1}") for i in range(5)])
+    def cell(i: int):
+        return F.array_join(F.transform(F.filter("c", lambda x, k: k % 5 == i), lambda x: x["cell"]), ";")
+
+    wide = rows.select("l_orderkey", *[cell(i).alias(f"event_{i + 1}") for i in range(5)])
     found = F.array_distinct(events.combine_events(*[f"event_{i}" for i in range(1, 6)]))
     return wide.select("l_orderkey", F.array_join(found, ",").alias("events"), F.size(found).cast("long").alias("n"))
 
