@@ -15,12 +15,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import Boosted, Boosting
 from .ranking import curve_metrics, mean_rank_percentile, mean_std, success_rate_curve
 from .raster import inside
 from .sampling import valid
 
 #: Names of learners and of the ways to learn from positives and unlabeled rows.
-LEARNERS = ("random_forest", "gradient_boosting")
+LEARNERS = ("random_forest", "gradient_boosting", "regularised_boosting")
 METHODS = ("plain", "pu_bagging", "pu_elkan_noto", "pu_weighted_elkan_noto")
 
 
@@ -30,6 +31,8 @@ class Config:
 
     ``max_features`` is Spark's subset strategy; ``row_share`` is the share of
     rows that each boosted tree sees; ``balanced`` weighs both labels alike.
+    Only regularised boosting takes ``l1``, ``l2``, ``min_weight`` and
+    ``column_share``.
     """
 
     method: str = "pu_bagging"
@@ -45,6 +48,10 @@ class Config:
     row_share: float = 1.0
     min_gain: float = 0.0
     bins: int = 32
+    l1: float = 0.0
+    l2: float = 1.0
+    min_weight: float = 1.0
+    column_share: float = 1.0
     balanced: bool = False
     seed: int = 42
 
@@ -55,8 +62,13 @@ class Config:
             raise ValueError(f"unknown learner {self.learner}")
 
 
-def learner(config: Config, seed: int) -> RandomForestClassifier | GBTClassifier:
-    """The unfitted Spark estimator of a configuration."""
+def learner(config: Config, seed: int) -> RandomForestClassifier | GBTClassifier | Boosting:
+    """The unfitted estimator of a configuration."""
+    if config.learner.lower() == "regularised_boosting":
+        return Boosting(
+            config.trees, config.depth, config.rate, config.l1, config.l2, config.min_gain, config.min_weight, config.row_share,
+            config.column_share, config.bins, seed,
+        )
     shared = {
         "featuresCol": "features", "labelCol": "label", "weightCol": "w", "seed": seed, "maxDepth": config.depth,
         "minInstancesPerNode": config.min_leaf, "minInfoGain": config.min_gain, "maxBins": config.bins,
@@ -181,10 +193,14 @@ def _weighted(first, rows: DataFrame, likely: float) -> DataFrame:
 def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
     """Models, scaler and features below ``path``, which may be in any store that Spark writes to."""
     for k, m in enumerate(fitted.models):
-        m.write().overwrite().save(f"{path}/model-{k}")
+        if isinstance(m, Boosted):
+            m.save(spark, f"{path}/model-{k}")
+        else:
+            m.write().overwrite().save(f"{path}/model-{k}")
     rows = [(k, c, *map(float, fitted.scaler[c])) for k, c in enumerate(fitted.features)]
     spark.createDataFrame(rows, "k int, feature string, mean double, deviation double").coalesce(1).write.mode("overwrite").json(f"{path}/scaler")
-    kind = "gradient_boosting" if isinstance(fitted.models[0], GBTClassificationModel) else "random_forest"
+    kinds = {GBTClassificationModel: "gradient_boosting", Boosted: "regularised_boosting"}
+    kind = kinds.get(type(fitted.models[0]), "random_forest")
     spark.createDataFrame([(kind, len(fitted.models), float(fitted.share))], "learner string, models int, share double").coalesce(1).write.mode(
         "overwrite"
     ).json(f"{path}/config")
@@ -195,7 +211,8 @@ def load(spark: SparkSession, path: str) -> Fitted:
     config = spark.read.schema("learner string, models int, share double").json(f"{path}/config").first()
     rows = spark.read.schema("k int, feature string, mean double, deviation double").json(f"{path}/scaler").orderBy("k").collect()
     kind = GBTClassificationModel if config["learner"] == "gradient_boosting" else RandomForestClassificationModel
-    models = [kind.load(f"{path}/model-{k}") for k in range(config["models"])]
+    own = config["learner"] == "regularised_boosting"
+    models = [Boosted.load(spark, p) if own else kind.load(p) for p in (f"{path}/model-{k}" for k in range(config["models"]))]
     return Fitted([r["feature"] for r in rows], {r["feature"]: (r["mean"], r["deviation"]) for r in rows}, models, config["share"])
 
 

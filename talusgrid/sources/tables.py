@@ -31,6 +31,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """The files at and below ``path`` go; nothing happens if there are none."""
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def read_csv(spark: SparkSession, path: str, text: tuple[str, ...] = ("pk",)) -> DataFrame:
     """A CSV file with a header; types are inferred but for the columns of ``text``, which stay strings.
 
