@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talusgrid.functions import projection
-from talusgrid.operators import events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling
+from talusgrid.operators import events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling, scoring
 from talusgrid.operators import outlines as areas
 from talusgrid.sources import cube, geotiff, tables
 
@@ -972,3 +972,109 @@ def pu_bagging_cv(spark, sf_dir):
     )
     got, _ = model.cross_validate(rows, ["o_totalprice", "c"])
     return got.select("o_orderkey", "fold", "label", "score")
+
+
+# boosted trees, scored tiles and sample rasters -------------------------------
+
+_BOOSTED = model.Config(
+    method="plain", learner="regularised_boosting", trees=2, depth=2, rate=0.5, l1=0.5, l2=1.0, min_weight=2.0, bins=64
+)
+_TRAITS = ("a", "b", "c")
+
+
+def _traits(spark, sf_dir):
+    """Pixels with three whole-numbered features and a label that depends on two of them."""
+    of = "o_custkey % 16 >= 8 AND o_orderkey % 12 < 5"
+    return read(spark, sf_dir, "orders").selectExpr(
+        "int(o_orderkey div 100) AS row", "int(o_orderkey % 100) AS col", "double(o_custkey % 16) AS a", "double(o_orderkey % 12) AS b",
+        "CASE WHEN NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 97 = 0) THEN double(bigint(floor(o_totalprice)) % 9) END AS c",
+        f"int(o_orderkey * 7919 % 101 < CASE WHEN {of} THEN 80 ELSE 20 END) AS label",
+    )
+
+
+def _boosted_sql() -> str:
+    """The trees of ``_BOOSTED`` as CTEs: ``s`` has every usable pixel's score, ``splits`` every split."""
+    k = _BOOSTED
+
+    def soft(g):
+        return f"sign({g}) * greatest(abs({g}) - {k.l1}::DOUBLE, 0)"
+
+    def worth(g, h):
+        return f"pow({soft(g)}, 2) / ({h} + {k.l2}::DOUBLE)"
+
+    made = [
+        """px AS (SELECT (o_orderkey // 100)::INT AS "row", (o_orderkey % 100)::INT AS col, (o_custkey % 16)::DOUBLE AS a, (o_orderkey % 12)::DOUBLE AS b,
+  CASE WHEN NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 97 = 0) THEN (floor(o_totalprice)::BIGINT % 9)::DOUBLE END AS c,
+  (o_orderkey * 7919 % 101 < CASE WHEN o_custkey % 16 >= 8 AND o_orderkey % 12 < 5 THEN 80 ELSE 20 END)::INT AS y FROM orders),
+r0 AS (SELECT "row", col, y, [a, b, c] AS x, ln(avg(y) OVER () / (1 - avg(y) OVER ())) AS m FROM px WHERE c IS NOT NULL)""",
+    ]
+    for t in range(k.trees):
+        made.append(f"n{t}_0 AS (SELECT *, 1 AS node, 1 / (1 + exp(-m)) - y AS g, (1 / (1 + exp(-m))) * (1 - 1 / (1 + exp(-m))) AS h FROM r{t})")
+        for d in range(k.depth):
+            made.append(f"""c{t}_{d} AS (SELECT node, f, x[f] AS v, sum(g) AS g, sum(h) AS h FROM n{t}_{d}, range(1, 4) q(f) WHERE node >= {2**d} GROUP BY ALL),
+w{t}_{d} AS (SELECT node, f, v, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER p AS g, sum(h) OVER p AS h, lead(v) OVER o AS cut FROM c{t}_{d}
+  WINDOW p AS (PARTITION BY node, f), o AS (PARTITION BY node, f ORDER BY v)),
+b{t}_{d} AS (SELECT * FROM (SELECT node, f, cut, round({worth('gl', 'hl')} + {worth('(g - gl)', '(h - hl)')} - {worth('g', 'h')}, 6) AS gain, v FROM w{t}_{d}
+  WHERE cut IS NOT NULL AND hl >= {k.min_weight} AND h - hl >= {k.min_weight}) WHERE gain > 0.000001
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1),
+n{t}_{d + 1} AS (SELECT n."row", n.col, n.y, n.x, n.m, CASE WHEN b.f IS NULL THEN n.node ELSE 2 * n.node + (n.x[b.f] >= b.cut)::INT END AS node, n.g, n.h
+  FROM n{t}_{d} n LEFT JOIN b{t}_{d} b ON b.node = n.node AND n.node >= {2**d})""")
+        made.append(f"""l{t} AS (SELECT node, -{k.rate}::DOUBLE * {soft('sum(g)')} / (sum(h) + {k.l2}::DOUBLE) AS step FROM n{t}_{k.depth} GROUP BY 1),
+r{t + 1} AS (SELECT "row", col, y, x, m + step AS m FROM n{t}_{k.depth} JOIN l{t} USING (node))""")
+    splits = " UNION ALL ".join(f"SELECT f, gain FROM b{t}_{d}" for t in range(k.trees) for d in range(k.depth))
+    made.append(f"splits AS ({splits})")
+    made.append(f"""s AS (SELECT px."row", px.col, 1 / (1 + exp(-m)) AS risk FROM px LEFT JOIN r{k.trees} USING ("row", col))""")
+    return ",\n".join(made)
+
+
+@query(f"""WITH {_boosted_sql()} SELECT "row", col, round(risk, 9) AS risk FROM s""")
+def boosted_scores(spark, sf_dir):
+    """The risk of every pixel by second-order trees that learned from all usable ones."""
+    rows = _traits(spark, sf_dir)
+    return model.fit(rows, list(_TRAITS), _BOOSTED).score(rows).select("row", "col", F.round("score", 9).alias("risk"))
+
+
+@query(f"""WITH {_boosted_sql()}, i AS (SELECT f, avg(gain) AS gain FROM splits GROUP BY 1)
+SELECT v AS feature, round(coalesce(gain, 0) / (SELECT sum(gain) FROM i), 6) AS importance
+FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) n(k, v) LEFT JOIN i ON f = k""")
+def boosted_importances(spark, sf_dir):
+    found = model.fit(_traits(spark, sf_dir), list(_TRAITS), _BOOSTED).importances()
+    return spark.createDataFrame(found, "feature string, importance double").withColumn("importance", F.round("importance", 6))
+
+
+_RISK_SIDE = 32
+
+
+@query(f"""WITH {_boosted_sql()} SELECT "row" // {_RISK_SIDE * 2} AS band, "row" // {_RISK_SIDE} AS tile_row, col // {_RISK_SIDE} AS tile_col, count(*)::BIGINT AS n_pixels,
+count(risk)::BIGINT AS n_scored, round(min(risk), 9) AS risk_min, round(max(risk), 9) AS risk_max, round(sum(risk), 6) AS risk_sum FROM s GROUP BY ALL""")
+def tile_scores(spark, sf_dir):
+    """Counters of every tile, scored in two calls: the second goes on where the first stopped."""
+    rows = _traits(spark, sf_dir)
+    fitted = model.fit(rows, list(_TRAITS), _BOOSTED)
+    path = tables.shared_path(spark, "risk")
+
+    def score(part: DataFrame) -> DataFrame:
+        return fitted.score(part).select("row", "col", F.col("score").alias("risk"))
+
+    pixels = tables.kept(rows.select("row", "col", *_TRAITS), "pixels")
+    scoring.score_tiles(pixels, score, path, _RISK_SIDE, 2, most=1)
+    got = scoring.score_tiles(pixels, score, path, _RISK_SIDE, 2)
+    return got.select(
+        "band", "tile_row", "tile_col", "n_pixels", "n_scored", F.round("risk_min", 9).alias("risk_min"), F.round("risk_max", 9).alias("risk_max"),
+        F.round("risk_sum", 6).alias("risk_sum"),
+    )
+
+
+@query(f"""WITH {_SAMPLED}, kk AS (SELECT DISTINCT fold FROM sampled)
+SELECT kk.fold, g."row", g.col, s.label::DOUBLE AS value FROM kk CROSS JOIN g LEFT JOIN sampled s ON s.fold = kk.fold AND s."row" = g."row" AND s.col = g.col""")
+def sample_rasters(spark, sf_dir):
+    """Each fold's samples written as a raster and read back whole."""
+    samples = tables.kept(sampling.fold_sample(lift(spark, sf_dir), 2.0, 3, 42), "samples")
+    place = geotiff.Meta(height(spark, sf_dir), WIDTH, 2600000.0, 1200000.0, 10.0, 10.0, -9999.0, 2056)
+    paths = scoring.write_samples(samples, tables.shared_path(spark, "samples"), place, side=64)
+    geotiff.register(spark)
+    parts = []
+    for path in paths:
+        k = int(path.rsplit("fold", 1)[1].removesuffix(".tif"))
+        parts.append(spark.read.format("geotiff").load(path).select(F.lit(k).alias("fold"), "row", "col", "value"))
+    return reduce(DataFrame.unionByName, parts)
