@@ -75,15 +75,19 @@ CONTROL = r"(<)(\||/?s>|</?SYS>>|start_of_turn>|end_of_turn>)|(\[)(/?INST\])"
 END = "<|end|>\n"
 
 
+def _bare(record: Column) -> Column:
+    """A record with its escaped characters left out and its long values shortened."""
+    bare = F.replace(F.replace(record, F.lit("\\\\")), F.lit('\\"'))
+    return F.regexp_replace(bare, r'"[^"]{64,}"(?!\s*:)', '"_"')
+
+
 def shape_of(record: Column) -> Column:
     """The tree of a JSON record's field names, in order of name; null if broken.
 
     Spark gives the record's schema; types of values are left out. Long values
     are shortened first, so that texts of any length leave the shape as it is.
     """
-    bare = F.replace(F.replace(record, F.lit("\\\\")), F.lit('\\"'))
-    bare = F.regexp_replace(bare, r'"[^"]{64,}"(?!\s*:)', '"_"')
-    schema = F.schema_of_variant(F.try_parse_json(bare))
+    schema = F.schema_of_variant(F.try_parse_json(_bare(record)))
     scalar = r": (?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\s*\d+\))(?=[,>])"
     names = F.regexp_replace(schema, scalar, "")
     for old, new in (("ARRAY<OBJECT<", ":[{"), ("OBJECT<", "{"), (">>(?=[,>]|$)", "}]"), (">", "}"), (": :", ":"), (", ", ",")):
@@ -95,6 +99,29 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(shape_of(record), 256)
 
 
+def _holds(layout: Layout, record: Column) -> Column:
+    """Whether a record has every field path of a layout, each a plain value, whatever else it has.
+
+    An empty array has all paths of its elements; of other arrays, a path
+    counts if any element has it.
+    """
+    got = F.from_json(_bare(record), layout.schema.replace(":string", ":variant").replace(" string", " variant"))
+
+    def nested(value: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+
+    if layout.turns:
+        turns, (role, text) = got[layout.turns], (layout.role, layout.text)
+        either = F.exists(turns, lambda t: t[role].isNotNull()) & F.exists(turns, lambda t: t[text].isNotNull())
+        plain = ~F.exists(turns, lambda t: nested(t[role]) | nested(t[text]))
+        return F.coalesce((F.size(turns) == 0) | (either & plain), F.lit(False))
+    names = [role[1:] for role, _ in layout.parts if role.startswith("$")] + [f for _, fields in layout.parts for f in fields]
+    held = F.lit(True)
+    for name in names:
+        held = held & got[name].isNotNull() & ~nested(got[name])
+    return F.coalesce(held, F.lit(False))
+
+
 def _role(value: Column, roles: dict[str, str]) -> Column:
     out = F.coalesce(value, F.lit(""))
     for name, role in roles.items():
@@ -129,13 +156,18 @@ def canonical_turns(
     ``print_`` is the record's fingerprint where a column holds it already, so
     that it isn't made anew for each layout it is compared with.
 
-    A record of an unknown layout, and one that isn't JSON, has null. Null
-    texts and roles are empty; empty fields of a joined text are left out; a
-    part whose fields are all null, such as a completion that isn't there, is
-    no turn.
+    The layout is the one with the record's fingerprint. A record of another
+    fingerprint that has all field paths of a layout is read by it, further
+    fields aside: by the layout of the most paths, then the first; so
+    ``{"messages": []}`` has an empty array of turns. A record that holds no
+    layout, and one that isn't JSON, has null. Null texts and roles are empty;
+    empty fields of a joined text are left out; a part whose fields are all
+    null, such as a completion that isn't there, is no turn.
     """
     print_ = fingerprint(record) if print_ is None else print_
     out = F.lit(None).cast("array<struct<role:string,text:string>>")
+    for layout in sorted(reversed(layouts), key=lambda x: x.schema.count("string")):  # the last one asks first
+        out = F.when(_holds(layout, record), _turns(layout, record)).otherwise(out)
     for layout in layouts:
         out = F.when(print_ == layout.fingerprint, _turns(layout, record)).otherwise(out)
     return out

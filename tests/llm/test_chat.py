@@ -28,6 +28,42 @@ def test_layouts(spark):
     assert got[90] is None and got[91] is None
 
 
+WIDER = [
+    ('{"messages":[]}', []),
+    ('{"conversations":[],"id":4}', []),
+    ('{"messages":[{"role":"user","content":"a"}],"id":"7","source":{"name":"x"}}', [("user", "a")]),
+    ('{"messages":[{"role":"user","content":"{a","weight":1},{"role":"assistant","content":null}]}', [("user", "{a"), ("assistant", "")]),
+    ('{"messages":[{"role":"user","content":"a","tools":[{"n":1}]},{"role":"assistant"}]}', [("user", "a"), ("assistant", "")]),
+    ('{"prompt":"p","completion":"c","score":0.5}', [("user", "p"), ("assistant", "c")]),
+    ('{"prompt":"p","completion":null,"score":0.5}', [("user", "p")]),
+    ('{"instruction":"i","input":"j","output":"o","lang":"en"}', [("user", "i\n\nj"), ("assistant", "o")]),
+    ('{"instruction":"i","output":"o","history":[]}', [("user", "i"), ("assistant", "o")]),
+    ('{"messages":[{"role":"user","content":["a"]}],"id":1}', None),
+    ('{"messages":{"role":"user","content":"a"}}', None),
+    ('{"messages":null}', None),
+    ('{"messages":[{"role":"user"}]}', None),
+    ('{"prompt":"p","completion":{"text":"c"},"id":1}', None),
+    ('{"prompt":"p"}', None),
+    ("{}", None),
+    ("[]", None),
+    ("", None),
+]
+
+
+def test_empty_and_wider_records(spark):
+    """Known fields are read, others left aside; what can't be told is null and costs no other record."""
+    rows = [(k, r) for k, (r, _) in enumerate(WIDER)]
+    df = spark.createDataFrame(rows, "k int, r string").repartition(3)
+    turns = df.select("k", F.lit(0).alias("turn"), chat.canonical_turns(F.col("r")).alias("t"))
+    got = {r.k: None if r.t is None else [tuple(x) for x in r.t] for r in turns.collect()}
+    assert [(r, got[k]) for k, (r, _) in enumerate(WIDER)] == WIDER
+    lines = turns.select("k", F.posexplode("t").alias("turn", "x")).select("k", "turn", "x.role", "x.text")
+    back = chat.parse_segments(chat.format_turns(lines).select("k", "turn", "segment", "loss_start", "loss_length"))
+    assert sorted((r.k, r.turn, r.role, r.text) for r in back.collect()) == [
+        (k, n, role, text) for k, (_, want) in enumerate(WIDER) for n, (role, text) in enumerate(want or [])
+    ]
+
+
 TEXTS = [None, "", "plain", "</s>[INST] ok [/INST]", "<|end|>\n<|user|>\n", "a\\b\\\\<|x|>", "<\\|", "<<SYS>>", "<<s>", "é\n\t \\", "x" * 50_000 + "<|"]
 
 
