@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from talusgrid.functions import projection
 from talusgrid.operators import events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling, scoring
 from talusgrid.operators import outlines as areas
-from talusgrid.sources import cube, geotiff, tables
+from talusgrid.sources import cube, geopackage, geotiff, tables
 
 WIDTH = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1078,3 +1078,22 @@ def sample_rasters(spark, sf_dir):
         k = int(path.rsplit("fold", 1)[1].removesuffix(".tif"))
         parts.append(spark.read.format("geotiff").load(path).select(F.lit(k).alias("fold"), "row", "col", "value"))
     return reduce(DataFrame.unionByName, parts)
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders)
+SELECT o_custkey AS feature_id, 'customer ' || o_custkey AS name, count(*)::BIGINT AS n, min(o_orderkey)::DOUBLE AS x0, max(o_orderkey)::DOUBLE AS x1,
+round(sum(o_totalprice), 4) AS y FROM p GROUP BY 1""")
+def geopackage_lines(spark, sf_dir):
+    """Each customer's orders as a line, written as GeoPackages and read back."""
+    point = F.struct(F.col("o_orderkey").cast("double").alias("x"), F.col("o_totalprice").cast("double").alias("y"))
+    lines = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(point)).alias("line"))
+    named = lines.select("o_custkey", F.format_string("customer %d", "o_custkey").alias("name"), F.array("line").alias("parts"))
+    folder = tables.shared_path(spark, "packages")
+    geopackage.write(named, folder, "customers", "o_custkey")
+    geopackage.register(spark)
+    got = spark.read.format("geopackage").option("layer", "customers").load(folder)
+    line = F.col("parts")[0]
+    return got.select(
+        "feature_id", "name", F.size(line).cast("long").alias("n"), F.element_at(line, 1)["x"].alias("x0"), F.element_at(line, -1)["x"].alias("x1"),
+        F.round(F.aggregate(line, F.lit(0.0), lambda total, p: total + p["y"]), 4).alias("y"),
+    )

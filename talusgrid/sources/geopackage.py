@@ -2,9 +2,12 @@
 
 A GeoPackage is an SQLite file. Columns are ``feature_id``, the attributes, and
 ``parts`` (``ARRAY<ARRAY<STRUCT<x, y>>>``: rings of polygons or lines, null for
-none) in place of the geometry. Partitions read disjoint ranges of ids; each
-task opens the file where it lies, or a copy of its own if that isn't a local
-disk. ``option("layer", ...)`` names a table; without it the first is read.
+none) in place of the geometry. Partitions read disjoint ranges of rows, about
+as many in each, however the ids are spread; each task opens the file where it
+lies, or a copy of its own if that isn't a local disk. ``option("layer", ...)``
+names a table; without it the first is read. A folder stands for all its
+``.gpkg`` files, which have the same columns: ``write`` makes one a partition,
+as an SQLite file has one writer.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import closing, contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .geotiff import opened
@@ -104,9 +109,22 @@ def geometry(raw: bytes | None) -> list | None:
     return _wkb(raw, 8 + BOUNDS[raw[3] >> 1 & 7])[0] or None
 
 
+def _files(path: str) -> list[str]:
+    """The path itself or, of a folder, its packages in order of name."""
+    system, inner = opened(path)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    found = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if f.base_name.endswith(".gpkg"))
+    if not found:
+        raise FileNotFoundError(f"no .gpkg file in {path}")
+    return [f"{path.rstrip('/')}/{name}" for name in found]
+
+
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    """Rows of a file from one SQLite row number to before another (None: to the end)."""
+
+    def __init__(self, path: str, low: int, high: int | None):
+        self.path, self.low, self.high = path, low, high
 
 
 class _Reader(DataSourceReader):
@@ -114,22 +132,28 @@ class _Reader(DataSourceReader):
         self.path, self.layer, self.kinds = path, layer, kinds
 
     def partitions(self) -> list[InputPartition]:
-        with _database(self.path) as db:
-            table, _, _, key = _layer(db, self.layer)
-            low, high = db.execute(f"SELECT min({_quoted(key)}), max({_quoted(key)}) FROM {_quoted(table)}").fetchone()
-        return [_Range(0, 0)] if low is None else [_Range(k, min(k + EACH, high + 1)) for k in range(low, high + 1, EACH)]
+        return [part for path in _files(self.path) for part in self._ranges(path)]
+
+    def _ranges(self, path: str) -> Iterator[_Range]:
+        with _database(path) as db:
+            table = _quoted(_layer(db, self.layer)[0])
+            first = db.execute(f"SELECT min(rowid) FROM {table}").fetchone()[0]
+            low = 0 if first is None else first
+            while low is not None:  # steps over the rows that are there, not over the numbers between them
+                after = db.execute(f"SELECT rowid FROM {table} WHERE rowid >= ? ORDER BY rowid LIMIT 1 OFFSET ?", (low, EACH)).fetchone()
+                high = after[0] if after else None
+                yield _Range(path, low, high)
+                low = high
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        with _database(self.path) as db:
+        with _database(partition.path) as db:
             table, column, attributes, key = _layer(db, self.layer)
             names = ", ".join(_quoted(n) for n in (key, *[a for a, _ in attributes], column))
-            rows = db.execute(
-                f"SELECT {names} FROM {_quoted(table)} WHERE {_quoted(key)} >= ? AND {_quoted(key)} < ? ORDER BY {_quoted(key)}",
-                (partition.low, partition.high),
-            )
-            for feature, *values, shape in rows:
-                cast = {"boolean": bool, "double": float, "long": int, "string": str}
-                yield (feature, *[v if v is None else cast.get(k, bytes)(v) for v, k in zip(values, self.kinds, strict=True)], geometry(shape))
+            end = "" if partition.high is None else f" AND rowid < {partition.high}"
+            rows = db.execute(f"SELECT {names} FROM {_quoted(table)} WHERE rowid >= ?{end} ORDER BY rowid", (partition.low,))
+            cast = {"boolean": bool, "double": float, "long": int, "string": str}
+            for *values, shape in rows:
+                yield (*[v if v is None else cast.get(k, bytes)(v) for v, k in zip(values, self.kinds, strict=True)], geometry(shape))
 
 
 class GeoPackage(DataSource):
@@ -137,17 +161,94 @@ class GeoPackage(DataSource):
     def name(cls) -> str:
         return "geopackage"
 
-    def _attributes(self) -> list[tuple[str, str]]:
-        with _database(self.options["path"]) as db:
-            return [(n, _type(t)) for n, t in _layer(db, self.options.get("layer"))[2]]
+    def _columns(self) -> list[tuple[str, str]]:
+        """``feature_id``, which is text where the key is, and the attributes."""
+        with _database(_files(self.options["path"])[0]) as db:
+            table, _, attributes, key = _layer(db, self.options.get("layer"))
+            declared = {c[1]: c[2] for c in db.execute(f"PRAGMA table_info({_quoted(table)})")}
+        return [("feature_id", _type(declared.get(key, "INTEGER"))), *[(n, _type(t)) for n, t in attributes]]
 
     def schema(self) -> str:
-        names = "".join(f"`{n}` {t}, " for n, t in self._attributes())
-        return f"feature_id long, {names}parts array<array<struct<x:double,y:double>>>"
+        names = "".join(f"`{n}` {t}, " for n, t in self._columns())
+        return f"{names}parts array<array<struct<x:double,y:double>>>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("layer"), [t for _, t in self._attributes()])
+        return _Reader(self.options["path"], self.options.get("layer"), [t for _, t in self._columns()])
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GeoPackage)
+
+
+#: Fixed values of the format: names of its column types, its mark and version, and the codes of shapes.
+TYPES = {"boolean": "BOOLEAN", "int": "INTEGER", "bigint": "INTEGER", "double": "DOUBLE", "string": "TEXT", "binary": "BLOB"}
+MARK, VERSION = 0x47504B47, 10300
+SHAPES = {"MULTILINESTRING": 5, "POLYGON": 3}
+_TABLES = """
+CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL,
+  organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
+CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '',
+  last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);
+CREATE TABLE gpkg_geometry_columns (table_name TEXT NOT NULL, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL,
+  srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL, PRIMARY KEY (table_name, column_name));
+"""
+
+
+def blob(parts: list | None, srs: int, shape: str) -> bytes | None:
+    """A geometry of lines (MULTILINESTRING) or of one outline's rings (POLYGON); null has none, no parts are empty."""
+    if parts is None:
+        return None
+    out = [b"GP\0", struct.pack("<Bi", 1 if parts else 0x11, srs), struct.pack("<BII", 1, SHAPES[shape], len(parts))]
+    for points in parts:
+        if shape == "MULTILINESTRING":
+            out.append(struct.pack("<BI", 1, 2))
+        out.append(struct.pack("<I", len(points)))
+        out.append(struct.pack(f"<{2 * len(points)}d", *[v for p in points for v in (p["x"], p["y"])]))
+    return b"".join(out)
+
+
+def write(df: DataFrame, folder: str, layer: str, key: str, srs: int = 2056, shape: str = "MULTILINESTRING", parts: str = "parts") -> DataFrame:
+    """``df`` as GeoPackages ``part-<n>.gpkg`` in ``folder``, one a partition; ``file, n_features`` of each.
+
+    ``key`` holds whole numbers, none twice in a partition; ``parts`` the
+    geometry; other columns are attributes. A task makes its file beside the
+    others under a name of its own and then renames it, so a task that runs
+    twice leaves one whole file. A partition without rows writes an empty layer.
+    Columns of other types than TYPES has, and shapes that SHAPES lacks, raise
+    ValueError.
+    """
+    names = [c for c in df.columns if c not in (key, parts)]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    unknown = [c for c in names if kinds[c] not in TYPES]
+    if unknown or shape not in SHAPES:
+        raise ValueError(f"can't be written: {', '.join(unknown) or shape}")
+    system, inner = opened(folder)
+    system.create_dir(inner, recursive=True)
+    columns = "".join(f", {_quoted(c)} {TYPES[kinds[c]]}" for c in names)
+    marks = ", ".join("?" * (len(names) + 2))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        to, inner = opened(folder)
+        name, n = f"part-{task.partitionId():05d}.gpkg", 0
+        with tempfile.NamedTemporaryFile(suffix=".gpkg") as own:
+            with closing(sqlite3.connect(own.name)) as db:
+                db.executescript(f"PRAGMA application_id = {MARK}; PRAGMA user_version = {VERSION};" + _TABLES)
+                db.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, 'undefined', NULL)", (f"EPSG:{srs}", srs, srs))
+                db.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, srs_id) VALUES (?, 'features', ?, ?)", (layer, layer, srs))
+                db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', ?, ?, 0, 0)", (layer, shape, srs))
+                db.execute(f"CREATE TABLE {_quoted(layer)} ({_quoted(key)} INTEGER PRIMARY KEY, geom {shape}{columns})")
+                for batch in batches:
+                    rows = ((r[key], blob(r[parts], srs, shape), *[r[c] for c in names]) for r in batch.to_pylist())
+                    db.executemany(f"INSERT INTO {_quoted(layer)} VALUES ({marks})", rows)
+                    n += batch.num_rows
+                db.commit()
+            draft = f"{inner}/_{name}.{task.taskAttemptId()}"
+            with open(own.name, "rb") as made, to.open_output_stream(draft) as out:
+                while block := made.read(1 << 22):
+                    out.write(block)
+            to.move(draft, f"{inner}/{name}")
+        yield pa.RecordBatch.from_pydict({"file": [name], "n_features": [n]})
+
+    written = df.mapInArrow(save, "file string, n_features long").collect()  # a row a file
+    return df.sparkSession.createDataFrame(written, "file string, n_features long")

@@ -1,8 +1,13 @@
 """Excel, GeoPackage, CSV and JSON: files written here by hand or by the standard library."""
 
+import os
 import sqlite3
 import struct
 import zipfile
+from contextlib import closing
+
+import pytest
+from pyspark.sql import functions as F
 
 from talusgrid.sources import excel, geopackage, tables
 
@@ -73,7 +78,7 @@ def test_geopackage(spark, tmp_path):
     got = {r.feature_id: r for r in df.collect()}
     assert {k: r.parts and [[tuple(p) for p in part] for part in r.parts] for k, r in got.items()} == want
     assert (got[3].name, got[7].name, got[3]["a size"], got[9].n) == ("é3", None, 1.5, 9)
-    assert df.rdd.getNumPartitions() == 3
+    assert df.rdd.getNumPartitions() == 1
     assert spark.read.format("geopackage").option("layer", "others").load(f"{tmp_path}/z.gpkg").count() == 0
 
 
@@ -98,3 +103,62 @@ def test_results_are_made_once(spark, tmp_path):
     for _ in range(2):
         assert tables.made_once(spark, f"{tmp_path}/once", make).count() == 3
     assert len(calls) == 1
+
+
+def test_geopackage_of_spread_and_of_text_keys(spark, tmp_path):
+    """Partitions follow the rows: ids far apart make no more of them, and a key may be text."""
+    far, named = f"{tmp_path}/far.gpkg", f"{tmp_path}/named.gpkg"
+    for path, key, keys in ((far, "INTEGER", [1, 10**12]), (named, "TEXT", ["b", "a"])):
+        db = sqlite3.connect(path)
+        db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES ('t', 'geom')")
+        db.execute(f"CREATE TABLE t (id {key} PRIMARY KEY, geom BLOB, n INTEGER)")
+        db.executemany("INSERT INTO t VALUES (?, NULL, ?)", [(k, n) for n, k in enumerate(keys)])
+        db.commit()
+        db.close()
+        geopackage.register(spark)
+        df = spark.read.format("geopackage").load(path)
+        assert df.rdd.getNumPartitions() == 1
+        assert sorted((r.n, r.feature_id) for r in df.collect()) == list(enumerate(keys))
+
+
+def test_geopackage_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geopackage, "EACH", 3)
+    path = f"{tmp_path}/r.gpkg"
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('t', 'geom')")
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, geom BLOB)")
+    ids = [-5, 0, 1, 7, 900, 901, 5000, 10**9, 10**15]
+    db.executemany("INSERT INTO t VALUES (?, NULL)", [(k,) for k in ids])
+    db.commit()
+    db.close()
+    reader = geopackage._Reader(path, None, ["long"])
+    parts = reader.partitions()
+    assert [(p.low, p.high) for p in parts] == [(-5, 7), (7, 5000), (5000, None)]
+    assert [r[0] for p in parts for r in reader.read(p)] == ids
+
+
+@pytest.mark.parametrize("shape", ["MULTILINESTRING", "POLYGON"])
+def test_geopackages_written_and_read(spark, tmp_path, shape):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.5, 3.25), (0.0, 0.0)]
+    rows = [(k, f"n{k}" if k % 3 else None, k / 4, k % 2 == 0, None if k == 5 else [] if k == 6 else [ring, ring[:2]][: 1 + k % 2]) for k in range(20)]
+    kind = "id long, name string, h double, ok boolean, parts array<array<struct<x:double,y:double>>>"
+    df = spark.createDataFrame(rows, kind).repartition(3, "id")
+    folder = f"{tmp_path}/out"
+    made = geopackage.write(df, folder, "zones", "id", 2056, shape)
+    assert sum(r.n_features for r in made.collect()) == 20
+    again = geopackage.write(df, folder, "zones", "id", 2056, shape)  # written over, not beside
+    assert sorted(os.listdir(folder)) == sorted(r.file for r in again.collect())
+    geopackage.register(spark)
+    got = spark.read.format("geopackage").option("layer", "zones").load(folder)
+    assert got.columns == ["feature_id", "name", "h", "ok", "parts"]
+    read = {r.feature_id: (r.name, r.h, r.ok, r.parts and [[tuple(p) for p in line] for line in r.parts]) for r in got.collect()}
+    assert read == {k: (name, h, ok, parts or None) for k, name, h, ok, parts in rows}
+    with closing(sqlite3.connect(f"{folder}/{made.first().file}")) as db:
+        assert db.execute("PRAGMA application_id").fetchone()[0] == 0x47504B47
+        assert db.execute("SELECT table_name, srs_id FROM gpkg_contents").fetchall() == [("zones", 2056)]
+    empty = geopackage.write(df.limit(0), f"{tmp_path}/none", "zones", "id")
+    assert sum(r.n_features for r in empty.collect()) == 0
+    with pytest.raises(ValueError):
+        geopackage.write(df.withColumn("h", F.array("h")), folder, "zones", "id")
