@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talusgrid.functions import geodesy
+
 from .grid import box_variance, gaussian
 
 #: Side of the cells by which rectangles and pixels meet.
@@ -117,6 +119,27 @@ def align(grid: DataFrame, source: DataFrame, value: str, target: dict[str, floa
     return grid.withColumns(at).join(src, ["s_row", "s_col"], "left").drop("s_row", "s_col")
 
 
+def warp_nearest(
+    grid: DataFrame, source: DataFrame, value: str, target: dict[str, float], origin: dict[str, float], target_crs: str, source_crs: str | None
+) -> DataFrame:
+    """``align`` between rasters of two coordinate systems: a target pixel's centre is taken back to the source's system.
+
+    One join on equal pixels; every target pixel has one row, null where the
+    source has no pixel. Systems are those of ``geodesy.transform``.
+    """
+    centres = grid.withColumns({
+        "s_x": target["x0"] + (F.col("col") + 0.5) * target["dx"], "s_y": target["y0"] - (F.col("row") + 0.5) * target["dy"],
+    })
+    if source_crs is None:
+        raise ValueError("the source has no coordinate system")
+    back = geodesy.transform(centres, "s_x", "s_y", target_crs, source_crs)
+    at = {
+        "s_row": F.floor((origin["y0"] - F.col("s_y")) / origin["dy"]).cast("int"), "s_col": F.floor((F.col("s_x") - origin["x0"]) / origin["dx"]).cast("int"),
+    }
+    src = source.select(F.col("row").alias("s_row"), F.col("col").alias("s_col"), value)
+    return back.withColumns(at).join(src, ["s_row", "s_col"], "left").drop("s_row", "s_col", "s_x", "s_y")
+
+
 def crop(df: DataFrame) -> DataFrame:
     """Rows and columns counted anew from the least that is left."""
     ends = df.agg(F.min("row").alias("_r"), F.min("col").alias("_c"))  # one row

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talusgrid.functions import projection
+from talusgrid.functions import geodesy, projection
 from talusgrid.operators import events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling, scoring
 from talusgrid.operators import outlines as areas
 from talusgrid.sources import cube, geopackage, geotiff, tables
@@ -1097,3 +1097,53 @@ def geopackage_lines(spark, sf_dir):
         "feature_id", "name", F.size(line).cast("long").alias("n"), F.element_at(line, 1)["x"].alias("x0"), F.element_at(line, -1)["x"].alias("x1"),
         F.round(F.aggregate(line, F.lit(0.0), lambda total, p: total + p["y"]), 4).alias("y"),
     )
+
+
+# rigorous coordinates -----------------------------------------------------------
+
+
+def _to_swiss_sql(table: str) -> str:
+    """``t``: the rows of ``table`` with ``e, n`` (LV95) of their ``lon, lat`` (WGS 84)."""
+    (a, ee), (a2, ee2), k = geodesy.WORLD, geodesy.BESSEL, geodesy.SWISS
+    b2 = a2 * (1 - ee2) ** 0.5
+    dx, dy, dz = geodesy.SHIFT
+    d = "::DOUBLE"
+    return f"""t1 AS (SELECT *, radians(lon) AS l0, radians(lat) AS p0, {a}{d} / sqrt(1 - {ee}{d} * pow(sin(radians(lat)), 2)) AS nn FROM {table}),
+t2 AS (SELECT *, nn * cos(p0) * cos(l0) - {dx}{d} AS u, nn * cos(p0) * sin(l0) - {dy}{d} AS v, nn * (1 - {ee}{d}) * sin(p0) - {dz}{d} AS w FROM t1),
+t3 AS (SELECT *, sqrt(u * u + v * v) AS p, atan2(w * {a2}{d}, sqrt(u * u + v * v) * {b2}{d}) AS th FROM t2),
+t4 AS (SELECT *, atan2(v, u) AS l1, atan2(w + {ee2 / (1 - ee2) * b2}{d} * pow(sin(th), 3), p - {ee2 * a2}{d} * pow(cos(th), 3)) AS p1 FROM t3),
+t5 AS (SELECT *, {k['alpha']}{d} * (l1 - {geodesy.LAMBDA0}{d}) AS l, 2 * atan(exp({k['alpha']}{d} * (ln(tan(pi() / 4 + p1 / 2))
+  - {k['e'] / 2}{d} * ln((1 + {k['e']}{d} * sin(p1)) / (1 - {k['e']}{d} * sin(p1)))) + {k['k']}{d})) - pi() / 2 AS b FROM t4),
+t6 AS (SELECT *, atan2(sin(l), sin({k['b0']}{d}) * tan(b) + cos({k['b0']}{d}) * cos(l)) AS ll, cos({k['b0']}{d}) * sin(b) - sin({k['b0']}{d}) * cos(b) * cos(l) AS hh FROM t5),
+t AS (SELECT *, {k['r']}{d} * ll + 2600000 AS e, {k['r'] / 2}{d} * ln((1 + hh) / (1 - hh)) + 1200000 AS n FROM t6)"""
+
+
+@query(f"""WITH q AS (SELECT s_suppkey, 6 + s_suppkey * 7919 % 4200 / 1000::DOUBLE AS lon, 45.9::DOUBLE + s_suppkey * 104729 % 1800 / 1000::DOUBLE AS lat FROM supplier),
+{_to_swiss_sql('q')} SELECT s_suppkey, round(e, 3) AS e, round(n, 3) AS n, round(e - 2000000, 3) AS e03, round(n - 1000000, 3) AS n03, true AS same FROM t""")
+def reproject_exact(spark, sf_dir):
+    """Degrees to both Swiss grids; ``same`` is whether the way over a UTM zone ends within a tenth of a millimetre."""
+    places = read(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey", "6 + s_suppkey * 7919 % 4200 / double(1000) AS e", "double(45.9) + s_suppkey * 104729 % 1800 / double(1000) AS n"
+    )
+    copies = {f"{c}{k}": F.col(c) for k in ("03", "_utm") for c in ("e", "n")}
+    new = geodesy.transform(places.withColumns(copies), "e", "n", projection.WGS84, projection.LV95)
+    old = geodesy.transform(new, "e03", "n03", projection.WGS84, projection.LV03)
+    utm = geodesy.transform(old, "e_utm", "n_utm", projection.WGS84, "EPSG:32632")
+    back = geodesy.transform(utm, "e_utm", "n_utm", "EPSG:32632", projection.LV95)
+    same = F.greatest(F.abs(F.col("e") - F.col("e_utm")), F.abs(F.col("n") - F.col("n_utm"))) < 1e-4
+    return back.select("s_suppkey", *[F.round(c, 3).alias(c) for c in ("e", "n", "e03", "n03")], same.alias("same"))
+
+
+#: A raster in degrees, turned and wider than the source in LV95, whose rows and columns it looks up.
+_DEGREES = {"x0": 7.438, "y0": 46.952, "dx": 0.00009, "dy": 0.0000625}
+_METRES = {"x0": 2_600_000.0, "y0": 1_200_000.0, "dx": 10.0, "dy": 8.0}
+
+
+@query(f"""WITH {GRID}, q AS (SELECT "row", col, {_DEGREES['x0']}::DOUBLE + (col + 0.5) * {_DEGREES['dx']}::DOUBLE AS lon,
+{_DEGREES['y0']}::DOUBLE - ("row" + 0.5) * {_DEGREES['dy']}::DOUBLE AS lat FROM g), {_to_swiss_sql('q')},
+c AS (SELECT "row", col, floor((1200000 - n) / 8)::INT AS sr, floor((e - 2600000) / 10)::INT AS sc FROM t)
+SELECT c."row", c.col, g.z FROM c LEFT JOIN g ON g."row" = sr AND g.col = sc""")
+def warp_nearest(spark, sf_dir):
+    """The raster, in metres, resampled to a grid of degrees."""
+    pixels = lift(spark, sf_dir).select("row", "col", "z")
+    return raster.warp_nearest(pixels.select("row", "col"), pixels, "z", _DEGREES, _METRES, projection.WGS84, projection.LV95)
