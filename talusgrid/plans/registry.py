@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talusgrid.functions import geodesy, projection
-from talusgrid.operators import events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling, scoring
+from talusgrid.operators import constraints, events, features, grid, model, neighbourhood, polygons, ranking, raster, sampling, scoring
 from talusgrid.operators import outlines as areas
 from talusgrid.sources import cube, geopackage, geotiff, tables
 
@@ -1147,3 +1147,28 @@ def warp_nearest(spark, sf_dir):
     """The raster, in metres, resampled to a grid of degrees."""
     pixels = lift(spark, sf_dir).select("row", "col", "z")
     return raster.warp_nearest(pixels.select("row", "col"), pixels, "z", _DEGREES, _METRES, projection.WGS84, projection.LV95)
+
+
+# constraints ----------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, l_suppkey % 3 AS shape, CASE WHEN l_quantity < 3 THEN NULL ELSE l_suppkey END AS supplier,
+  l_linenumber % 6 <> 5 AS list, l_partkey % 10 <> 7 AS line FROM lineitem),
+u AS (SELECT l_partkey, count(*) AS n, min(id) AS o, min(shape) <> max(shape) AS more FROM r GROUP BY 1),
+i AS (SELECT id, count(*) AS n FROM r GROUP BY 1)
+SELECT 'supplier' AS rule, count(*) FILTER (supplier IS NULL)::BIGINT AS n_rows, min(id) FILTER (supplier IS NULL) AS first_row FROM r
+UNION ALL SELECT 'list', count(*) FILTER (NOT list)::BIGINT, min(id) FILTER (NOT list) FROM r
+UNION ALL SELECT 'line', count(*) FILTER (NOT line)::BIGINT, min(id) FILTER (NOT line) FROM r
+UNION ALL SELECT 'unique id', coalesce(sum(n) FILTER (n > 1), 0)::BIGINT, min(id) FILTER (n > 1) FROM i
+UNION ALL SELECT 'unique l_partkey', coalesce(sum(n) FILTER (n > 1), 0)::BIGINT, min(o) FILTER (n > 1) FROM u
+UNION ALL SELECT 'one shape l_partkey', coalesce(sum(n) FILTER (more), 0)::BIGINT, min(o) FILTER (more) FROM u""")
+def constraint_report(spark, sf_dir):
+    """Missing values, broken lists and lines, repeated keys and keys of several shapes."""
+    line = "transform(sequence(0, IF(l_partkey % 10 = 7, 0, 2)), k -> struct(double(k) AS x, double(k * (l_suppkey % 3 + 1)) AS y))"
+    rows = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS id", "l_partkey", "CASE WHEN l_quantity >= 3 THEN l_suppkey END AS supplier",
+        "CASE WHEN l_linenumber % 6 <> 5 THEN concat('[', l_suppkey, ']') ELSE concat('[', l_suppkey) END AS events", f"array({line}) AS parts",
+        f"array(IF(l_partkey % 10 = 7, array(struct(0D AS x, double(l_suppkey % 3) AS y), struct(1D AS x, 1D AS y)), {line})) AS shape",
+    )
+    rules = {"supplier": constraints.present("supplier"), "list": constraints.json_list("events"), "line": constraints.lines("parts")}
+    return constraints.violations(rows, rules, "id", ("id", "l_partkey"), {"l_partkey": "shape"})
