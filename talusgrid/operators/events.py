@@ -33,11 +33,12 @@ def hash_uuid(digest: Column) -> Column:
     return F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
-def merge_duplicates(df: DataFrame, key: str, events: str, order: str) -> DataFrame:
+def merge_duplicates(df: DataFrame, key: str, events: str, order: str, *more: Column) -> DataFrame:
     """One row for each key: lists end to end in row order without repeats.
 
     ``identical`` says whether all rows of the key had the same set of events.
-    Lists of one key are gathered: a geometry's rows are few by nature.
+    ``more`` are further aggregates of the key's rows. Lists of one key are
+    gathered: a geometry's rows are few by nature.
     """
     whole = F.array_sort(F.array_distinct(F.col(events)))
     rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(events).alias("e"))))
@@ -45,6 +46,7 @@ def merge_duplicates(df: DataFrame, key: str, events: str, order: str) -> DataFr
         F.array_distinct(F.flatten(F.transform(rows, lambda r: r["e"]))).alias(events),
         F.count("*").alias("n_rows"),
         (F.min(whole) == F.max(whole)).alias("identical"),
+        *more,
     )
 
 
@@ -91,13 +93,12 @@ def preprocess_geometries(df: DataFrame, columns: list[str], parts: str, order:
     missing = F.coalesce(F.size(parts), F.lit(0)) <= 0
     uuid = F.when(missing, F.raise_error(F.format_string("row %s has no geometry", order))).otherwise(geometry_uuid(F.col(parts)))
     rows = df.select(uuid.alias("geom_uuid"), checked_events(*columns).alias("events"), F.col(parts).alias("_parts"), F.col(order).alias("_order"))
-    merged = merge_duplicates(rows, "geom_uuid", "events", "_order")
     shape = canonical_line(F.col("_parts"))
-    first = rows.groupBy("geom_uuid").agg(
-        F.min_by("_parts", "_order").alias("geometry"), (F.min(shape) == F.max(shape)).alias("_one")
+    merged = merge_duplicates(
+        rows, "geom_uuid", "events", "_order", F.min_by("_parts", "_order").alias("geometry"), (F.min(shape) == F.max(shape)).alias("_one")
     )
     clash = F.raise_error(F.format_string("%s stands for two geometries", "geom_uuid"))
-    return merged.join(first, "geom_uuid").select(
+    return merged.select(
         "geom_uuid", "events", F.when(F.col("_one"), F.col("geometry")).otherwise(clash).alias("geometry"), "n_rows"
     )
 
