@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Boosting
-from .ranking import curve_metrics, mean_rank_percentile, mean_std, success_rate_curve
+from .ranking import curve, curve_metrics, mean_std, rank_percentile, ranked
 from .raster import inside
 from .sampling import valid
 
@@ -237,10 +237,9 @@ def cross_validate(
 
 
 def cv_metrics(scored: DataFrame, tie: str, label: str = "label", fold: str = "fold") -> DataFrame:
-    """Area under the gain curve, top gains and mean rank percentile of each fold."""
-    rows = scored.select(fold, "score", F.col(label).cast("boolean").alias("_y"), tie)
-    curve = curve_metrics(success_rate_curve(rows, "score", "_y", tie, fold), fold)
-    return curve.join(mean_rank_percentile(rows, "score", "_y", tie, fold), fold)
+    """Area under the gain curve, top gains and mean rank percentile of each fold, ranked once."""
+    ranks = ranked(scored.select(fold, "score", F.col(label).cast("boolean").alias("_y"), tie), "score", "_y", tie, fold)
+    return curve_metrics(curve(ranks, fold), fold).join(rank_percentile(ranks, fold), fold)
 
 
 def cv_summary(metrics: DataFrame) -> DataFrame:

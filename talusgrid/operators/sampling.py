@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
 from .grid import core, line, tiles
 
 
@@ -15,37 +18,40 @@ def fold_sample(df: DataFrame, ratio: float, buffer: int, seed: int, label: str
     are out. Of the others, ``int(positives * ratio * 1.2)`` are taken, or all
     if there are fewer, in the order of an md5 of seed, fold and place. Fold 0
     and pixels without a fold are never sampled; a fold without positives gives
-    no rows. The grid must be dense.
+    no rows. The grid must be dense. Runs at once, up to the pool of pixels.
     """
     seen = F.collect_set(F.when(F.col(label), F.col("fold"))).over(line("col").rowsBetween(-buffer, buffer))
     around = F.flatten(F.collect_list("_seen").over(line("row").rowsBetween(-buffer, buffer)))
     cut = tiles(df.select("row", "col", "fold", label), buffer).withColumn("_seen", seen)
     marked = core(cut.withColumn("_near", F.array_contains(around, F.col("fold"))))
     pool = marked.where((F.col("fold") > 0) & (F.col(label) | ~F.col("_near")))
-    key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("fold")).cast("string"), F.col("row").cast("string"), F.col("col").cast("string")))
-    wanted = pool.where(F.col(label)).groupBy("fold").agg(F.floor(F.count("*") * F.lit(ratio) * F.lit(1.2)).alias("_k"))
-    drawn = _first(pool.where(~F.col(label)).select("fold", "row", "col", key.alias("_key")), wanted)
-    return (
-        pool.where(F.col(label)).select("fold", "row", "col", F.lit(1).alias("label"))
-        .unionByName(drawn.select("fold", "row", "col", F.lit(0).alias("label")))
-    )
+    return _drawn(pool.select("fold", "row", "col", F.col(label).cast("int").alias("label")), lambda n: F.floor(n * F.lit(ratio) * F.lit(1.2)), seed)[0]
 
 
-def _first(pool: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The first ``_k`` rows of each fold of ``pool``, or all, by ``_key`` (hexadecimal), row and col.
+def _drawn(pool: DataFrame, wanted: Callable[[Column], Column], seed: int) -> tuple[DataFrame, int]:
+    """Rows of ``pool`` with label 1, of the others the first ``wanted`` of a fold's positives; and the number of folds with positives.
 
-    Counts by the key's first digits tell where a fold's last row lies, so only
-    the rows of that one part of 65536 are put in order.
+    The pool is written once. One aggregate by fold and the first four digits
+    of the md5 of seed, fold and place tells for all folds in which of these
+    65536 parts the last row lies, so a filter takes the parts before it and
+    only the rows of that part are put in order. A row a fold comes to the driver.
     """
-    parted = pool.withColumn("_part", F.substring("_key", 1, 4)).join(wanted, "fold")
-    along = Window.partitionBy("fold").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parted.groupBy("fold", "_part").agg(F.count("*").alias("_n"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).join(wanted, "fold").where("_before < _k")
-    taken = parted.drop("_k").join(sums, ["fold", "_part"])
-    whole = taken.where("_before + _n <= _k")
-    order = Window.partitionBy("fold", "_part").orderBy("_key", "row", "col")
-    border = taken.where("_before + _n > _k").withColumn("_i", F.row_number().over(order)).where("_before + _i <= _k")
-    return whole.select(*pool.columns).unionByName(border.select(*pool.columns))
+    key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("fold")).cast("string"), F.col("row").cast("string"), F.col("col").cast("string")))
+    rows = kept(pool.withColumn("_part", F.substring(key, 1, 4)), "pool")
+    whole = Window.partitionBy("fold")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("fold", "_part").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_n"))
+    placed = counts.select("fold", "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_p").over(whole).alias("_p"))
+    over = F.col("_before") + F.col("_n") > wanted(F.col("_p"))
+    ends = placed.where("_p > 0").groupBy("fold").agg(
+        F.min(F.when(over, F.col("_part"))).alias("_end"), F.max(F.when(over, wanted(F.col("_p")) - F.col("_before"))).alias("_left")
+    )
+    found = ends.collect()
+    marked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, ends.schema)), "fold")
+    taken = marked.where("label = 1 OR label = 0 AND (_end IS NULL OR _part < _end)")
+    order = Window.partitionBy("fold").orderBy(key, "row", "col")
+    last = marked.where("label = 0 AND _part = _end").withColumn("_i", F.row_number().over(order)).where("_i <= _left")
+    return taken.select(*pool.columns).unionByName(last.select(*pool.columns)), len(found)
 
 
 def gather(samples: DataFrame, pixels: DataFrame, features: list[str]) -> DataFrame:
@@ -57,19 +63,19 @@ def trim(samples: DataFrame, features: list[str], ratio: float, seed: int) -> Da
     """Samples whose features are all finite: all positives, and ``int(positives * ratio)`` others of a fold.
 
     The others are the first by an md5 of seed, fold and place, all if there
-    are fewer; a fold without valid positives gives no rows.
+    are fewer; a fold without valid positives gives no rows. Runs at once.
     """
-    good = valid(samples, features)
-    key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("fold")).cast("string"), F.col("row").cast("string"), F.col("col").cast("string")))
-    wanted = good.where("label = 1").groupBy("fold").agg(F.floor(F.count("*") * F.lit(ratio)).alias("_k"))
-    drawn = _first(good.where("label = 0").withColumn("_key", key), wanted).drop("_key")
-    return good.where("label = 1").unionByName(drawn)
+    return _trimmed(samples, features, ratio, seed)[0]
+
+
+def _trimmed(samples: DataFrame, features: list[str], ratio: float, seed: int) -> tuple[DataFrame, int]:
+    return _drawn(valid(samples, features), lambda n: F.floor(n * F.lit(ratio)), seed)
 
 
 def training_table(samples: DataFrame, pixels: DataFrame, features: list[str], ratio: float, seed: int) -> DataFrame:
     """``gather`` and ``trim``; raises ValueError if nothing is left."""
-    made = trim(gather(samples, pixels, features), features, ratio, seed)
-    if made.isEmpty():
+    made, folds = _trimmed(gather(samples, pixels, features), features, ratio, seed)
+    if not folds:
         raise ValueError("no samples are left")
     return made
 
