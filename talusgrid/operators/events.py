@@ -149,3 +149,21 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     n = df.groupBy(column).agg(F.count("*").alias("n"))
     every = n.agg(F.sum("n").alias("_every"))  # one row
     return n.crossJoin(F.broadcast(every)).select(column, "n", (F.col("n") * 100.0 / F.col("_every")).alias("pct"))
+
+
+def distinct_counts(df: DataFrame, columns: list[str], lists: list[str] = ()) -> DataFrame:
+    """``column, n_distinct``: different values of each column, and different entries of each list; null doesn't count.
+
+    Rows are taken apart into (column, value as text) and made distinct by two
+    shuffled aggregates, so no task holds the values of a whole column. Columns
+    must be of types whose texts tell their values apart.
+    """
+
+    def cells(c: str, entries: Column) -> Column:
+        return F.transform(entries, lambda x: F.struct(F.lit(c).alias("column"), x.cast("string").alias("value")))
+
+    every = [cells(c, F.array(c)) for c in columns] + [F.coalesce(cells(c, F.col(c)), F.array()) for c in lists]
+    names = df.sparkSession.createDataFrame([(c,) for c in (*columns, *lists)], "column string")
+    found = df.select(F.explode(F.concat(*every)).alias("_x")).select("_x.*").where("value IS NOT NULL").distinct()
+    counted = found.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    return names.join(F.broadcast(counted), "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))

@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
 from .boosting import Boosted, Boosting
 from .ranking import curve, curve_metrics, mean_std, rank_percentile, ranked
 from .raster import inside
@@ -108,8 +109,8 @@ class Fitted:
             out = m.transform(out).withColumn(f"_p{k}", vector_to_array("probability")[1])
             out = out.drop("rawPrediction", "probability", "prediction")
         mean = sum((F.col(f"_p{k}") for k in range(len(self.models))), F.lit(0.0)) / F.lit(len(self.models) * self.share)
-        kept = [F.col(f"_own.{c}").alias(c) if c in self.features else F.col(c) for c in df.columns]
-        scored = out.select(*kept, F.least(mean, F.lit(1.0)).alias("score"))
+        columns = [F.col(f"_own.{c}").alias(c) if c in self.features else F.col(c) for c in df.columns]
+        scored = out.select(*columns, F.least(mean, F.lit(1.0)).alias("score"))
         # what can't be scored stays, unscored
         rest = df.where(~_finite(self.features)).withColumn("score", F.lit(None).cast("double"))
         return scored.unionByName(rest)
@@ -216,20 +217,33 @@ def load(spark: SparkSession, path: str) -> Fitted:
     return Fitted([r["feature"] for r in rows], {r["feature"]: (r["mean"], r["deviation"]) for r in rows}, models, config["share"])
 
 
+def folds_of(df: DataFrame, fold: str = "fold") -> list:
+    """The folds there are, in order; null is none. They come to the driver, as each gets a model of its own."""
+    return [r[fold] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).collect()]
+
+
+def split(df: DataFrame, k, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """Rows of the other folds and rows of fold ``k``; rows without a fold are in neither."""
+    return df.where(F.col(fold) != F.lit(k)), df.where(F.col(fold) == F.lit(k))
+
+
 def cross_validate(
     df: DataFrame, features: list[str], config: Config = Config(), label: str = "label", fold: str = "fold"  # noqa: B008
 ) -> tuple[DataFrame, DataFrame]:
     """Each fold's rows with the ``score`` of a model of the other folds, and ``fold, feature, importance``.
 
-    The scaler learns from the other folds, too. Without a row, ValueError.
+    The scaler learns from the other folds, too. Without a row of a fold,
+    ValueError. The rows are written once, as each fold reads them again.
     """
-    folds = [r[fold] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    df = kept(df, "folds")
+    folds = folds_of(df, fold)
     if not folds:
         raise ValueError("no rows to validate on")
     scored, weights = None, []
     for f in folds:
-        model = fit(df.where(F.col(fold) != f), features, config, label)
-        part = model.score(df.where(F.col(fold) == f))
+        train, test = split(df, f, fold)
+        model = fit(train, features, config, label)
+        part = model.score(test)
         scored = part if scored is None else scored.unionByName(part)
         weights += [(f, c, w) for c, w in model.importances()]
     kind = df.schema[fold].dataType.simpleString()

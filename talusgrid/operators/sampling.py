@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import kept
-from .grid import core, line, tiles
+from .neighbourhood import Tile, by_tile, side_for
 
 
 def fold_sample(df: DataFrame, ratio: float, buffer: int, seed: int, label: str = "label") -> DataFrame:
@@ -17,15 +19,32 @@ def fold_sample(df: DataFrame, ratio: float, buffer: int, seed: int, label: str
     Unlabeled pixels within ``buffer`` steps of a positive of their own fold
     are out. Of the others, ``int(positives * ratio * 1.2)`` are taken, or all
     if there are fewer, in the order of an md5 of seed, fold and place. Fold 0
-    and pixels without a fold are never sampled; a fold without positives gives
-    no rows. The grid must be dense. Runs at once, up to the pool of pixels.
+    and pixels without a fold or label are never sampled; a fold without
+    positives gives no rows. Runs at once, up to the pool of pixels.
+
+    Only pixels of a fold are shuffled, once, into tiles with a margin; a
+    tile's positives are counted in every pixel's box by sums from a corner.
     """
-    seen = F.collect_set(F.when(F.col(label), F.col("fold"))).over(line("col").rowsBetween(-buffer, buffer))
-    around = F.flatten(F.collect_list("_seen").over(line("row").rowsBetween(-buffer, buffer)))
-    cut = tiles(df.select("row", "col", "fold", label), buffer).withColumn("_seen", seen)
-    marked = core(cut.withColumn("_near", F.array_contains(around, F.col("fold"))))
-    pool = marked.where((F.col("fold") > 0) & (F.col(label) | ~F.col("_near")))
-    return _drawn(pool.select("fold", "row", "col", F.col(label).cast("int").alias("label")), lambda n: F.floor(n * F.lit(ratio) * F.lit(1.2)), seed)[0]
+    side = side_for(buffer)
+
+    def free(keys: tuple, rows: pa.Table) -> pa.Table:
+        tile = Tile(keys, rows, buffer, side)
+        fold, positive = rows["fold"].to_numpy(), rows["label"].to_numpy() == 1
+        kept_, edge = tile.own.copy(), side + 2 * buffer + 1
+        for f in np.unique(fold[positive]):
+            here = positive & (fold == f)
+            sums = np.zeros((edge, edge), np.int32)
+            sums[tile.row[here] - tile.r0 + buffer + 1, tile.col[here] - tile.c0 + buffer + 1] = 1
+            sums = sums.cumsum(0).cumsum(1)
+            asked = np.flatnonzero(tile.own & ~positive & (fold == f))
+            r, c, w = tile.row[asked] - tile.r0, tile.col[asked] - tile.c0, 2 * buffer + 1
+            kept_[asked] = sums[r + w, c + w] - sums[r, c + w] - sums[r + w, c] + sums[r, c] == 0
+        return rows.select(["fold", "row", "col", "label"]).filter(pa.array(kept_))
+
+    known = df.where((F.col("fold") > 0) & F.col(label).isNotNull()).select("fold", "row", "col", F.col(label).cast("int").alias("label"))
+    schema = ", ".join(f"{c} {known.schema[c].dataType.simpleString()}" for c in known.columns)
+    pool = by_tile(known, buffer, side).groupBy("_tr", "_tc").applyInArrow(free, schema)
+    return _drawn(pool, lambda n: F.floor(n * F.lit(ratio) * F.lit(1.2)), seed)[0]
 
 
 def _drawn(pool: DataFrame, wanted: Callable[[Column], Column], seed: int) -> tuple[DataFrame, int]:

@@ -222,6 +222,19 @@ def value_counts_pct(spark, sf_dir):
     return got.withColumn("pct", F.round("pct", 6))
 
 
+@query("""SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey)::BIGINT AS n_distinct FROM orders
+UNION ALL SELECT 'customer', count(DISTINCT CASE WHEN o_custkey % 7 > 0 THEN o_custkey END) FROM orders
+UNION ALL SELECT 'nothing', 0
+UNION ALL SELECT 'keys', count(DISTINCT k) FROM (SELECT o_custkey % 50 AS k FROM orders UNION ALL SELECT o_orderkey % 300 FROM orders WHERE o_orderkey % 3 = 0)""")
+def distinct_counts(spark, sf_dir):
+    customer, key = F.col("o_custkey"), F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(customer % 7 > 0, customer).alias("customer"), F.lit(None).cast("string").alias("nothing"),
+        F.array(customer % 50, F.when(key % 3 == 0, key % 300)).alias("keys"),
+    )
+    return events.distinct_counts(rows, ["o_orderkey", "customer", "nothing"], ["keys"])
+
+
 # rasters --------------------------------------------------------------------
 
 
@@ -974,6 +987,19 @@ def pu_bagging_cv(spark, sf_dir):
     return got.select("o_orderkey", "fold", "label", "score")
 
 
+@query("""SELECT k, part, count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys FROM (
+SELECT k, CASE WHEN o_custkey % 5 = k THEN 'test' ELSE 'train' END AS part, o_orderkey
+FROM orders, (SELECT DISTINCT o_custkey % 5 AS k FROM orders WHERE o_custkey % 11 > 0) WHERE o_custkey % 11 > 0) GROUP BY 1, 2""")
+def fold_split(spark, sf_dir):
+    custkey = F.col("o_custkey")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(custkey % 11 > 0, custkey % 5).alias("fold"))
+    parts = [
+        part.select(F.lit(k).cast("long").alias("k"), F.lit(name).alias("part"), "o_orderkey")
+        for k in model.folds_of(rows) for name, part in zip(("train", "test"), model.split(rows, k), strict=True)
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("k", "part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 # boosted trees, scored tiles and sample rasters -------------------------------
 
 _BOOSTED = model.Config(
