@@ -1,4 +1,4 @@
-"""Risk maps scored band by band, with counters of each tile and a manifest from which a stopped run goes on."""
+"""Risk maps scored by bands, with counters of each tile and a manifest from which a stopped run goes on."""
 
 from __future__ import annotations
 
@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from talusgrid.sources import geotiff, tables
 
 
+#: The jobs of one call of ``score_tiles`` at most, so that small tiles don't make as many jobs as bands.
+JOBS = 16
+
+
 def score_tiles(
     pixels: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, side: int = 2048, tile_rows: int = 1, most: int | None = None
 ) -> DataFrame:
     """``pixels`` scored by ``score`` (``row, col, risk`` of some rows) below ``path``; the manifest so far.
 
-    A band is ``tile_rows`` rows of tiles of ``side`` pixels: one condition on
-    ``row``, which reaches the source, and one Spark job. Its scores are
-    written before its part of the manifest, and a band counts as done by the
-    latter alone; so a run that was stopped anywhere, and called again, scores
-    what is missing and nothing twice. At most ``most`` bands are scored in this
-    call. A table scored with another ``side`` or ``tile_rows`` raises
-    ValueError. No pixels make an empty manifest.
+    A band is ``tile_rows`` rows of tiles of ``side`` pixels. Bands are scored
+    one by one, or in ``JOBS`` runs of neighbours if there are more: one
+    condition on ``row``, which reaches the source, and one Spark job. A run's
+    scores are written before its part of the manifest, and its bands count as
+    done by the latter alone; so a call that was stopped anywhere, and made
+    again, scores what is missing and nothing that was done. At most ``most``
+    bands are scored in this call. A table scored with another ``side`` or
+    ``tile_rows`` raises ValueError. No pixels make an empty manifest.
     """
     if side < 1 or tile_rows < 1:
         raise ValueError("side and tile_rows have to be at least 1")
@@ -33,16 +38,28 @@ def score_tiles(
     done = {r[0] for r in manifest(spark, path).select("band").distinct().collect()}  # bands, not tiles
     ends = pixels.agg(F.min("row"), F.max("row")).first()
     bands = [] if ends[0] is None else [b for b in range(ends[0] // high, ends[1] // high + 1) if b not in done]
-    for band in bands[:most]:
-        part = pixels.where((F.col("row") >= band * high) & (F.col("row") < (band + 1) * high))
+    for first, last in _runs(bands[:most]):
+        part = pixels.where((F.col("row") >= first * high) & (F.col("row") < (last + 1) * high))
         scored = part.select("row", "col").join(score(part).select("row", "col", "risk"), ["row", "col"], "left")
-        out = f"{path}/scores/band={band}"
-        scored.write.mode("overwrite").parquet(out)
-        counted = counters(spark.read.schema(scored.schema).parquet(out), side)
-        counted.write.mode("overwrite").parquet(f"{path}/manifest/band={band}")
+        name = f"band={first}" if first == last else f"bands={first}..{last}"
+        scored.write.mode("overwrite").parquet(f"{path}/scores/{name}")
+        counted = counters(spark.read.schema(scored.schema).parquet(f"{path}/scores/{name}"), side)
+        counted.write.mode("overwrite").parquet(f"{path}/manifest/{name}")
     return manifest(spark, path)
 
 
+def _runs(bands: list[int]) -> list[tuple[int, int]]:
+    """First and last of runs of neighbours that hold all ``bands``, each at most a ``JOBS``-th of them."""
+    size = -(-len(bands) // JOBS)
+    runs: list[tuple[int, int]] = []
+    for b in bands:
+        if runs and b == runs[-1][1] + 1 and b - runs[-1][0] < size:
+            runs[-1] = (runs[-1][0], b)
+        else:
+            runs.append((b, b))
+    return runs
+
+
 _COUNTERS = "tile_row int, tile_col int, n_pixels long, n_scored long, risk_min double, risk_max double, risk_sum double"
 
 
@@ -59,22 +76,23 @@ def _bands(spark: SparkSession, path: str, kind: str, columns: str) -> DataFrame
     """The parts below ``path`` whose writing ended."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")
     ended = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(
-        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/band=*/_SUCCESS")
+        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/band*/_SUCCESS")
     )
     names = [s.getPath().getParent().getName() for s in ended or []]
     if not names:
-        return spark.createDataFrame([], columns + ", band int")
-    return spark.read.schema(columns + ", band int").option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/{n}" for n in names])
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(columns).parquet(*[f"{path}/{kind}/{n}" for n in names])
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``band`` and the counters of every tile that was scored."""
-    return _bands(spark, path, "manifest", _COUNTERS)
+    """The counters of every tile that was scored, and its ``band``."""
+    tile_rows = spark.read.schema("side int, tile_rows int").parquet(f"{path}/plan").first()["tile_rows"]
+    return _bands(spark, path, "manifest", _COUNTERS).withColumn("band", F.floor(F.col("tile_row") / tile_rows).cast("int"))
 
 
 def scores(spark: SparkSession, path: str) -> DataFrame:
     """``row, col, risk`` of every band that the manifest holds; what a stopped run left half done isn't read."""
-    return _bands(spark, path, "scores", "row int, col int, risk double").drop("band")
+    return _bands(spark, path, "scores", "row int, col int, risk double")
 
 
 def summary(counted: DataFrame) -> DataFrame:

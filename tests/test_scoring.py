@@ -46,6 +46,27 @@ def test_a_stopped_run_goes_on(pixels, tmp_path):
         scoring.score_tiles(pixels, score, path, 16, 2)
 
 
+def test_many_bands_take_few_jobs(pixels, tmp_path):
+    """Bands of one row: the calls of ``score`` don't grow with them, and a stop in a run leaves none of it."""
+    spark, calls, path = pixels.sparkSession, [], str(tmp_path / "many")
+
+    def score(part, fails=-1):
+        calls.append({r.row for r in part.select("row").distinct().collect()})
+        risk = F.when(F.col("row") != fails, F.col("z")).otherwise(F.raise_error(F.lit("lost")))
+        return part.select("row", "col", risk.alias("risk"))
+
+    assert scoring.score_tiles(pixels, score, path, 1, most=1).select("band").distinct().count() == 1
+    with pytest.raises(Exception, match="lost"):
+        scoring.score_tiles(pixels, lambda part: score(part, 20), path, 1)
+    kept = {r.band for r in scoring.manifest(spark, path).select("band").distinct().collect()}
+    assert kept == set(range(max(kept) + 1)) and max(kept) < 20
+    begun = len(calls)
+    found = scoring.score_tiles(pixels, score, path, 1)
+    assert len(calls) - begun <= scoring.JOBS and set().union(*calls[begun:]) == set(range(40)) - kept
+    assert sorted((r.band, r.tile_row, r.tile_col) for r in found.collect()) == [(r, r, c) for r in range(40) for c in range(12)]
+    assert {(r.row, r.col): r.risk for r in scoring.scores(spark, path).collect()} == {(r.row, r.col): r.z for r in pixels.collect()}
+
+
 def test_no_pixels(pixels, tmp_path):
     none = scoring.score_tiles(pixels.limit(0), lambda p: p.select("row", "col", F.col("z").alias("risk")), str(tmp_path / "e"))
     assert none.count() == 0
