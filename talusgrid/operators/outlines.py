@@ -1,13 +1,19 @@
 """Valid and canonical polygons, and unions of them, with DataFrame functions only.
 
 A shape is an id and its rings, as in ``polygons``; inside means an odd number of
-crossings, so rings may cross themselves and each other. Edges are split where
-they meet, pieces that have the inside on one side only are kept, turned so that
-it lies on their left, and traced into rings. Edges meet by cells, pieces find
-what lies above them by strips, and rings are traced by doubling: each round
-joins every piece with the one twice as far on, so a ring of n edges takes
-log2 n rounds and no task ever holds more than a vertex' or an edge's own rows.
-Only the finished ring is gathered, as one value of its row.
+crossings, so rings may cross themselves and each other. Shapes drawn alike are
+worked on once. Edges are split where they meet, pieces that have the inside on
+one side only are kept, turned so that it lies on their left, and traced into
+rings. Edges meet by cells, pieces are held against the shapes with an edge in
+their cell, by strips, and rings are traced by doubling: each round joins every
+piece with the one twice as far on, so a ring of n edges takes log2 n rounds and
+no task ever holds more than a vertex' or an edge's own rows. Only the finished
+ring is gathered, as one value of its row. In unions, cells that lie within one
+of the shapes are left out, so deep overlaps aren't split against each other.
+
+Tables of the steps are deleted once the next one is written. Joins are by
+sorting, as a broadcast in each step would send what grows with the input to the
+driver.
 """
 
 from __future__ import annotations
@@ -15,26 +21,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talusgrid.sources import tables
 from talusgrid.sources.tables import kept
 
 from .events import hash_uuid
-from .polygons import edges
+from .polygons import centres, edges
 
 #: Decimals of coordinates; what is closer than the last one is the same place.
 DIGITS = 6
-#: Side of the cells by which edges meet, and width of strips, in the shapes' units.
+#: Side of the cells by which the edges of one shape meet, and width of strips, in the shapes' units.
 CELL = 64.0
+#: Cells of the bounds of a shape, at most, that is looked through for cells within it.
+TILES = 4096
+#: Shapes that one task cuts into edges.
+SHARE = 2000
 
 ENDS = ["x1", "y1", "x2", "y2"]
-PIECE = ["_g", *ENDS]
+TILE = ["_g", "_cx", "_cy"]
 
 
 def _steps(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long")))
 
 
-def _meetings(sides: DataFrame, digits: int, cell: float) -> DataFrame:
-    """``_id, x, y``: where each edge meets another of its group other than by crossing over both's ends."""
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
+def _placed(sides: DataFrame, digits: int, cell: float) -> DataFrame:
+    """``sides`` once for each cell that they may touch."""
     near = 10.0**-digits
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     n = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / cell), F.lit(1)).cast("int")
@@ -44,9 +59,26 @@ def _meetings(sides: DataFrame, digits: int, cell: float) -> DataFrame:
         (F.least(at(low, d, 0), at(low, d, 1)) - near) / cell, (F.greatest(at(low, d, 0), at(low, d, 1)) + near) / cell
     )
     placed = parts.select("*", span("x1", dx).alias("_cx")).select("*", span("y1", dy).alias("_cy"))
-    placed = placed.select("_g", "_id", *ENDS, "_cx", "_cy").distinct()
+    return placed.select("_g", "_s", "_id", *ENDS, "_cx", "_cy").distinct()
+
+
+def _filled(sides: DataFrame, placed: DataFrame, cell: float) -> DataFrame:
+    """``_g, _cx, _cy``: cells that lie within one shape of their group, away from its edges; of shapes with at most ``TILES`` cells."""
+    ends = {f: [f(F.least(f"{a}1", f"{a}2") if f is F.min else F.greatest(f"{a}1", f"{a}2")) for a in "xy"] for f in (F.min, F.max)}
+    w, h = ((ends[F.max][k] - ends[F.min][k]) / cell + 1 for k in (0, 1))
+    small = sides.groupBy("_g", "_s").agg((w * h).alias("_tiles")).where(F.col("_tiles") <= TILES).drop("_tiles")
+    scaled = _meet(sides, small, ["_g", "_s"]).select(F.struct("_g", "_s").alias("_k"), *[(F.col(c) / cell).alias(c) for c in ENDS])
+    inside = centres(scaled, "_k").select("_k._g", "_k._s", F.col("col").alias("_cx"), F.col("row").alias("_cy"))
+    return _meet(inside, placed.select("_g", "_s", "_cx", "_cy"), ["_g", "_s", "_cx", "_cy"], "left_anti").select(*TILE).distinct()
+
+
+def _meetings(placed: DataFrame, digits: int) -> DataFrame:
+    """``_id, x, y``: where each edge meets another of its group other than by crossing over both's ends."""
+    near = 10.0**-digits
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    placed = placed.drop("_s")
     other = placed.select("_g", "_cx", "_cy", F.col("_id").alias("_other"), *[F.col(c).alias(f"o{c}") for c in ENDS])
-    pairs = placed.join(other, ["_g", "_cx", "_cy"]).where("_id < _other").dropDuplicates(["_id", "_other"])
+    pairs = _meet(placed, other, TILE).where("_id < _other")
 
     def on(px: str, py: str, a: str) -> Column:
         """Whether a point lies on an edge whose columns begin with ``a``."""
@@ -74,55 +106,65 @@ def _meetings(sides: DataFrame, digits: int, cell: float) -> DataFrame:
     ).select("m.*").distinct()
 
 
-def _split(sides: DataFrame, digits: int, cell: float) -> DataFrame:
-    """``_g, _s, x1, y1, x2, y2``: pieces that meet at their ends only, from the lesser end, those drawn an even number of times left out."""
-    places = _meetings(sides, digits, cell).groupBy("_id").agg(F.collect_list(F.struct("x", "y")).alias("_places"))
+def _split(sides: DataFrame, placed: DataFrame, digits: int) -> DataFrame:
+    """``_g, x1, y1, x2, y2, _own, _ids``: pieces that meet at their ends only, from the lesser end.
+
+    ``_own`` are the shapes that draw the piece an odd number of times (without
+    one, it is left out), ``_ids`` all edges that it is of.
+    """
+    places = _meetings(placed, digits).groupBy("_id").agg(F.collect_list(F.struct("x", "y")).alias("_places"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     along = lambda p: ((p["x"] - F.col("x1")) * dx + (p["y"] - F.col("y1")) * dy) / (dx * dx + dy * dy)
     point = lambda t, x, y: F.struct(t.alias("t"), x.alias("x"), y.alias("y"))
     ends = F.array(point(F.lit(0.0), F.col("x1"), F.col("y1")), point(F.lit(1.0), F.col("x2"), F.col("y2")))
     inner = F.filter(F.transform("_places", lambda p: point(along(p), p["x"], p["y"])), lambda p: (p["t"] > 0) & (p["t"] < 1))
     line = F.array_sort(F.when(F.col("_places").isNull(), ends).otherwise(F.concat(ends, inner)))
-    cut = sides.join(places, "_id", "left").select("_g", "_s", line.alias("p"))
+    cut = _meet(sides, places, ["_id"], "left").select("_g", "_s", "_id", line.alias("p"))
     pairs = F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))
-    pair = cut.select("_g", "_s", F.explode(pairs).alias("e")).where("e.a.x <> e.b.x or e.a.y <> e.b.y")
+    pair = cut.select("_g", "_s", "_id", F.explode(pairs).alias("e")).where("e.a.x <> e.b.x or e.a.y <> e.b.y")
     low, high = F.struct("e.a.x", "e.a.y"), F.struct("e.b.x", "e.b.y")
-    pair = pair.select("_g", "_s", F.least(low, high).alias("l"), F.greatest(low, high).alias("h"))
+    pair = pair.select("_g", "_s", "_id", F.least(low, high).alias("l"), F.greatest(low, high).alias("h"))
     named = [F.col("l.x").alias("x1"), F.col("l.y").alias("y1"), F.col("h.x").alias("x2"), F.col("h.y").alias("y2")]
-    return pair.select("_g", "_s", *named).groupBy("_g", "_s", *ENDS).count().where("count % 2 = 1").drop("count")
+    drawn = pair.select("_g", "_s", "_id", *named).groupBy("_g", "_s", *ENDS).agg(F.count("*").alias("n"), F.collect_set("_id").alias("_ids"))
+    own = F.collect_list(F.when(F.col("n") % 2 == 1, F.col("_s")))
+    pieces = drawn.groupBy("_g", *ENDS).agg(own.alias("_own"), F.flatten(F.collect_list("_ids")).alias("_ids"))
+    return pieces.where(F.size("_own") > 0)
+
+
+def _tile(cell: float) -> dict[str, Column]:
+    """The cell of a piece's middle."""
+    return {f"_c{a}": F.floor((F.col(f"{a}1") + F.col(f"{a}2")) / 2 / cell).cast("long") for a in "xy"}
 
 
-def _covered(pieces: DataFrame, odd: DataFrame, along: str, up: str, cell: float) -> DataFrame:
-    """``pieces`` with ``_above``: the shapes that hold what lies next to the middle, on the side where ``up`` grows."""
+def _covered(pieces: DataFrame, sides: DataFrame, held: DataFrame, along: str, up: str, cell: float) -> DataFrame:
+    """``pieces`` with ``_above``: the shapes that hold what lies next to the middle, on the side where ``up`` grows.
+
+    Only shapes with an edge in the middle's cell (``held``) are looked at.
+    """
     a1, b1, a2, b2 = f"{along}1", f"{up}1", f"{along}2", f"{up}2"
-    middle = pieces.withColumns({"_ma": (F.col(a1) + F.col(a2)) / 2, "_mb": (F.col(b1) + F.col(b2)) / 2})
-    middle = middle.withColumn("_strip", F.floor(F.col("_ma") / cell).cast("long"))
-    spread = odd.where(F.col(a1) != F.col(a2)).select(
-        "_g", F.col("_s").alias("_holder"), *[F.col(c).alias(f"o{c}") for c in ENDS],
-        _steps(F.least(a1, a2) / cell, F.greatest(a1, a2) / cell).alias("_strip"),
-    )
+    middle = pieces.select("_p", "_g", "_ids", ((F.col(a1) + F.col(a2)) / 2).alias("_ma"), ((F.col(b1) + F.col(b2)) / 2).alias("_mb"), "_cx", "_cy")
+    spread = sides.where(F.col(a1) != F.col(a2)).select(
+        "_g", "_s", "_id", *[F.col(c).alias(f"o{c}") for c in ENDS], _steps(F.least(a1, a2) / cell, F.greatest(a1, a2) / cell).alias(f"_c{along}")
+    )
     low, high = F.least(f"o{a1}", f"o{a2}"), F.greatest(f"o{a1}", f"o{a2}")
     level = F.col(f"o{b1}") + (F.col("_ma") - F.col(f"o{a1}")) * (F.col(f"o{b2}") - F.col(f"o{b1}")) / F.nullif(
         F.col(f"o{a2}") - F.col(f"o{a1}"), F.lit(0.0)
     )
-    itself = F.lit(True)
-    for c in ENDS:
-        itself = itself & (F.col(c) == F.col(f"o{c}"))
-    over = (low <= F.col("_ma")) & (F.col("_ma") < high) & (level > F.col("_mb")) & ~itself
+    over = (low <= F.col("_ma")) & (F.col("_ma") < high) & (level > F.col("_mb")) & ~F.array_contains("_ids", F.col("_id"))
     crossed = (
-        middle.join(spread, ["_g", "_strip"]).where(over).groupBy(*PIECE, "_holder").count().where("count % 2 = 1")
-        .groupBy(*PIECE).agg(F.collect_list("_holder").alias("_above"))
+        _meet(_meet(middle, held, TILE), spread, ["_g", "_s", f"_c{along}"]).where(over).groupBy("_p", "_s").count().where("count % 2 = 1")
+        .groupBy("_p").agg(F.collect_list("_s").alias("_above"))
     )
-    return pieces.join(crossed, PIECE, "left")
+    return _meet(pieces, crossed, ["_p"], "left")
 
 
-def _borders(odd: DataFrame, cell: float) -> DataFrame:
+def _borders(pieces: DataFrame, sides: DataFrame, placed: DataFrame, cell: float) -> DataFrame:
     """``_g, x1, y1, x2, y2``: pieces between inside and outside, the inside on their left."""
-    pieces = odd.groupBy(*PIECE).agg(F.collect_set("_s").alias("_own"))
+    held = placed.select("_g", "_s", "_cx", "_cy").distinct()
     steep = F.abs(F.col("y2") - F.col("y1")) > F.abs(F.col("x2") - F.col("x1"))
-    flat = _covered(pieces.where(~steep), odd, "x", "y", cell).withColumn("_left", F.lit(True))
+    flat = _covered(pieces.where(~steep), sides, held, "x", "y", cell).withColumn("_left", F.lit(True))
     # along a steep piece that climbs, the side where x grows is the right one; the lesser end may be its upper one
-    tall = _covered(pieces.where(steep), odd, "y", "x", cell).withColumn("_left", F.col("y1") > F.col("y2"))
+    tall = _covered(pieces.where(steep), sides, held, "y", "x", cell).withColumn("_left", F.col("y1") > F.col("y2"))
     rows = flat.unionByName(tall)
     above = F.coalesce("_above", F.slice("_own", 1, 0))
     inside_above = F.size(above) > 0
@@ -135,37 +177,39 @@ def _borders(odd: DataFrame, cell: float) -> DataFrame:
 
 
 def _next(borders: DataFrame) -> DataFrame:
-    """``_g, me, on``: each piece's start and end, and those of the piece after it around the same inside."""
-    here = F.struct(*ENDS)
-    coming = borders.select("_g", F.col("x2").alias("vx"), F.col("y2").alias("vy"), here.alias("me"), F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2")).alias("back"))
-    going = borders.select("_g", F.col("x1").alias("vx"), F.col("y1").alias("vy"), here.alias("on"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("out"))
+    """``me, on``: each piece, and the one after it around the same inside."""
+    back = F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2"))
+    out = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    coming = borders.select("_g", F.col("x2").alias("vx"), F.col("y2").alias("vy"), F.col("_b").alias("me"), back.alias("back"))
+    going = borders.select("_g", F.col("x1").alias("vx"), F.col("y1").alias("vy"), F.col("_b").alias("on"), out.alias("out"))
     turn = F.pmod(F.col("back") - F.col("out"), F.lit(6.283185307179586))
     # the first one clockwise from where it came; straight back is the last resort
     turn = F.when(turn < 1e-12, F.lit(7.0)).otherwise(turn)
-    return coming.join(going, ["_g", "vx", "vy"]).groupBy("_g", "me").agg(F.min_by("on", turn).alias("on"))
+    return _meet(coming, going, ["_g", "vx", "vy"]).groupBy("me").agg(F.min_by("on", turn).alias("on"))
 
 
-def _traced(follow: DataFrame) -> DataFrame:
-    """``_g, ring, me, place``: pieces with their ring's first piece and how many come before them."""
-    rows = kept(follow.select("_g", "me", "on", F.col("me").alias("head"), F.lit(0).cast("long").alias("far")), "traced")
-    step, seen = 1, None
+def _traced(follow: DataFrame, paths: list[str]) -> DataFrame:
+    """``me, head, place``: pieces with one of their ring and their order, from it on."""
+    spark, step, seen = follow.sparkSession, 1, None
+    rows = kept(follow.select("me", "on", F.col("me").alias("head"), F.lit(0).cast("long").alias("far")), "traced", paths)
     while True:
-        after = rows.select("_g", F.col("me").alias("on"), F.col("on").alias("_on"), F.col("head").alias("_head"), F.col("far").alias("_far"))
+        after = rows.select(F.col("me").alias("on"), F.col("on").alias("_on"), F.col("head").alias("_head"), F.col("far").alias("_far"))
         less = F.col("_head") < F.col("head")
         rows = kept(
-            rows.join(after, ["_g", "on"]).select(
-                "_g", "me", F.col("_on").alias("on"), F.when(less, F.col("_head")).otherwise(F.col("head")).alias("head"),
+            _meet(rows, after, ["on"]).select(
+                "me", F.col("_on").alias("on"), F.when(less, F.col("_head")).otherwise(F.col("head")).alias("head"),
                 F.when(less, F.col("_far") + step).otherwise(F.col("far")).alias("far"),
             ),
-            "traced",
+            "traced", paths,
         )
+        tables.delete(spark, paths.pop(-2))
         step *= 2
         now = rows.agg(F.sum(F.xxhash64("head").cast("decimal(38,0)"))).first()[0]
         if now == seen:
             break
         seen = now
-    size = F.count("*").over(Window.partitionBy("_g", "head"))
-    return rows.select("_g", F.col("head").alias("ring"), "me", F.pmod(size - F.col("far"), size).alias("place"))
+    # what is far before the first one comes soon after it
+    return rows.select("me", "head", F.when(F.col("far") > 0, -F.col("far")).otherwise(F.lit(-(2**62))).alias("place"))
 
 
 def _without_straights(points: Column, digits: int) -> Column:
@@ -188,7 +232,71 @@ def _from_least(ring: Column) -> Column:
     return F.concat(F.slice(ring, first, F.size(ring)), F.slice(ring, F.lit(1), first - 1))
 
 
-def canonical(shapes: DataFrame, group: str, shape: str, rings: str = "rings", digits: int = DIGITS, cell: float = CELL) -> DataFrame:
+def _fine(sides: DataFrame) -> float:
+    """A cell of a fourth of the mean edge, so that some lie within shapes; no edge crosses more than about a thousand."""
+    long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    mean, most = sides.agg(F.avg(long), F.max(long)).first()
+    return max(mean / 4, most / 1024) if mean else CELL
+
+
+def _united(members: DataFrame, rings: str, digits: int, cell: float | None, overlap: bool) -> DataFrame:
+    """``_g, rings``: what the shapes ``_s`` of each group cover; groups that cover nothing are missing.
+
+    ``cell`` None is made fit. With ``overlap``, cells within a shape are looked for.
+    """
+    spark, paths = members.sparkSession, []
+    named = members.select(F.struct("_g", "_s").alias("_k"), "_r")
+    sides = edges(named, "_k", "_r").select("_k._g", "_k._s", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in ENDS])
+    sides = kept(sides.where("x1 <> x2 or y1 <> y2").withColumn("_id", F.monotonically_increasing_id()), "sides", paths)
+    cell = cell or _fine(sides)
+    placed = kept(_placed(sides, digits, cell), "placed", paths)
+    if overlap:
+        filled = kept(_filled(sides, placed, cell), "filled", paths)
+        placed = kept(_meet(placed, filled, TILE, "left_anti"), "open", paths)
+        # an edge comes to the union's border, or leaves it, where it meets another outside these cells
+        pieces = _split(_meet(sides, placed.select("_id"), ["_id"], "left_semi"), placed, digits).withColumns(_tile(cell))
+        pieces = _meet(pieces, filled, TILE, "left_anti")
+    else:
+        pieces = _split(sides, placed, digits).withColumns(_tile(cell))
+    pieces = kept(pieces.withColumn("_p", F.monotonically_increasing_id()), "pieces", paths)
+    borders = kept(_borders(pieces, sides, placed, cell).withColumn("_b", F.monotonically_increasing_id()), "borders", paths)
+    while len(paths) > 1:
+        tables.delete(spark, paths.pop(0))
+    traced = _meet(_traced(_next(borders), paths), borders.select("_g", F.col("_b").alias("me"), F.col("x1").alias("x"), F.col("y1").alias("y")), ["me"])
+    points = F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct("x", "y").alias("p")))), lambda r: r["p"])
+    ring = traced.groupBy("_g", "head").agg(points.alias("r")).select("_g", _without_straights(F.col("r"), digits).alias("r"))
+    ring = ring.where(F.size("r") > 2).select("_g", _from_least(F.col("r")).alias("r"))
+    whole = kept(ring.groupBy("_g").agg(F.array_sort(F.collect_list("r")).alias(rings)), "united")
+    for path in paths:
+        tables.delete(spark, path)
+    return whole
+
+
+def _drawn(shapes: DataFrame, group: str, shape: str, rings: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``_v, _f`` of each group's shapes, without copies, and ``_f, _r`` of what is drawn.
+
+    A figure ``_f`` stands for all shapes of the same rings, by the SHA-256 of
+    their text; rows of one group and shape are one shape. Null, for a shape
+    without rings, is no figure. The third one is all groups' ``_v``.
+    """
+    rows = shapes.select(
+        F.struct(F.col(group).alias("g")).alias("_v"), F.struct(F.col(shape).alias("s")).alias("_w"), F.col(rings).alias("_r"),
+        F.unhex(F.sha2(F.to_json(rings), 256)).alias("_d"),
+    )
+    lists = rows.groupBy("_v", "_w").agg(F.sort_array(F.collect_list("_d")).alias("_l")).select("_v", "_l")
+    lists = kept(lists, "lists")
+    figures = kept(lists.select("_l").where(F.size("_l") > 0).distinct().withColumn("_f", F.monotonically_increasing_id()), "figures")
+    rings_of = rows.where("_r is not null").select("_d", "_r").distinct()
+    parts = figures.select("_f", F.explode("_l").alias("_d")).join(rings_of, "_d").select("_f", "_r")
+    return lists.join(figures, "_l", "left").select("_v", "_f"), kept(parts, "drawings"), lists.select("_v")
+
+
+def _spread(members: DataFrame) -> DataFrame:
+    n = max(members.sparkSession.sparkContext.defaultParallelism, -(-members.count() // SHARE))
+    return members.repartition(n)
+
+
+def canonical(shapes: DataFrame, group: str, shape: str, rings: str = "rings", digits: int = DIGITS, cell: float | None = None) -> DataFrame:
     """``group, rings``: the union of each group's shapes as rings that neither cross nor overlap.
 
     Outer rings run counter-clockwise and holes clockwise, each from its least
@@ -198,26 +306,21 @@ def canonical(shapes: DataFrame, group: str, shape: str, rings: str = "rings", d
     (null, empty or flat rings) has null rings. Coordinates are rounded to
     ``digits``; null groups are a group.
     """
-    every = shapes.select(F.struct(F.col(group).alias("v")).alias("_g"), F.struct(F.col(shape).alias("v")).alias("_s"), F.col(rings).alias("_r"))
-    named = every.select(F.struct("_g", "_s").alias("_k"), "_r")
-    sides = edges(named, "_k", "_r").select("_k._g", "_k._s", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in ENDS])
-    sides = kept(sides.where("x1 <> x2 or y1 <> y2").withColumn("_id", F.monotonically_increasing_id()), "sides")
-    odd = kept(_split(sides, digits, cell), "pieces")
-    borders = kept(_borders(odd, cell), "borders")
-    traced = _traced(_next(borders))
-    points = F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("me.x1").alias("x"), F.col("me.y1").alias("y")).alias("p")))), lambda r: r["p"])
-    ring = traced.groupBy("_g", "ring").agg(points.alias("r")).select("_g", _without_straights(F.col("r"), digits).alias("r"))
-    ring = ring.where(F.size("r") > 2).select("_g", _from_least(F.col("r")).alias("r"))
-    whole = ring.groupBy("_g").agg(F.array_sort(F.collect_list("r")).alias(rings))
-    return every.select("_g").distinct().join(whole, "_g", "left").select(F.col("_g.v").alias(group), rings)
+    of, drawings, every = _drawn(shapes, group, shape, rings)
+    groups = kept(every.distinct().withColumn("_g", F.monotonically_increasing_id()), "groups")
+    members = of.where("_f is not null").distinct().join(groups, "_v").join(drawings, "_f").select("_g", F.col("_f").alias("_s"), "_r")
+    whole = _united(_spread(kept(members, "members")), rings, digits, cell, True)
+    return groups.join(whole, "_g", "left").select(F.col("_v.g").alias(group), rings)
 
 
 def make_valid(shapes: DataFrame, key: str, rings: str = "rings", digits: int = DIGITS, cell: float = CELL) -> DataFrame:
-    """``key, rings``: each shape's area in canonical form; see ``canonical``."""
-    return canonical(shapes.withColumn("_shape", F.lit(0)), key, "_shape", rings, digits, cell)
+    """``key, rings``: each shape's area in canonical form; see ``canonical``. Shapes drawn alike are made valid once."""
+    of, drawings, _ = _drawn(shapes.withColumn("_shape", F.lit(0)), key, "_shape", rings)
+    whole = _united(_spread(drawings.select(F.col("_f").alias("_g"), F.col("_f").alias("_s"), "_r")), rings, digits, cell, False)
+    return of.join(whole.withColumnRenamed("_g", "_f"), "_f", "left").select(F.col("_v.g").alias(key), rings)
 
 
-def dissolve(shapes: DataFrame, group: str, key: str, rings: str = "rings", digits: int = DIGITS, cell: float = CELL) -> DataFrame:
+def dissolve(shapes: DataFrame, group: str, key: str, rings: str = "rings", digits: int = DIGITS, cell: float | None = None) -> DataFrame:
     """``group, rings``: the union of the shapes of each group; edges that two of them share cancel."""
     return canonical(shapes, group, key, rings, digits, cell)
 

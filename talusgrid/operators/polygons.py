@@ -32,24 +32,27 @@ def edges(shapes: DataFrame, key: str, rings: str = "rings", closed: bool = True
     ).where("x1 <> x2 or y1 <> y2")
 
 
-def _steps(first: Column, last: Column, low: int, high: int) -> Column:
-    """The whole numbers from ``first`` to ``last`` that lie in ``[low, high)``."""
-    a, b = F.greatest(first, F.lit(low)).cast("int"), F.least(last, F.lit(high - 1)).cast("int")
+def _steps(first: Column, last: Column, low: int | None, high: int | None) -> Column:
+    """The whole numbers from ``first`` to ``last`` that lie in ``[low, high)``; all without these."""
+    a = first.cast("long") if low is None else F.greatest(first, F.lit(low)).cast("int")
+    b = last.cast("long") if high is None else F.least(last, F.lit(high - 1)).cast("int")
     return F.explode(F.when(a <= b, F.sequence(a, b)))
 
 
-def _centres(sides: DataFrame, key: str, height: int, width: int) -> DataFrame:
+def centres(sides: DataFrame, key: str, height: int | None = None, width: int | None = None) -> DataFrame:
+    """``key, row, col``: the pixels whose centre lies inside, of a grid or, without its size, of the whole plane."""
+    low = lambda size: None if size is None else 0
     top, bottom = F.least("y1", "y2"), F.greatest("y1", "y2")
     y = F.col("row") + 0.5
     # half-open, so that a corner on a line counts once
     hits = sides.where("y1 <> y2").select(
-        "*", _steps(F.ceil(top - 0.5), F.ceil(bottom - 0.5) - 1, 0, height).alias("row")
+        "*", _steps(F.ceil(top - 0.5), F.ceil(bottom - 0.5) - 1, low(height), height).alias("row")
     ).select(key, "row", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x"))
     crossed = hits.groupBy(key, "row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     spans = crossed.select(
         key, "row", "xs", F.explode(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2))).alias("_pair")
     ).select(key, "row", F.element_at("xs", F.col("_pair")).alias("a"), F.element_at("xs", F.col("_pair") + 1).alias("b"))
-    return spans.select(key, "row", _steps(F.ceil(F.col("a") - 0.5), F.ceil(F.col("b") - 0.5) - 1, 0, width).alias("col"))
+    return spans.select(key, "row", _steps(F.ceil(F.col("a") - 0.5), F.ceil(F.col("b") - 0.5) - 1, low(width), width).alias("col"))
 
 
 def _touched(sides: DataFrame, key: str, height: int, width: int) -> DataFrame:
@@ -74,7 +77,7 @@ def cover(shapes: DataFrame, key: str, height: int, width: int, touched: bool =
     nothing; parts outside the grid are left out.
     """
     sides = edges(shapes, key, rings)
-    inside = _centres(sides, key, height, width)
+    inside = centres(sides, key, height, width)
     if touched:
         inside = inside.unionByName(_touched(sides, key, height, width)).distinct()
     return inside

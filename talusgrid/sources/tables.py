@@ -24,10 +24,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/talusgrid/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: later reads start from the files."""
+def kept(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later reads start from the files.
+
+    The files' path is added to ``paths``, for ``delete``.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talusgrid.operators import outlines, polygons
+from talusgrid.sources import tables
 
 SCHEMA = "k int, g int, rings array<array<struct<x:double,y:double>>>"
 
@@ -101,3 +102,31 @@ def test_near_lines_and_bounds(spark):
     assert got == {(r, c) for r in range(70) for c in range(100) if min(away(c + 0.5, r + 0.5, *line) for line in lines) <= 3.5**2}
     assert [tuple(r) for r in polygons.boxes(df, "k").collect()] == [(1, 2.0, 90.0, 3.0, 60.0)]
     assert polygons.edges(df, "k", closed=False).count() == 2 and df.select(F.col("k")).count() == 3
+
+
+@pytest.fixture
+def steps(monkeypatch):
+    """Rows, plan and name of each table that a call writes on its way."""
+    found, kept = [], outlines.kept
+
+    def spied(df, name, *rest):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        made = kept(df, name, *rest)
+        found.append((name, made.count(), plan))
+        return made
+
+    monkeypatch.setattr(outlines, "kept", spied)
+    return found
+
+
+def test_shapes_drawn_alike_are_made_valid_once(spark, steps, tmp_path, monkeypatch):
+    names = iter(range(1000))
+    monkeypatch.setattr(tables, "shared_path", lambda _, name: f"file://{tmp_path}/{name}-{next(names)}")
+    drawings = [[box(0.0, 0.0, 3.0, 2.0)], [box(0.0, 0.0, 3.0, 2.0)[::-1]], [box(0.0, 0.0, 3.0, 2.0), box(1.0, 1.0, 1.0, 0.5)]]
+    rows = [(k, 0, drawings[k % 3]) for k in range(300)] + [(300, 0, None), (301, 0, drawings[0][:1]), (301, 0, [box(1.0, 1.0, 1.0, 0.5)])]
+    got = {r["k"]: r["a"] for r in outlines.make_valid(spark.createDataFrame(rows, SCHEMA), "k").select("k", outlines.area().alias("a")).collect()}
+    assert got == {k: 5.5 if k % 3 == 2 else 6.0 for k in range(300)} | {300: None, 301: 5.5}
+    assert next(n for name, n, _ in steps if name == "sides") == 4 + 4 + 8 + 8
+    # what the steps wrote is gone
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert not left & {"sides", "placed", "pieces", "borders", "traced"}
