@@ -130,3 +130,18 @@ def test_shapes_drawn_alike_are_made_valid_once(spark, steps, tmp_path, monkeypa
     # what the steps wrote is gone
     left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
     assert not left & {"sides", "placed", "pieces", "borders", "traced"}
+
+
+def test_deep_overlaps_are_not_split_against_each_other(spark, steps):
+    rnd = random.Random(4)
+    shapes = {k: [box(rnd.uniform(0, 20), rnd.uniform(0, 20), rnd.uniform(4, 8), rnd.uniform(4, 8))] for k in range(400)}
+    df = spark.createDataFrame([(k, 1, s) for k, s in shapes.items()], SCHEMA)
+    rings = [[tuple(p) for p in ring] for ring in outlines.dissolve(df, "g", "k").first()["rings"]]
+    assert all(
+        covered(rings, x, y) == any(covered(s, x, y) for s in shapes.values()) for x, y in ((rnd.uniform(-1, 29), rnd.uniform(-1, 29)) for _ in range(1500))
+    )
+    # splitting all of them against each other makes some 40,000 pieces
+    assert next(n for name, n, _ in steps if name == "pieces") < 4 * 1600
+    # a broadcast sends a step's table to the driver
+    made = {"placed", "filled", "open", "pieces", "borders", "traced", "united"}
+    assert made <= {name for name, _, _ in steps} and not any("Broadcast" in plan for name, _, plan in steps if name in made)
