@@ -16,6 +16,8 @@ from .raster import clip as clip_boxes
 
 #: Edges are cut to this length, in pixels, before the pixels near them are listed.
 PIECE = 32
+#: Edges whose neighbourhoods one task lists, so that tasks grow in number, not in memory.
+SHARE = 2000
 
 
 def edges(shapes: DataFrame, key: str, rings: str = "rings", closed: bool = True) -> DataFrame:
@@ -101,6 +103,16 @@ def near(shapes: DataFrame, key: str, height: int, width: int, distance: float,
     raster. Distances are of the whole edge, exact.
     """
     sides = edges(shapes, key, rings, closed)
+    n = _tasks(sides)
+    return _beside(sides.repartition(n), key, height, width, distance).repartition(n, key, "row").distinct()
+
+
+def _tasks(sides: DataFrame) -> int:
+    return max(sides.sparkSession.sparkContext.defaultParallelism, -(-sides.count() // SHARE))
+
+
+def _beside(sides: DataFrame, key: str, height: int, width: int, distance: float) -> DataFrame:
+    """The pixels of ``near``, once for each edge that they are near to."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     n = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / PIECE), F.lit(1)).cast("int")
     parts = sides.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
@@ -112,12 +124,16 @@ def near(shapes: DataFrame, key: str, height: int, width: int, distance: float,
     t = ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / (dx * dx + dy * dy)
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
     away_x, away_y = x - (F.col("x1") + t * dx), y - (F.col("y1") + t * dy)
-    return pixels.where(away_x * away_x + away_y * away_y <= distance * distance).select(key, "row", "col").distinct()
+    return pixels.where(away_x * away_x + away_y * away_y <= distance * distance).select(key, "row", "col")
 
 
 def within(shapes: DataFrame, key: str, height: int, width: int, distance: float, rings: str = "rings") -> DataFrame:
     """``key, row, col``: the pixels whose centre is in a shape or no further than ``distance`` from it: its round buffer."""
-    return cover(shapes, key, height, width, rings=rings).unionByName(near(shapes, key, height, width, distance, rings)).distinct()
+    sides = edges(shapes, key, rings)
+    n = _tasks(sides)
+    sides = sides.repartition(n)
+    both = centres(sides, key, height, width).unionByName(_beside(sides, key, height, width, distance))
+    return both.repartition(n, key, "row").distinct()
 
 
 def boxes(shapes: DataFrame, key: str, rings: str = "rings") -> DataFrame:

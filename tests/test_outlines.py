@@ -145,3 +145,13 @@ def test_deep_overlaps_are_not_split_against_each_other(spark, steps):
     # a broadcast sends a step's table to the driver
     made = {"placed", "filled", "open", "pieces", "borders", "traced", "united"}
     assert made <= {name for name, _, _ in steps} and not any("Broadcast" in plan for name, _, plan in steps if name in made)
+
+
+def test_buffers_are_dealt_over_tasks(spark, monkeypatch):
+    """Tasks grow in number with the edges, however few files the shapes are in."""
+    monkeypatch.setattr(polygons, "SHARE", 10)
+    df = spark.createDataFrame([(k, 0, [box(k % 7 + 0.2, k % 5 + 0.3, 3.0, 2.0)]) for k in range(60)], SCHEMA).coalesce(1)
+    found = polygons.within(df, "k", 12, 14, 1.5)
+    assert found.rdd.getNumPartitions() >= 24
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and {k for k, _, _ in got} == set(range(60))
