@@ -8,7 +8,9 @@ statistics, whose size follows from the features and parameters alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +26,8 @@ from .sampling import valid
 #: Names of learners and of the ways to learn from positives and unlabeled rows.
 LEARNERS = ("random_forest", "gradient_boosting", "regularised_boosting")
 METHODS = ("plain", "pu_bagging", "pu_elkan_noto", "pu_weighted_elkan_noto")
+#: Bags that are fitted at a time: a level of a bag's trees is a small job, which leaves cores idle.
+AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -141,9 +145,12 @@ def fit(train: DataFrame, features: list[str], config: Config = Config(), label:
 
     Raises ValueError without a row of either label. Elkan and Noto's ways hold
     out positives to learn how likely a positive is to be labelled; they raise
-    ValueError if none is held out.
+    ValueError if none is held out. Rows are dealt over all cores by their
+    values and sorted, so what is drawn doesn't depend on the files they came in.
     """
     usable = valid(train, features).select(*features, F.col(label).cast("double").alias("label"))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    usable = usable.repartition(cores, *usable.columns).sortWithinPartitions(*usable.columns)
     statistics = scaler_statistics(usable, features)
     rows = _vectors(scale(usable, statistics), features).select("label", "features").persist()
     try:
@@ -159,10 +166,14 @@ def fit(train: DataFrame, features: list[str], config: Config = Config(), label:
             fitted.models = [learner(config, config.seed).fit(rows.withColumn("w", weight))]
         elif method == "pu_bagging":
             share = min(1.0, ones / zeros)
-            for k in range(config.estimators):
+
+            def bagged(k: int):
                 drawn = rows.where("label = 0").sample(True, share, config.seed + k)
                 bag = rows.where("label = 1").unionByName(drawn).withColumn("w", F.lit(1.0))
-                fitted.models.append(learner(config, config.seed + k).fit(bag))
+                return learner(config, config.seed + k).fit(bag)
+
+            with ThreadPool(AT_ONCE) as pool:
+                fitted.models = pool.map(inheritable_thread_target(train.sparkSession)(bagged), range(config.estimators), 1)
         else:
             held = rows.withColumn("_held", (F.col("label") == 1) & (F.rand(config.seed) < config.hold_out)).withColumn("w", weight).persist()
             try:
@@ -233,9 +244,10 @@ def cross_validate(
     """Each fold's rows with the ``score`` of a model of the other folds, and ``fold, feature, importance``.
 
     The scaler learns from the other folds, too. Without a row of a fold,
-    ValueError. The rows are written once, as each fold reads them again.
+    ValueError. The rows are written once, as each fold reads them again, and
+    dealt over all cores, however few files they came in.
     """
-    df = kept(df, "folds")
+    df = kept(df.repartition(df.sparkSession.sparkContext.defaultParallelism), "folds")
     folds = folds_of(df, fold)
     if not folds:
         raise ValueError("no rows to validate on")

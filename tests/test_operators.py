@@ -260,3 +260,10 @@ def test_tiles_meet_at_their_borders(spark):
     near = {(r, c) for r in range(height) for c in range(width) if (np.abs(at - (r, c)).max(axis=1) <= 4).any()}
     rows = grid.dilate(df, "flag", 4).collect()
     assert len(rows) == height * width and {(r["row"], r["col"]) for r in rows if r["near"]} == near
+
+
+def test_folds_of_one_file_are_dealt_over_cores(spark, table, monkeypatch):
+    dealt, kept = [], model.kept
+    monkeypatch.setattr(model, "kept", lambda df, name: dealt.append(df.rdd.getNumPartitions()) or kept(df, name))
+    scored, _ = model.cross_validate(table.coalesce(1), ["x", "y"], model.Config(method="plain", trees=2, depth=2))
+    assert dealt == [spark.sparkContext.defaultParallelism] and scored.count() == 901
