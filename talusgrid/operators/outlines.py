@@ -9,7 +9,9 @@ their cell, by strips, and rings are traced by doubling: each round joins every
 piece with the one twice as far on, so a ring of n edges takes log2 n rounds and
 no task ever holds more than a vertex' or an edge's own rows. Only the finished
 ring is gathered, as one value of its row. In unions, cells that lie within one
-of the shapes are left out, so deep overlaps aren't split against each other.
+of the shapes are left out, and the others are quartered both ways while edges
+are many in them: only cells along the border stay, so deep overlaps aren't split
+against each other.
 
 Tables of the steps are deleted once the next one is written. Joins are by
 sorting, as a broadcast in each step would send what grows with the input to the
@@ -25,14 +27,18 @@ from talusgrid.sources import tables
 from talusgrid.sources.tables import kept
 
 from .events import hash_uuid
-from .polygons import centres, edges
+from .polygons import centres, cover, edges, near, spans
 
 #: Decimals of coordinates; what is closer than the last one is the same place.
 DIGITS = 6
 #: Side of the cells by which the edges of one shape meet, and width of strips, in the shapes' units.
 CELL = 64.0
-#: Cells of the bounds of a shape, at most, that is looked through for cells within it.
+#: Cells of the bounds of a shape, at most, whose cells are listed; of larger ones only those with edges of others.
 TILES = 4096
+#: Edges of a group in one cell, in the mean over edges, above which cells are quartered both ways.
+DEEP = 12
+#: Pixels of a row that are held against shapes together.
+BLOCK = 32
 #: Shapes that one task cuts into edges.
 SHARE = 2000
 
@@ -50,31 +56,94 @@ def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
 
 def _placed(sides: DataFrame, digits: int, cell: float) -> DataFrame:
     """``sides`` once for each cell that they may touch."""
-    near = 10.0**-digits
+    off = 10.0**-digits
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     n = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / cell), F.lit(1)).cast("int")
     parts = sides.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
     at = lambda low, d, k: F.col(low) + d * (F.col("_k") + k) / F.col("_n")
     span = lambda low, d: _steps(
-        (F.least(at(low, d, 0), at(low, d, 1)) - near) / cell, (F.greatest(at(low, d, 0), at(low, d, 1)) + near) / cell
+        (F.least(at(low, d, 0), at(low, d, 1)) - off) / cell, (F.greatest(at(low, d, 0), at(low, d, 1)) + off) / cell
     )
     placed = parts.select("*", span("x1", dx).alias("_cx")).select("*", span("y1", dy).alias("_cy"))
     return placed.select("_g", "_s", "_id", *ENDS, "_cx", "_cy").distinct()
 
 
 def _filled(sides: DataFrame, placed: DataFrame, cell: float) -> DataFrame:
-    """``_g, _cx, _cy``: cells that lie within one shape of their group, away from its edges; of shapes with at most ``TILES`` cells."""
+    """``_g, _cx, _cy``: cells that lie within one shape of their group, away from its edges: those with edges of others, at least."""
     ends = {f: [f(F.least(f"{a}1", f"{a}2") if f is F.min else F.greatest(f"{a}1", f"{a}2")) for a in "xy"] for f in (F.min, F.max)}
     w, h = ((ends[F.max][k] - ends[F.min][k]) / cell + 1 for k in (0, 1))
-    small = sides.groupBy("_g", "_s").agg((w * h).alias("_tiles")).where(F.col("_tiles") <= TILES).drop("_tiles")
-    scaled = _meet(sides, small, ["_g", "_s"]).select(F.struct("_g", "_s").alias("_k"), *[(F.col(c) / cell).alias(c) for c in ENDS])
-    inside = centres(scaled, "_k").select("_k._g", "_k._s", F.col("col").alias("_cx"), F.col("row").alias("_cy"))
+    sizes = sides.groupBy("_g", "_s").agg((w * h).alias("_tiles"))
+
+    def scaled(chosen: str) -> DataFrame:
+        some = _meet(sides, sizes.where(chosen).drop("_tiles"), ["_g", "_s"])
+        return some.select(F.struct("_g", "_s").alias("_k"), *[(F.col(c) / cell).alias(c) for c in ENDS])
+
+    inside = centres(scaled(f"_tiles <= {TILES}"), "_k").select("_k._g", "_k._s", F.col("col").alias("_cx"), F.col("row").alias("_cy"))
+    across = spans(scaled(f"_tiles > {TILES}"), "_k").select("_k._g", "_k._s", F.col("row").alias("_cy"), "a", "b")
+    middle = F.col("_cx") + 0.5
+    over = _meet(placed.select(*TILE).distinct(), across, ["_g", "_cy"]).where((F.col("a") <= middle) & (middle < F.col("b")))
+    inside = inside.unionByName(over.select(*inside.columns))
     return _meet(inside, placed.select("_g", "_s", "_cx", "_cy"), ["_g", "_s", "_cx", "_cy"], "left_anti").select(*TILE).distinct()
 
 
+def _quartered(sides: DataFrame, placed: DataFrame, digits: int, cell: float, wide: float) -> DataFrame:
+    """``placed`` in cells of a fourth of the side, without those that lie within one shape of their group.
+
+    A cell's sixteen parts are bits: those that a shape's edges touch, and those
+    whose middle it holds. The edges of a shape are found by strips of ``wide``.
+    """
+    off, part = 10.0**-digits, cell / 4
+    x1, y1, x2, y2 = (F.col(c) for c in ENDS)
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    left, base = F.col("_cx") * 4, F.col("_cy") * 4 + F.col("_j")
+
+    def rows(df: DataFrame) -> DataFrame:
+        """Each edge once for each ``_j``, of four rows of parts, that it may touch; it does so from ``_first`` to ``_last``, if that isn't less."""
+        each = df.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("_j"))
+        each = each.where((low <= (base + 1) * part + off) & (high >= base * part - off))
+        # an edge that hardly rises may be anywhere along it, as far as its slope can tell
+        flat = high - low <= part / 16
+        each = each.withColumn("_slope", (x2 - x1) / F.when(~flat, y2 - y1))
+        at = lambda y: x1 + (F.least(F.greatest(y, low), high) - y1) * F.col("_slope")
+        each = each.withColumns({"_a": F.coalesce(at(base * part - off), x1), "_b": F.coalesce(at((base + 1) * part + off), x2)})
+        first, last = F.floor((F.least("_a", "_b") - 2 * off) / part), F.floor((F.greatest("_a", "_b") + 2 * off) / part)
+        return each.withColumns({"_first": F.greatest(first - left, F.lit(0)).cast("int"), "_last": F.least(last - left, F.lit(3)).cast("int")})
+
+    shifted = lambda x, by: F.call_function("shiftleft", x, by)
+    bits = lambda first, last: shifted(shifted(F.lit(1), last + 1) - shifted(F.lit(1), first), F.col("_j") * 4)
+    held = placed.select("_g", "_s", "_cx", "_cy").distinct().withColumn("_w", F.floor((F.col("_cy") + 0.5) * cell / wide).cast("long"))
+    strips = sides.select("_g", "_s", *ENDS, _steps((low - off) / wide, (high + off) / wide).alias("_w"))
+    middle = (base + 0.5) * part
+    after = F.ceil((x1 + (middle - y1) * (x2 - x1) / (y2 - y1)) / part - 0.5) - left
+    after = F.when((y1 <= middle) != (y2 <= middle), F.least(F.greatest(after, F.lit(0)), F.lit(4)).cast("int"))
+    masks = rows(_meet(held, strips, ["_g", "_s", "_w"])).withColumn("_after", F.coalesce(after, F.lit(4)))
+    masks = masks.groupBy("_g", "_s", "_cx", "_cy").agg(
+        F.bit_or(F.when(F.col("_first") <= F.col("_last"), bits(F.col("_first"), F.col("_last"))).otherwise(0)).alias("t"),
+        F.bit_xor(bits(F.col("_after"), F.lit(3))).alias("c"),
+    )
+    full = masks.groupBy(*TILE).agg(F.bit_or(F.col("c").bitwiseAND(F.bitwise_not("t"))).alias("_full"))
+    parts = F.explode(F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last")))
+    each = rows(_meet(placed, full, TILE)).select("*", parts.alias("_i")).where("shiftright(_full, _j * 4 + _i) & 1 = 0")
+    return each.select("_g", "_s", "_id", *ENDS, (left + F.col("_i")).alias("_cx"), base.alias("_cy"))
+
+
+def _opened(sides: DataFrame, placed: DataFrame, digits: int, cell: float, paths: list[str]) -> tuple[DataFrame, float]:
+    """What ``placed`` has outside cells that lie within one shape, and the cells' side: less as long as pairs of edges get fewer by it."""
+    filled, wide, seen = kept(_filled(sides, placed, cell), "filled", paths), cell, None
+    rows = kept(_meet(placed, filled, TILE, "left_anti"), "open", paths)
+    while True:
+        n = F.col("count")
+        edges_in, pairs = rows.groupBy(*TILE).count().agg(F.sum(n), F.sum(n * n)).first()
+        if not edges_in or pairs <= DEEP * edges_in or (seen and 2 * pairs > seen) or cell / 4 < 100 * 10.0**-digits:
+            return rows, cell
+        rows, seen = kept(_quartered(sides, rows, digits, cell, wide), "open", paths), pairs
+        tables.delete(sides.sparkSession, paths.pop(-2))
+        cell /= 4
+
+
 def _meetings(placed: DataFrame, digits: int) -> DataFrame:
     """``_id, x, y``: where each edge meets another of its group other than by crossing over both's ends."""
-    near = 10.0**-digits
+    off = 10.0**-digits
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     placed = placed.drop("_s")
     other = placed.select("_g", "_cx", "_cy", F.col("_id").alias("_other"), *[F.col(c).alias(f"o{c}") for c in ENDS])
@@ -86,7 +155,7 @@ def _meetings(placed: DataFrame, digits: int) -> DataFrame:
         ux, uy = x2 - x1, y2 - y1
         t = F.least(F.greatest(((F.col(px) - x1) * ux + (F.col(py) - y1) * uy) / (ux * ux + uy * uy), F.lit(0.0)), F.lit(1.0))
         ax, ay = F.col(px) - (x1 + t * ux), F.col(py) - (y1 + t * uy)
-        return ax * ax + ay * ay <= near * near
+        return ax * ax + ay * ay <= off * off
 
     place = lambda edge, x, y: F.struct(F.col(edge).alias("_id"), x.alias("x"), y.alias("y"))
     touching = [
@@ -136,15 +205,16 @@ def _tile(cell: float) -> dict[str, Column]:
     return {f"_c{a}": F.floor((F.col(f"{a}1") + F.col(f"{a}2")) / 2 / cell).cast("long") for a in "xy"}
 
 
-def _covered(pieces: DataFrame, sides: DataFrame, held: DataFrame, along: str, up: str, cell: float) -> DataFrame:
+def _covered(pieces: DataFrame, sides: DataFrame, held: DataFrame, along: str, up: str, wide: float) -> DataFrame:
     """``pieces`` with ``_above``: the shapes that hold what lies next to the middle, on the side where ``up`` grows.
 
-    Only shapes with an edge in the middle's cell (``held``) are looked at.
+    Only shapes with an edge in the middle's cell (``held``) are looked at, by strips of ``wide``.
     """
     a1, b1, a2, b2 = f"{along}1", f"{up}1", f"{along}2", f"{up}2"
     middle = pieces.select("_p", "_g", "_ids", ((F.col(a1) + F.col(a2)) / 2).alias("_ma"), ((F.col(b1) + F.col(b2)) / 2).alias("_mb"), "_cx", "_cy")
+    middle = middle.withColumn("_w", F.floor(F.col("_ma") / wide).cast("long"))
     spread = sides.where(F.col(a1) != F.col(a2)).select(
-        "_g", "_s", "_id", *[F.col(c).alias(f"o{c}") for c in ENDS], _steps(F.least(a1, a2) / cell, F.greatest(a1, a2) / cell).alias(f"_c{along}")
+        "_g", "_s", "_id", *[F.col(c).alias(f"o{c}") for c in ENDS], _steps(F.least(a1, a2) / wide, F.greatest(a1, a2) / wide).alias("_w")
     )
     low, high = F.least(f"o{a1}", f"o{a2}"), F.greatest(f"o{a1}", f"o{a2}")
     level = F.col(f"o{b1}") + (F.col("_ma") - F.col(f"o{a1}")) * (F.col(f"o{b2}") - F.col(f"o{b1}")) / F.nullif(
@@ -152,19 +222,19 @@ def _covered(pieces: DataFrame, sides: DataFrame, held: DataFrame, along: str, u
     )
     over = (low <= F.col("_ma")) & (F.col("_ma") < high) & (level > F.col("_mb")) & ~F.array_contains("_ids", F.col("_id"))
     crossed = (
-        _meet(_meet(middle, held, TILE), spread, ["_g", "_s", f"_c{along}"]).where(over).groupBy("_p", "_s").count().where("count % 2 = 1")
+        _meet(_meet(middle, held, TILE), spread, ["_g", "_s", "_w"]).where(over).groupBy("_p", "_s").count().where("count % 2 = 1")
         .groupBy("_p").agg(F.collect_list("_s").alias("_above"))
     )
     return _meet(pieces, crossed, ["_p"], "left")
 
 
-def _borders(pieces: DataFrame, sides: DataFrame, placed: DataFrame, cell: float) -> DataFrame:
+def _borders(pieces: DataFrame, sides: DataFrame, placed: DataFrame, wide: float) -> DataFrame:
     """``_g, x1, y1, x2, y2``: pieces between inside and outside, the inside on their left."""
     held = placed.select("_g", "_s", "_cx", "_cy").distinct()
     steep = F.abs(F.col("y2") - F.col("y1")) > F.abs(F.col("x2") - F.col("x1"))
-    flat = _covered(pieces.where(~steep), sides, held, "x", "y", cell).withColumn("_left", F.lit(True))
+    flat = _covered(pieces.where(~steep), sides, held, "x", "y", wide).withColumn("_left", F.lit(True))
     # along a steep piece that climbs, the side where x grows is the right one; the lesser end may be its upper one
-    tall = _covered(pieces.where(steep), sides, held, "y", "x", cell).withColumn("_left", F.col("y1") > F.col("y2"))
+    tall = _covered(pieces.where(steep), sides, held, "y", "x", wide).withColumn("_left", F.col("y1") > F.col("y2"))
     rows = flat.unionByName(tall)
     above = F.coalesce("_above", F.slice("_own", 1, 0))
     inside_above = F.size(above) > 0
@@ -233,10 +303,10 @@ def _from_least(ring: Column) -> Column:
 
 
 def _fine(sides: DataFrame) -> float:
-    """A cell of a fourth of the mean edge, so that some lie within shapes; no edge crosses more than about a thousand."""
+    """A cell of the mean edge; no edge crosses more than about five hundred."""
     long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     mean, most = sides.agg(F.avg(long), F.max(long)).first()
-    return max(mean / 4, most / 1024) if mean else CELL
+    return max(mean, most / 256) if mean else CELL
 
 
 def _united(members: DataFrame, rings: str, digits: int, cell: float | None, overlap: bool) -> DataFrame:
@@ -248,18 +318,17 @@ def _united(members: DataFrame, rings: str, digits: int, cell: float | None, ove
     named = members.select(F.struct("_g", "_s").alias("_k"), "_r")
     sides = edges(named, "_k", "_r").select("_k._g", "_k._s", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in ENDS])
     sides = kept(sides.where("x1 <> x2 or y1 <> y2").withColumn("_id", F.monotonically_increasing_id()), "sides", paths)
-    cell = cell or _fine(sides)
+    wide = cell = cell or _fine(sides)
     placed = kept(_placed(sides, digits, cell), "placed", paths)
     if overlap:
-        filled = kept(_filled(sides, placed, cell), "filled", paths)
-        placed = kept(_meet(placed, filled, TILE, "left_anti"), "open", paths)
-        # an edge comes to the union's border, or leaves it, where it meets another outside these cells
+        placed, cell = _opened(sides, placed, digits, cell, paths)
+        # an edge comes to the union's border, or leaves it, where it meets another in these cells
         pieces = _split(_meet(sides, placed.select("_id"), ["_id"], "left_semi"), placed, digits).withColumns(_tile(cell))
-        pieces = _meet(pieces, filled, TILE, "left_anti")
+        pieces = _meet(pieces, placed.select(*TILE), TILE, "left_semi")
     else:
         pieces = _split(sides, placed, digits).withColumns(_tile(cell))
     pieces = kept(pieces.withColumn("_p", F.monotonically_increasing_id()), "pieces", paths)
-    borders = kept(_borders(pieces, sides, placed, cell).withColumn("_b", F.monotonically_increasing_id()), "borders", paths)
+    borders = kept(_borders(pieces, sides, placed, wide).withColumn("_b", F.monotonically_increasing_id()), "borders", paths)
     while len(paths) > 1:
         tables.delete(spark, paths.pop(0))
     traced = _meet(_traced(_next(borders), paths), borders.select("_g", F.col("_b").alias("me"), F.col("x1").alias("x"), F.col("y1").alias("y")), ["me"])
@@ -325,6 +394,23 @@ def dissolve(shapes: DataFrame, group: str, key: str, rings: str = "rings", digi
     return canonical(shapes, group, key, rings, digits, cell)
 
 
+def dissolved_cover(shapes: DataFrame, group: str, key: str, height: int, width: int, rings: str = "rings", digits: int = DIGITS) -> DataFrame:
+    """``group, row, col``: the pixels whose centre the union of each group's shapes holds.
+
+    As corners of unions are rounded, pixels whose centre lies on a border, or
+    next to it, are held against the shapes themselves.
+    """
+    union = dissolve(shapes, group, key, rings, digits).select(F.struct(F.col(group).alias("g")).alias("_v"), F.col(rings).alias("_r"))
+    close = kept(near(union, "_v", height, width, 10 * 10.0**-digits, "_r").withColumn("_c", F.expr(f"col div {BLOCK}")), "close")
+    own = shapes.select(F.struct(F.struct(F.col(group).alias("g")).alias("v"), F.col(key).alias("k")).alias("_k"), F.col(rings).alias("_r"))
+    first, last = F.ceil(F.col("a") - 0.5), F.ceil(F.col("b") - 0.5) - 1
+    across = spans(edges(own, "_k", "_r"), "_k", height).select(F.col("_k.v").alias("_v"), "row", first.alias("first"), last.alias("last")).distinct()
+    across = across.where("first <= last").select("*", _steps(F.col("first") / BLOCK, F.col("last") / BLOCK).alias("_c"))
+    held = _meet(close, across, ["_v", "row", "_c"]).where("col between first and last").select("_v", "row", "col").distinct()
+    rest = _meet(cover(union, "_v", height, width, rings="_r"), close, ["_v", "row", "col"], "left_anti")
+    return rest.select("_v", "row", "col").unionByName(held).select(F.col("_v.g").alias(group), "row", "col")
+
+
 def area(rings: str | Column = "rings") -> Column:
     """The area that canonical rings cover; holes run the other way and count less. Null for null rings."""
 

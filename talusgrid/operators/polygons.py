@@ -41,20 +41,25 @@ def _steps(first: Column, last: Column, low: int | None, high: int | None) -> Co
     return F.explode(F.when(a <= b, F.sequence(a, b)))
 
 
-def centres(sides: DataFrame, key: str, height: int | None = None, width: int | None = None) -> DataFrame:
-    """``key, row, col``: the pixels whose centre lies inside, of a grid or, without its size, of the whole plane."""
-    low = lambda size: None if size is None else 0
+def spans(sides: DataFrame, key: str, height: int | None = None) -> DataFrame:
+    """``key, row, a, b``: where each shape begins and ends along the middle of a row, once for each time."""
+    low = None if height is None else 0
     top, bottom = F.least("y1", "y2"), F.greatest("y1", "y2")
     y = F.col("row") + 0.5
     # half-open, so that a corner on a line counts once
     hits = sides.where("y1 <> y2").select(
-        "*", _steps(F.ceil(top - 0.5), F.ceil(bottom - 0.5) - 1, low(height), height).alias("row")
+        "*", _steps(F.ceil(top - 0.5), F.ceil(bottom - 0.5) - 1, low, height).alias("row")
     ).select(key, "row", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x"))
     crossed = hits.groupBy(key, "row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    spans = crossed.select(
+    return crossed.select(
         key, "row", "xs", F.explode(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2))).alias("_pair")
     ).select(key, "row", F.element_at("xs", F.col("_pair")).alias("a"), F.element_at("xs", F.col("_pair") + 1).alias("b"))
-    return spans.select(key, "row", _steps(F.ceil(F.col("a") - 0.5), F.ceil(F.col("b") - 0.5) - 1, low(width), width).alias("col"))
+
+
+def centres(sides: DataFrame, key: str, height: int | None = None, width: int | None = None) -> DataFrame:
+    """``key, row, col``: the pixels whose centre lies inside, of a grid or, without its size, of the whole plane."""
+    low = None if width is None else 0
+    return spans(sides, key, height).select(key, "row", _steps(F.ceil(F.col("a") - 0.5), F.ceil(F.col("b") - 0.5) - 1, low, width).alias("col"))
 
 
 def _touched(sides: DataFrame, key: str, height: int, width: int) -> DataFrame:

@@ -387,9 +387,7 @@ def valid_outlines(spark, sf_dir):
 @query(f"""WITH {GRID}, {OUTLINES} SELECT DISTINCT fold, "row", col FROM inside""")
 def dissolve_outlines(spark, sf_dir):
     """The pixels of each fold's union, the outlines without a fold among them."""
-    union = areas.dissolve(outlines(spark, sf_dir), "fold", "k")
-    covered = polygons.cover(union.select(F.struct("fold").alias("_f"), "rings"), "_f", height(spark, sf_dir), WIDTH)
-    return covered.select("_f.fold", "row", "col")
+    return areas.dissolved_cover(outlines(spark, sf_dir), "fold", "k", height(spark, sf_dir), WIDTH)
 
 
 @query("SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey % 40) AS first_alike, ((o_custkey % 40) + 3) * 4.0::DOUBLE - 1 AS area FROM orders")
