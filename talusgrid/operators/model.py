@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import kept
+from . import forest
 from .boosting import Boosted, Boosting
 from .ranking import curve, curve_metrics, mean_std, rank_percentile, ranked
 from .raster import inside
@@ -147,8 +148,11 @@ def fit(train: DataFrame, features: list[str], config: Config = Config(), label:
     out positives to learn how likely a positive is to be labelled; they raise
     ValueError if none is held out. Rows are dealt over all cores by their
     values and sorted, so what is drawn doesn't depend on the files they came in.
+    Bags of forests of few features are grown from counts of rows instead.
     """
     usable = valid(train, features).select(*features, F.col(label).cast("double").alias("label"))
+    if config.method.lower() == "pu_bagging" and config.learner.lower() == "random_forest" and forest.fits(len(features), config.bins):
+        return _counted(usable, features, config)
     cores = train.sparkSession.sparkContext.defaultParallelism
     usable = usable.repartition(cores, *usable.columns).sortWithinPartitions(*usable.columns)
     statistics = scaler_statistics(usable, features)
@@ -192,6 +196,16 @@ def fit(train: DataFrame, features: list[str], config: Config = Config(), label:
         rows.unpersist()
 
 
+def _counted(usable: DataFrame, features: list[str], config: Config) -> Fitted:
+    """Bagged forests from the counts of rows; by the six leading digits of the scaler, as sums' last ones follow the order of rows."""
+    found = scaler_statistics(usable, features)
+    statistics = {c: (float(f"{m:.6g}"), float(f"{s:.6g}")) for c, (m, s) in found.items()}
+    bagging = forest.Bagging(
+        config.estimators, config.trees, config.depth, config.min_leaf, config.max_features, config.criterion, config.min_gain, config.bins, config.seed
+    )
+    return Fitted(features, statistics, [bagging.fit(scale(usable, statistics), features)])
+
+
 def _weighted(first, rows: DataFrame, likely: float) -> DataFrame:
     """Positives once; an unlabeled row both as positive and as negative, by how likely it is one."""
     p = F.least(F.col("_p"), F.lit(1 - 1e-9))
@@ -205,13 +219,13 @@ def _weighted(first, rows: DataFrame, likely: float) -> DataFrame:
 def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
     """Models, scaler and features below ``path``, which may be in any store that Spark writes to."""
     for k, m in enumerate(fitted.models):
-        if isinstance(m, Boosted):
+        if isinstance(m, (Boosted, forest.Forest)):
             m.save(spark, f"{path}/model-{k}")
         else:
             m.write().overwrite().save(f"{path}/model-{k}")
     rows = [(k, c, *map(float, fitted.scaler[c])) for k, c in enumerate(fitted.features)]
     spark.createDataFrame(rows, "k int, feature string, mean double, deviation double").coalesce(1).write.mode("overwrite").json(f"{path}/scaler")
-    kinds = {GBTClassificationModel: "gradient_boosting", Boosted: "regularised_boosting"}
+    kinds = {GBTClassificationModel: "gradient_boosting", Boosted: "regularised_boosting", forest.Forest: "counted_forest"}
     kind = kinds.get(type(fitted.models[0]), "random_forest")
     spark.createDataFrame([(kind, len(fitted.models), float(fitted.share))], "learner string, models int, share double").coalesce(1).write.mode(
         "overwrite"
@@ -223,8 +237,8 @@ def load(spark: SparkSession, path: str) -> Fitted:
     config = spark.read.schema("learner string, models int, share double").json(f"{path}/config").first()
     rows = spark.read.schema("k int, feature string, mean double, deviation double").json(f"{path}/scaler").orderBy("k").collect()
     kind = GBTClassificationModel if config["learner"] == "gradient_boosting" else RandomForestClassificationModel
-    own = config["learner"] == "regularised_boosting"
-    models = [Boosted.load(spark, p) if own else kind.load(p) for p in (f"{path}/model-{k}" for k in range(config["models"]))]
+    own = {"regularised_boosting": Boosted, "counted_forest": forest.Forest}.get(config["learner"])
+    models = [own.load(spark, p) if own else kind.load(p) for p in (f"{path}/model-{k}" for k in range(config["models"]))]
     return Fitted([r["feature"] for r in rows], {r["feature"]: (r["mean"], r["deviation"]) for r in rows}, models, config["share"])
 
 
@@ -245,9 +259,10 @@ def cross_validate(
 
     The scaler learns from the other folds, too. Without a row of a fold,
     ValueError. The rows are written once, as each fold reads them again, and
-    dealt over all cores, however few files they came in.
+    dealt over all cores by their values, however few files they came in; dealt
+    in turn, they would be sorted first, and spilled.
     """
-    df = kept(df.repartition(df.sparkSession.sparkContext.defaultParallelism), "folds")
+    df = kept(df.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns), "folds")
     folds = folds_of(df, fold)
     if not folds:
         raise ValueError("no rows to validate on")

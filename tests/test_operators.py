@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talusgrid.functions import projection
-from talusgrid.operators import events, features, grid, model, ranking, raster, sampling
+from talusgrid.operators import events, features, forest, grid, model, ranking, raster, sampling
 from talusgrid.plans import registry
 
 
@@ -203,6 +203,54 @@ def test_methods_find_the_unlabeled_positives(spark, table, tmp_path, method, le
         assert all(again[k] == pytest.approx(got[k].score) for k in range(900))
 
 
+def test_bags_of_forests_are_grown_from_counts(spark, monkeypatch):
+    """Of few features: as Spark's own forests score, by jobs whose number doesn't follow trees, levels and bags, however the rows are dealt."""
+    rng = np.random.default_rng(7)
+    x, y = rng.random(6000), rng.integers(0, 12, 6000)
+    label = (rng.random(6000) < 0.1 + 0.5 * ((x > 0.6) & (y > 3))).astype(int)
+    df = spark.createDataFrame([(k, float(x[k]), float(y[k]), int(label[k])) for k in range(6000)], "id long, x double, y double, label int").cache()
+    df.count()
+    config = model.Config(estimators=4, trees=30, depth=5)
+    spark.sparkContext.setJobGroup("forests", "counted")
+    fitted = model.fit(df, ["x", "y"], config)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("forests"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 20 and isinstance(fitted.models[0], forest.Forest)
+    again = model.fit(df.repartition(7, "id").sortWithinPartitions("y"), ["x", "y"], config)
+    assert again.models == fitted.models and again.scaler == fitted.scaler
+    monkeypatch.setattr(forest, "CELLS", 0)
+    plain = model.fit(df, ["x", "y"], config)
+    assert len(plain.models) == 4
+    got, want = (np.array([r.score for r in m.score(df).orderBy("id").collect()]) for m in (fitted, plain))
+    assert np.abs(got - want).mean() < 0.03 and abs(got.mean() - want.mean()) < 0.01 and np.corrcoef(got, want)[0, 1] > 0.97
+    ours, theirs = dict(fitted.importances()), dict(plain.importances())
+    assert sum(ours.values()) == pytest.approx(1) and all(abs(ours[c] - theirs[c]) < 0.08 for c in ours)
+
+
+def test_counted_forests_by_hand(spark, tmp_path):
+    """One tree of two levels over cells: leaves are shares of positives, a cell without rows gets its node's."""
+    config = forest.Bagging(1, 1, 2, min_leaf=1, max_features="all", bins=4)
+    bins, sizes = np.array([[0, 0, 1, 1], [0, 1, 0, 1]]), [2, 2]
+    chance, weights = forest._tree(config, bins, sizes, np.array([0, 0, 8, 1]), np.array([10, 0, 2, 9]), np.random.default_rng(1))
+    assert chance.tolist() == [0.0, 0.0, 0.8, 0.1] and weights[0] > 0 and weights[1] > 0
+    kept = forest._tree(forest.Bagging(1, 1, 2, min_leaf=11, max_features="all"), bins, sizes, np.array([0, 0, 8, 1]), np.array([10, 0, 2, 9]), np.random.default_rng(1))
+    assert kept[0].tolist() == [0.3] * 4
+    values = [(float(v),) for v in [-9999.0, 0.0, 1e-300, *range(1, 9)]]
+    cuts = forest._cuts(spark.createDataFrame(values, "v double"), ["v"], 32)
+    assert cuts == [[0.0, 1e-300 if 1e-300 in cuts[0] else cuts[0][1], *map(float, range(1, 9))]]
+    many = forest._cuts(spark.range(1000).select((F.col("id") - 500.0).alias("v"), F.lit(2.5).alias("w")), ["v", "w"], 4)
+    assert len(many[0]) == 3 and many[1] == [] and all(abs(c - q) <= 2 for c, q in zip(many[0], (-250, 0, 250), strict=True))
+    assert [config.chosen(9), forest.Bagging(1, 2, 1).chosen(9), forest.Bagging(1, 2, 1, max_features="0.3").chosen(9)] == [9, 3, 3]
+    fitted = model.Fitted(["v"], {"v": (0.0, 1.0)}, [forest.Forest([[1.0, 2.0]], [0.25, 0.5, 0.125], [1.0])])
+    model.save(fitted, spark, f"{tmp_path}/saved")
+    df = spark.createDataFrame([(-5.0,), (1.0,), (1.5,), (2.0,), (None,)], "v double")
+    for one in (fitted, model.load(spark, f"{tmp_path}/saved")):
+        assert {r.v: r.score for r in one.score(df).collect()} == {-5.0: 0.25, 1.0: 0.5, 1.5: 0.5, 2.0: 0.125, None: None}
+        assert one.importances() == [("v", 1.0)]
+    with pytest.raises(ValueError, match="criterion"):
+        forest.Bagging(1, 1, 1, criterion="variance")
+
+
 def test_folds_are_scored_by_the_others(spark, table):
     config = model.Config(method="plain", trees=5, depth=3)
     scored, weights = model.cross_validate(table, ["x", "y"], config)
